@@ -200,3 +200,8 @@ def execute(plan: MergePlan, tables: dict[str, DataFrame], profiles: dict[str, D
     out = built(plan.root)
     confidences = {a.alias: a.confidence for a in plan.attachments if f"_match_{a.alias}" in out.columns}
     return final_columns(out, plan.root, confidences)
+
+
+def relationship_flags(plan: MergePlan, columns: list[str]) -> dict[str, str]:
+    """By alias the match flag that marks rows which depend on the relationship: a scenario leaves those out."""
+    return {a.alias: f"_match_{a.alias}" for a in plan.attachments if f"_match_{a.alias}" in columns}

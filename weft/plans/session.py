@@ -20,7 +20,7 @@ from weft.operators.resolution import MatchField, Resolution, resolve, review_qu
 from weft.plans import graph as g
 from weft.plans import lineage
 from weft.plans.matching import Match, Sketch, Strategy, crosswalk_candidates, match_schemas, verify_crosswalk
-from weft.plans.planner import MergePlan, build_plan, effective_thresholds, execute
+from weft.plans.planner import MergePlan, build_plan, effective_thresholds, execute, relationship_flags
 from weft.plans.relationships import LOOKUP, Relationship, infer
 from weft.sources.readers import Dataset, Workspace, ingest, read_rest, numbered
 from weft.sources.sinks import write_reports, write_unified
@@ -269,7 +269,24 @@ class Session:
         return self.spark.read.parquet(os.path.join(self.merges[-1].folder, "unified_dataset.parquet"))
 
     def aggregate_with_uncertainty(self, function: str, measure: str | None = None, group_by: str | None = None, **options) -> DataFrame:
-        return uncertainty.aggregate_with_uncertainty(self.unified(), function, measure, group_by, **options)
+        unified = self.unified()
+        options.setdefault("scenarios", relationship_flags(self.merges[-1].plan, unified.columns))
+        return uncertainty.aggregate_with_uncertainty(unified, function, measure, group_by, **options)
+
+    def conflicts(self, found: DataFrame, attribute: str | None = None, entity: str | None = None, limit: int = 200) -> DataFrame:
+        for column, value in (("attribute", attribute), ("entity_id", entity)):
+            if value is not None:
+                found = found.where(F.col(column) == value)
+        return found.orderBy("entity_id", "attribute").limit(limit)
+
+    def retrain_matcher(self, weight: float = 10.0):
+        """A learned scorer from the user's decisions over the current matches; None with fewer than two of each kind."""
+        from weft.plans.matching import pair_features, train_scorer
+
+        examples = [(pair_features(m), int(self.decisions.get(m.pair, m.accepted)), weight if m.pair in self.decisions else 1.0) for m in self.matches]
+        if min(sum(y for _, y, _ in examples), sum(1 - y for _, y, _ in examples)) < 2:
+            return None
+        return train_scorer(self.spark, examples)
 
     def entity_history(self, history: DataFrame, entity: str | None = None, attribute: str | None = None, as_of=None) -> DataFrame:
         return fusion.history_at(history, F.lit(as_of) if as_of is not None else None, entity, attribute)
