@@ -221,7 +221,7 @@ def semantic_type(c: ColumnProfile, rates: dict[str, float], date_rate: float) -
     s: dict[str, float] = {}
     unique = c.uniqueness >= 0.98
     text = c.logical == "string" and not c.string_numeric
-    s["ID"] = 0.45 * hint("ID") + 0.3 * unique + 0.15 * (c.logical == "integer") + 0.25 * max(rates.get("CODE", 0.0) if text else 0.0, rates.get("UUID", 0.0)) if c.logical in ("integer", "string") else 0.0
+    s["ID"] = 0.45 * hint("ID") + 0.3 * unique + 0.15 * (c.logical == "integer") + max(0.25 * rates.get("CODE", 0.0) if text else 0.0, 0.5 * rates.get("UUID", 0.0)) if c.logical in ("integer", "string") else 0.0
     if c.avg_length > 40:
         s["ID"] *= 0.5
     if text:
