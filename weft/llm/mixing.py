@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import word_count, written
+from weft.llm.common import collapsed, word_count, written
 
 #: Source weights, repeated over the sources in code-point order (null last).
 WEIGHTS = (5, 2, 1)
@@ -46,20 +46,17 @@ def _digits(hash_col: str, step: int) -> Column:
     return F.conv(F.substring(hash_col, step * STEP_DIGITS + 1, STEP_DIGITS), 16, 10).cast("int")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-        weights: tuple[float, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
-    """One row per document: ``id_col``, size, source_size, target, taken (size times the copies the mix takes).
+def document_hash(id_: Column) -> Column:
+    return F.substring(F.md5(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")), 1, STEP_DIGITS * STEPS)
 
-    A source whose target is k times its size and a remainder takes every document k times and a hash-chosen part
-    once more; the remainder is met as nearly as whole documents (or rows of one hash) allow, and at most
-    ``max_repeats`` copies are taken. The hash is the MD5 of the id as text, so reruns agree. Null text and text of
-    white space have size 0 and are never taken; null sources are one source, ordered last; null ids and repeated
-    rows share a hash and are taken together. Ties of the nearest threshold take fewer words. Extra columns are not
-    read; an empty table gives an empty result.
-    """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-                       F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("_hash"))
-    base = written(base.withColumn("_hash", F.substring("_hash", 1, STEP_DIGITS * STEPS)), "mix-sizes")
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("_hash"))
+    return written(base, "mix-sizes")
+
+
+def thresholds(base: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
+    """By source: source_size, target, whole copies, and the hash below (and perhaps at) which one more copy is taken."""
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = source_targets(sizes, weights, max_repeats)
     copies = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(int(max_repeats)))).otherwise(F.lit(0))
@@ -89,20 +86,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # The last boundary holds one hash: it is taken if that comes nearer than leaving it.
     whole = F.length("prefix") == STEP_DIGITS * STEPS
-    plan = plan.withColumn("with_edge", whole & (F.col("edge") - F.col("rest") < F.col("rest")))
-    joined = base.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-    once_more = (F.col("_hash") < F.col("prefix")) | ((F.col("_hash") == F.col("prefix")) & F.col("with_edge"))
-    times = F.least(F.col("copies") + F.when(once_more, 1).otherwise(0), F.lit(int(max_repeats)))
-    return joined.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    return plan.withColumn("with_edge", F.coalesce(whole & (F.col("edge") - F.col("rest") < F.col("rest")), F.lit(False)))
+
+
+def _times(hash_: Column, max_repeats: float) -> Column:
+    once_more = (hash_ < F.col("p.prefix")) | ((hash_ == F.col("p.prefix")) & F.col("p.with_edge"))
+    return F.least(F.col("p.copies") + F.when(once_more, 1).otherwise(0), F.lit(int(max_repeats)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+        weights: tuple[float, ...] = WEIGHTS, max_repeats: float = MAX_REPEATS) -> DataFrame:
+    """One row per document: ``id_col``, size, source_size, target, taken (size times the copies the mix takes).
+
+    A source whose target is k times its size and a remainder takes every document k times and a hash-chosen part
+    once more; the remainder is met as nearly as whole documents (or rows of one hash) allow, and at most
+    ``max_repeats`` copies are taken. The hash is the MD5 of the id as text, so reruns agree. Null text and text of
+    white space have size 0 and are never taken; null sources are one source, ordered last; null ids and repeated
+    rows share a hash and are taken together. Ties of the nearest threshold take fewer words. Extra columns are not
+    read; an empty table gives an empty result.
+    """
+    base = sized(docs, id_col, text_col, source_col)
+    joined = base.alias("b").join(thresholds(base, weights, max_repeats).alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
+    return joined.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * _times(F.col("_hash"), max_repeats)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as often as it is taken (a row per copy), with all columns of ``docs``.
 
-    Documents without words are not taken. Rows that repeat an id are decided once and each repeated as often.
+    Documents without words are not taken. The thresholds, one row a source, are joined to the documents, so that texts
+    stay where they are; rows that repeat an id are decided alike.
     """
-    found = mix(docs, id_col, text_col, source_col).where("taken > 0")
-    times = found.select(F.col(id_col).alias("__weft_id"), (F.col("taken") / F.col("size")).cast("int").alias("__weft_times")).dropDuplicates(["__weft_id"])
-    joined = docs.join(times, docs[id_col].eqNullSafe(F.col("__weft_id")))
-    names = [docs[c] for c in docs.columns]
-    return joined.select(*names, F.explode(F.sequence(F.lit(1), F.col("__weft_times"))).alias("__weft_copy")).select(*docs.columns)
+    plan = thresholds(sized(docs, id_col, text_col, source_col))
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[source_col].alias("source"), document_hash(docs[id_col]).alias("hash"),
+                         (F.trim(collapsed(docs[text_col])) != "").alias("has_words"))
+    joined = packed.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).where("d.has_words")
+    copies = joined.select("d.row", _times(F.col("d.hash"), MAX_REPEATS).alias("times")).where("times > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
