@@ -80,13 +80,14 @@ def _uncertain_sql(function: str) -> str:
     expected = "sum(p * x) / sum(CASE WHEN x IS NOT NULL THEN p END)" if function == "avg" else "sum(p * x)"
     only = {"sum": "sum(x) FILTER (p >= 0.9)", "count": "(count(*) FILTER (p >= 0.9))::DOUBLE", "avg": "avg(x) FILTER (p >= 0.9)"}[function]
     x = "1.0::DOUBLE" if function == "count" else "l_extendedprice * (1 - l_discount)"
-    sd = "NULL::DOUBLE" if function == "avg" else "round(sqrt(sum(p * (1 - p) * x * x)), 3)"
-    return f"WITH {_STAR_SQL}, u AS (SELECT *, {x} AS x FROM s) SELECT region, count(*) AS rows, round({point}, 3) AS point, round({expected}, 3) AS expected, {sd} AS sd, round({only}, 3) AS certain_only, round(avg(p), 6) AS mean_probability, round(min(rc), 6) AS min_relationship_confidence FROM u GROUP BY region"
+    k = 0 if function == "sum" else 3  # large sums differ in their last digits by the order of addition
+    sd = "NULL::DOUBLE" if function == "avg" else f"round(sqrt(sum(p * (1 - p) * x * x)), {k})"
+    return f"WITH {_STAR_SQL}, u AS (SELECT *, {x} AS x FROM s) SELECT region, count(*) AS rows, round({point}, {k}) AS point, round({expected}, {k}) AS expected, {sd} AS sd, round({only}, {k}) AS certain_only, round(avg(p), 6) AS mean_probability, round(min(rc), 6) AS min_relationship_confidence FROM u GROUP BY region"
 
 
 def _uncertain(spark, d, function):
     out = uncertainty.aggregate_with_uncertainty(revenue(star(spark, d)), function, "revenue", "region")
-    return out.select("region", "rows", *[F.round(c, 3).alias(c) for c in ("point", "expected", "sd", "certain_only")], *[F.round(c, 6).alias(c) for c in ("mean_probability", "min_relationship_confidence")])
+    return out.select("region", "rows", *[F.round(c, 0 if function == "sum" else 3).alias(c) for c in ("point", "expected", "sd", "certain_only")], *[F.round(c, 6).alias(c) for c in ("mean_probability", "min_relationship_confidence")])
 
 
 @query(_uncertain_sql("sum"))
@@ -104,10 +105,10 @@ def uncertain_avg(spark, d):
     return _uncertain(spark, d, "avg")
 
 
-@query(f"WITH {_STAR_SQL} SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 2) AS point, round(coalesce(sum(l_extendedprice * (1 - l_discount)) FILTER (NOT _match_customer), 0), 2) AS if_customer_wrong FROM s GROUP BY l_returnflag")
+@query(f"WITH {_STAR_SQL} SELECT l_returnflag, round(sum(l_extendedprice * (1 - l_discount)), 0) AS point, round(coalesce(sum(l_extendedprice * (1 - l_discount)) FILTER (NOT _match_customer), 0), 0) AS if_customer_wrong FROM s GROUP BY l_returnflag")
 def scenario_if_wrong(spark, d):
     out = uncertainty.aggregate_with_uncertainty(revenue(star(spark, d)), "sum", "revenue", "l_returnflag", scenarios={"customer": "_match_customer"})
-    return out.select("l_returnflag", F.round("point", 2).alias("point"), F.round("if_customer_wrong", 2).alias("if_customer_wrong"))
+    return out.select("l_returnflag", F.round("point", 0).alias("point"), F.round("if_customer_wrong", 0).alias("if_customer_wrong"))
 
 
 @query(f"WITH {_STAR_SQL} SELECT round(sum(p), 4) AS expected_rows, count(*) FILTER (p < 0.9) AS rows_below FROM s")
@@ -209,11 +210,11 @@ def connected_components(spark, d):
 _NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\", min({c}) AS min, max({c}) AS max, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, round(quantile_cont({c}, 0.05), 6) AS q05, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.95), 6) AS q95 FROM lineitem" for c in _NUM))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count({c}) AS non_null, count(DISTINCT {c}) AS \"distinct\", min({c}) AS min, max({c}) AS max, round(avg({c}), {4 if c == 'l_extendedprice' else 7}) AS mean, round(stddev_samp({c}), 6) AS stddev, round(quantile_cont({c}, 0.05), 6) AS q05, round(quantile_cont({c}, 0.5), 6) AS q50, round(quantile_cont({c}, 0.95), 6) AS q95 FROM lineitem" for c in _NUM))
 def profile_numeric(spark, d):
     s = profile.column_statistics(table(spark, d, "lineitem").select(*_NUM))
     q = F.col("quantiles")
-    return s.select("column", "rows", "non_null", "distinct", "min", "max", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"), F.round(q[0], 6).alias("q05"), F.round(q[2], 6).alias("q50"), F.round(q[4], 6).alias("q95"))
+    return s.select("column", "rows", "non_null", "distinct", "min", "max", F.when(F.col("column") == "l_extendedprice", F.round("mean", 4)).otherwise(F.round("mean", 7)).alias("mean"), F.round("stddev", 6).alias("stddev"), F.round(q[0], 6).alias("q05"), F.round(q[2], 6).alias("q50"), F.round(q[4], 6).alias("q95"))
 
 
 _TXT = ("c_name", "c_mktsegment")
