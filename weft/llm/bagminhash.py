@@ -13,17 +13,20 @@ connected components, found by label propagation in DataFrames.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import mixed, seeded, text_views, written
+from weft.llm.common import mixed, seeded, text_views, without_ids, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
+#: Rounds in which members that their bucket's hub did not reach meet other hubs.
+HUB_ROUNDS = 2
 #: 20 bands of 5 components: a pair at similarity 0.8 shares a band with probability 0.9996.
 BANDS, ROWS = 20, 5
 
@@ -156,9 +159,36 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+#: A sketch holds seven bits of each component, seven components to a 64-bit word with a spare bit above each, so that
+#: equal components of two texts are counted by word arithmetic inside a join condition.
+_FIELDS, _LOW, _HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080
+#: Standard errors of the signature's estimate by which a pair may fall short of the threshold and still be verified
+#: (a pair at the threshold falls further short with probability 3e-6).
+MARGIN = 4.5
+
+
+def sketch_words(sig: np.ndarray) -> np.ndarray:
+    n, m = sig.shape
+    words = -(-m // _FIELDS)
+    bits = np.zeros((n, words * _FIELDS), np.uint64)
+    bits[:, :m] = sig & _U(0x7F)
+    shifts = (np.arange(_FIELDS, dtype=np.uint64) * _U(8))[None, None, :]
+    return (bits.reshape(n, words, _FIELDS) << shifts).sum(axis=2, dtype=np.uint64)
+
+
+def likely(words: int, components: int, threshold: float, x: str, y: str) -> Column:
+    """Whether the sketches of sides ``x`` and ``y`` agree in enough components to be worth verifying."""
+    unequal = F.lit(0)
+    for i in range(words):
+        differ = F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])
+        unequal = unequal + F.bit_count((differ + F.lit(_LOW)).bitwiseAND(F.lit(_HIGH)))
+    least = components * threshold - MARGIN * math.sqrt(components * threshold * (1 - threshold))
+    return unequal <= F.lit(int(components - least))
+
+
 def _sign(bands: int, rows: int):
     schema = pa.schema([("_id", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("size", pa.int64()),
-                        ("bands", pa.list_(pa.int64()))])
+                        ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +210,11 @@ def _sign(bands: int, rows: int):
                 size = np.diff(starts)
                 flat = pa.array(key.view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), flat)
+                packed = sketch_words(sig)
+                width = packed.shape[1]
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(packed.view(np.int64).ravel()))
                 yield pa.record_batch([ids.slice(first, n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                                       pa.array(size), lists], schema=schema)
+                                       pa.array(size), lists, sketch], schema=schema)
     return run
 
 
@@ -209,8 +242,9 @@ def _verify(threshold: float):
 
 def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, label): the smallest node of each connected component, by alternating large-star and small-star steps."""
-    spark = nodes.sparkSession
     pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
+    if pairs.isEmpty():
+        return nodes.select("node", F.col("node").alias("label"))
     last = None
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -227,7 +261,6 @@ def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Dat
         last = state
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
-    del spark
     return nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("label"))
 
@@ -245,9 +278,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Very long texts are read whole. An empty table gives an empty result; extra columns are not read.
     """
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where("_id IS NOT NULL")
-    signed = written(src.mapInArrow(_sign(bands, rows), "_id long, fp long, fp2 long, size long, bands array<long>"), "bag-signatures")
+    signed = written(src.mapInArrow(_sign(bands, rows), "_id long, fp long, fp2 long, size long, bands array<long>, sketch array<long>"), "bag-signatures")
     found = signed.where("size > 0")
-    reps = written(found.groupBy("fp", "fp2").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size")), "bag-reps")
+    reps = written(found.groupBy("fp", "fp2").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "bag-reps")
 
     buckets = reps.select("rep", "size", F.posexplode("bands").alias("band", "key"))
     hubs = buckets.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "key", "hub")
@@ -266,24 +299,44 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = verified(stars, "bag-stars")
     nodes = reps.select(F.col("rep").alias("node"))
     labels = written(_components(nodes, links), "bag-labels")
-
-    # What the hubs did not connect: pairs of a bucket that lie in different components, sizes permitting.
-    tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep").select("band", "key", "rep", "hub", "size", "label")
-    split = (tagged.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"))
-             .where("lo != hi AND n > 2").select("band", "key"))
-    open_ = written(tagged.join(split, ["band", "key"]), "bag-open")
+    sketches = reps.select("rep", "sketch")
+    alike = likely(-(-bands * rows // _FIELDS), bands * rows, threshold, "x", "y")
+    sizes_fit = F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size")
+
+    def mixed_buckets(labels: DataFrame) -> DataFrame:
+        """Members, with labels, of the buckets that still span several components."""
+        tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep").select("band", "key", "rep", "hub", "size", "label")
+        split = tagged.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi AND n > 2")
+        return tagged.join(split.select("band", "key"), ["band", "key"])
+
+    def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+        """Labels after ``new`` links joined components."""
+        ends = new.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        roots = _components(labels.select(F.col("label").alias("node")).distinct(), ends).toDF("label", "root")
+        return written(labels.join(roots, "label").select("node", F.col("root").alias("label")), "bag-labels")
+
+    # Members that their hub did not reach meet other hubs, drawn anew for each band, so that large groups close up
+    # after as many pairs as they have members.
+    more = links.where("false")
+    for attempt in range(HUB_ROUNDS):
+        around = mixed_buckets(labels)
+        drawn = F.xxhash64("rep", "band", F.lit(attempt))
+        hubs = around.groupBy("band", "key").agg(F.min_by(F.struct("rep", "size", "label"), drawn).alias("y"))
+        x = around.alias("x").join(hubs.alias("h"), ["band", "key"]).select("x.*", "h.y").where(
+            "label != y.label AND rep != hub AND y.rep != hub").where(F.least("size", "y.size") >= F.lit(threshold) * F.greatest("size", "y.size"))
+        new = verified(x.select(F.least("rep", "y.rep").alias("a"), F.greatest("rep", "y.rep").alias("b")).distinct(), "bag-hubs")
+        labels, more = merged(labels, new), more.unionByName(new)
+
+    # What is left is compared in full: all pairs of a bucket that lie in different components, unless their signatures
+    # already rule out the threshold.
+    open_ = written(mixed_buckets(labels).join(sketches, "rep"), "bag-open")
     x, y = open_.alias("x"), open_.alias("y")
     rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-                  & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.rep") != F.col("x.hub"))
-                  & (F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size")))
-    rest = rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    more = verified(rest, "bag-rest")
-    joined = more.alias("m").join(labels.alias("l"), F.col("m.a") == F.col("l.node")).select(F.col("l.label").alias("la"), "m.b")
-    joined = joined.alias("m").join(labels.alias("l"), F.col("m.b") == F.col("l.node")).select(F.col("la").alias("a"), F.col("l.label").alias("b"))
-    merged = _components(labels.select(F.col("label").alias("node")).distinct(), joined)
-    final = labels.join(merged.withColumnRenamed("label", "final"), labels["label"] == merged["node"]).select(labels["node"], "final")
-
-    every = links.unionByName(more)
+                  & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.rep") != F.col("x.hub")) & sizes_fit & alike)
+    new = verified(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "bag-rest")
+    final, more = merged(labels, new).withColumnRenamed("label", "final"), more.unionByName(new)
+
+    every = links.unionByName(more).select("a", "b").distinct()
     degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     info = final.join(degree, "node", "left").select(F.col("node").alias("rep"), "final", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
     keyed = reps.select("fp", "fp2", "rep").join(info, "rep").select("fp", "fp2", "final", "links")
@@ -296,5 +349,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate class (the smallest id), all columns."""
-    found = near_duplicates(docs, id_col, text_col).where(f"`{id_col}` != class_id").select(F.col(id_col).alias("__weft_dropped"))
-    return docs.join(found, docs[id_col] == F.col("__weft_dropped"), "left_anti")
+    found = near_duplicates(docs, id_col, text_col)
+    return without_ids(docs, found.where(f"`{id_col}` != class_id").select(id_col), id_col)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import collapsed, written
+from weft.llm.common import collapsed, without_ids, written
 
 #: Characters of the normalised text in the prefix hash.
 PREFIX_CHARS = 256
@@ -56,5 +56,4 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that another row repeats: all its columns, rows as in ``exact_duplicates``."""
     found = exact_duplicates(docs, id_col, text_col)
-    dropped = found.where("NOT kept").select(F.col(id_col).alias("__weft_dropped"))
-    return docs.join(dropped, docs[id_col] == F.col("__weft_dropped"), "left_anti")
+    return without_ids(docs, found.where("NOT kept").select(id_col), id_col)
