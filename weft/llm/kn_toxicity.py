@@ -22,7 +22,7 @@ from weft.llm.common import FOLD, SYMBOLS, mixed, segment_sums, text_views, writ
 
 CONTEXT = 7
 #: At most so many distinct eight-grams make up the model; rarer ones (by total count) are left to the backoff.
-MAX_GRAMS = 2_000_000
+MAX_GRAMS = 1_200_000
 #: Expressions whose difference exceeds so many nats count as strong.
 STRONG = 4.0
 PREDICT_AT = 0.7
@@ -122,10 +122,10 @@ def _count():
                 keys, counts = np.unique(g | (kind[text] << 48), return_counts=True)
                 kept.append((keys, counts))
                 size += len(keys)
-                if size > 2_000_000:
+                if size > 1_200_000:
                     kept[:] = [flush(kept)]
                     size = len(kept[0][0])
-                    if size > 1_500_000:  # a task's table stays bounded: what it has goes to the shuffle
+                    if size > 800_000:  # a task's table stays bounded: what it has goes to the shuffle
                         yield from emit()
                         kept.clear()
                         size = 0
@@ -169,16 +169,16 @@ def _discount(counts: np.ndarray) -> float:
 def train(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[HashTable, HashTable]:
     """The two tables of ToxicityModel from the grams of all documents and their counts by class."""
     order = np.argsort(gram)
-    gram, ordinary, toxic = gram[order], ordinary[order].astype(float), toxic[order].astype(float)
+    gram, ordinary, toxic = gram[order], ordinary[order], toxic[order]
+    del order
     # Shared lower orders: distinct left extensions, then interpolated down to the uniform distribution.
     shared: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     level, lower = gram, None
     for k in range(CONTEXT, 0, -1):
-        keys, _, kinds = _groups(level % SYMBOLS**k, np.ones(len(level)))
-        shared[k] = (keys, kinds)
-        level = keys
+        level, kinds = np.unique(level % SYMBOLS**k, return_counts=True)
+        shared[k] = (level, kinds.astype(float))
     for k in range(1, CONTEXT + 1):
-        keys, kinds = shared[k]
+        keys, kinds = shared.pop(k)
         ctx, total, types = _groups(keys // SYMBOLS, kinds)
         d = _discount(kinds)
         at = np.searchsorted(ctx, keys // SYMBOLS)
