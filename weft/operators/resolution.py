@@ -83,11 +83,14 @@ def token_blocks(records: DataFrame, field_: MatchField, refine_by: list[MatchFi
     A record with a null refining value falls into the block's null part. The split is a longer key, so no block is
     collected anywhere.
     """
-    key = name_key(F.col(field_.name)) if field_.semantic == "NAME" else basic(F.col(field_.name))
-    base = records.select("rid", "dataset", key.alias("block"), *[normalizer(f.norm)(F.col(f.name)).alias(f"__r{i}") for i, f in enumerate(refine_by)],
-                          F.substring_index(person_name(F.col(field_.name)), " ", 1).alias("__first")).where("block IS NOT NULL")
+    # The normalised name is a column of its own, so that it is computed once for the key and the first name.
+    named = records.withColumn("__n", person_name(F.col(field_.name)))
+    key = F.concat(F.substring_index("__n", " ", -1), F.lit("|"), F.substring("__n", 1, 1)) if field_.semantic == "NAME" else basic(F.col(field_.name))
+    base = named.select("rid", "dataset", key.alias("block"), *[normalizer(f.norm)(F.col(f.name)).alias(f"__r{i}") for i, f in enumerate(refine_by)],
+                        F.substring_index("__n", " ", 1).alias("__first")).where("block IS NOT NULL")
     parts = [f"__r{i}" for i in range(len(refine_by))] + ["__first"]
-    for p in parts:
+    for p in parts:  # each step is written: the sizes and the rows come from one computation
+        base = stored(base)
         sizes = base.groupBy("block").agg(F.count("*").alias("__n"))
         base = base.join(sizes, "block").withColumn("block", F.when(F.col("__n") > refine_block, F.concat("block", F.lit("|"), F.coalesce(p, F.lit("<null>")))).otherwise(F.col("block"))).drop("__n")
     return base.select("rid", "dataset", "block")
