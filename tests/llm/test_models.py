@@ -152,6 +152,36 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(unseen.get(np.unique(gram // SYMBOLS))[0], 0)
 
 
+def test_toxicity_keeps_rare_grams_beyond_the_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(4)
+    spelled = lambda: "".join(chr(97 + k) for k in rng.integers(0, 26, rng.integers(1, 14)))
+    common = [spelled() for _ in range(20)]
+    rows = []
+    for i in range(120):
+        t = [common[k] for k in rng.integers(0, 20, 12)] + [spelled() for _ in range(6)] + ["vilescum"] * (i % 5 == 0)
+        rows.append((i, " ".join(t), None if i % 7 == 0 else int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows + rows[:2] + [(500, None, None), (501, " ", 0)], "doc_id long, text string, toxic int")
+    calibrate = F.col("doc_id") % 3 == 0
+    counts = kn_toxicity.gram_counts(docs, F.col("text"), F.when(F.col("toxic").isNull() | calibrate, 0).otherwise(F.col("toxic") + 1))
+    got = counts.toPandas()
+    seen, unseen = kn_toxicity.train(got.gram.to_numpy(), got.n1.to_numpy(float), got.n2.to_numpy(float))
+    known, contexts = (t.toPandas() for t in kn_toxicity.train_tables(counts))
+    assert len(known) == ((got.n1 + got.n2) > 0).sum() == seen.get(known.g.to_numpy())[1].sum()
+    assert np.allclose(seen.get(known.g.to_numpy())[0], known["diff"], atol=1e-5)
+    assert np.allclose(unseen.get(contexts.c.to_numpy())[0], contexts["diff"], atol=1e-5)
+    probe = docs.select("doc_id", "text").union(spark.createDataFrame([(900, "vilescums qqqqq " + common[0])], "doc_id long, text string"))
+    scores = []
+    for most in (10**6, 40, 0):
+        m = kn_toxicity.fit(docs, F.col("toxic"), calibrate, max_broadcast=most)
+        assert (m.tables is None) == (most == 10**6)
+        scores.append(sorted((r.doc_id, r.score) for r in kn_toxicity.score(probe, m).collect()))
+    assert len(scores[0]) == 125
+    for other in scores[1:]:
+        assert [i for i, _ in other] == [i for i, _ in scores[0]] and np.allclose([x for _, x in other], [x for _, x in scores[0]], atol=1e-6)
+
+
 def test_grams_by_text():
     import pyarrow as pa
 

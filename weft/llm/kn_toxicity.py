@@ -4,25 +4,26 @@ Words are sequences of folded bytes (64 symbols), each symbol predicted from the
 order counts expressions by class; all lower orders are Kneser-Ney continuation counts shared by the classes and
 gathered over every document, so that an expression rare in one class falls back to how the whole corpus spells.
 Because the backoff is shared, the difference of the class log-likelihoods of a symbol depends on its eight-gram alone
-and sits in one hash table. A document's length-normalised difference, its strongest expressions and the share of strong
+and sits in one table, whole however large: the most frequent grams are broadcast as a hash table, others joined by shuffle. A document's length-normalised difference, its strongest expressions and the share of strong
 ones are calibrated to a probability on labelled documents that gave no counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import FOLD, SYMBOLS, mixed, segment_sums, text_views, written
 
 CONTEXT = 7
-#: At most so many distinct eight-grams make up the model; rarer ones (by total count) are left to the backoff.
-MAX_GRAMS = 1_200_000
+#: Up to so many eight-grams are broadcast. Beyond, the most frequent ones are, with their final differences, and the
+#: grams of a text that are not among them are joined with the whole table by shuffle.
+MAX_BROADCAST_GRAMS = 1_200_000
 #: Expressions whose difference exceeds so many nats count as strong.
 STRONG = 4.0
 PREDICT_AT = 0.7
@@ -68,6 +69,7 @@ class ToxicityModel:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # the intercept first
+    tables: tuple[DataFrame, DataFrame] | None = None  # (g, n, diff) and (c, diff) where ``seen`` holds the most frequent grams only
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,20 +142,67 @@ def gram_counts(texts: DataFrame, text: Column, kind: Column) -> DataFrame:
     return counted.groupBy("gram").agg(*[F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (0, 1, 2)])
 
 
-def bounded_counts(counts: DataFrame, max_grams: int = MAX_GRAMS) -> tuple[np.ndarray, ...]:
-    """The counts on the driver: all, or those frequent enough to be at most ``max_grams``."""
-    counts = counts.withColumn("n", F.col("n0") + F.col("n1") + F.col("n2"))
-    total = counts.count()
-    if total > max_grams:
-        levels = counts.groupBy(F.least(F.ceil(F.log2(F.col("n").cast("double"))), F.lit(40)).cast("int").alias("lv")).count().collect()
-        kept, least = 0, 41
-        for lv, n in sorted(((r["lv"], r["count"]) for r in levels), reverse=True):
-            if kept + n > max_grams:
-                break
-            kept, least = kept + n, lv
-        counts = counts.where(F.ceil(F.log2(F.col("n").cast("double"))) >= least)
-    rows = counts.select("gram", F.col("n1").cast("float"), F.col("n2").cast("float")).toArrow()
-    return tuple(rows.column(i).to_numpy() for i in range(3))
+def most_frequent(rows: DataFrame, most: int) -> DataFrame:
+    """The rows with the highest ``n``, by whole levels of log2 n, ``most`` at the most."""
+    level = F.least(F.ceil(F.log2(F.col("n").cast("double"))), F.lit(40)).cast("int")
+    kept, least = 0, 41
+    for lv, n in sorted(((r["lv"], r["count"]) for r in rows.groupBy(level.alias("lv")).count().collect()), reverse=True):
+        if kept + n > most:
+            break
+        kept, least = kept + n, lv
+    return rows.where(level >= least)
+
+
+def shared_probabilities(counts: DataFrame) -> DataFrame:
+    """(s, p): the Kneser-Ney probability of the last symbol of each seven-gram of ``counts`` after the six before it.
+
+    Aggregates over distinct left extensions, order by order. No group has more than 64 rows: the left extensions of
+    a gram, or the symbols after a context.
+    """
+    levels: dict[int, DataFrame] = {}
+    level, col = counts, "gram"
+    for k in range(CONTEXT, 0, -1):
+        level = written(level.groupBy(F.col(col).bitwiseAND(SYMBOLS**k - 1).alias("s")).agg(F.count("*").cast("double").alias("kinds")), f"toxic-order{k}")
+        levels[k], col = level, "s"
+    lower = None
+    for k in range(1, CONTEXT + 1):
+        d, after = _discount_of(levels[k], "kinds"), Window.partitionBy(F.shiftright("s", 6))
+        t = levels[k].select("s", "kinds", F.sum("kinds").over(after).alias("total"), F.count("*").over(after).alias("types"))
+        if lower is None:
+            t = t.withColumn("base", F.lit(1.0 / SYMBOLS))
+        else:
+            t = t.withColumn("_l", F.col("s").bitwiseAND(SYMBOLS ** (k - 1) - 1)).join(lower.toDF("_l", "base"), "_l")
+        lower = t.select("s", (F.greatest(F.col("kinds") - d, F.lit(0.0)) / F.col("total") + F.lit(d) * F.col("types") / F.col("total") * F.col("base")).alias("p"))
+    return lower
+
+
+def train_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``counts`` (gram, n0, n1, n2): (g, n, diff) of all grams seen in labelled texts, and (c, diff) of their contexts.
+
+    The tables that ``train`` makes of arrays, as DataFrames; nothing is left out, whatever their size.
+    """
+    known = counts.where("n1 + n2 > 0")
+    at, after = known.withColumn("s", F.col("gram").bitwiseAND(SYMBOLS**CONTEXT - 1)), Window.partitionBy("c")
+    t = at.join(shared_probabilities(counts), "s").withColumn("c", F.shiftright("gram", 6))
+    p, weight = {}, {}
+    for n in ("n1", "n2"):
+        d = _discount_of(known, n)
+        t = t.withColumns({f"t{n}": F.sum(n).over(after), f"k{n}": F.sum((F.col(n) > 0).cast("int")).over(after)})
+        weight[n] = F.when(F.col(f"t{n}") > 0, F.lit(d) * F.col(f"k{n}") / F.col(f"t{n}")).otherwise(F.lit(1.0))
+        p[n] = F.greatest(F.col(n) - F.lit(d), F.lit(0.0)) / F.greatest(F.col(f"t{n}"), F.lit(1)) + weight[n] * F.col("p")
+    ratio = lambda x: (F.log(F.greatest(x["n2"], F.lit(1e-12))) - F.log(F.greatest(x["n1"], F.lit(1e-12)))).cast("float")
+    t = written(t.select(F.col("gram").alias("g"), (F.col("n0") + F.col("n1") + F.col("n2")).alias("n"), "c", ratio(p).alias("diff"), ratio(weight).alias("other")), "toxic-model")
+    return t.select("g", "n", "diff"), t.groupBy("c").agg(F.first("other").alias("diff"))
+
+
+def _discount_of(rows: DataFrame, n: str) -> float:
+    one, two = rows.agg(F.count_if(F.col(n) == 1), F.count_if(F.col(n) == 2)).first()
+    return one / (one + 2 * two) if one and two else 0.75
+
+
+def _hash_table(rows: DataFrame) -> HashTable:
+    got = rows.toArrow()
+    return HashTable(got.column(0).to_numpy(), got.column(1).to_numpy())
 
 
 def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,7 +216,7 @@ def _discount(counts: np.ndarray) -> float:
 
 
 def train(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[HashTable, HashTable]:
-    """The two tables of ToxicityModel from the grams of all documents and their counts by class."""
+    """The two tables of ToxicityModel from arrays of all grams and their counts by class: what ``train_tables`` is held against."""
     order = np.argsort(gram)
     gram, ordinary, toxic = gram[order], ordinary[order], toxic[order]
     del order
@@ -216,7 +265,13 @@ def features(model: ToxicityModel, raw: np.ndarray, offsets: np.ndarray) -> np.n
         return out
     value, found = model.seen.get(g)
     value[~found] = model.unseen.get(g[~found] // SYMBOLS)[0]
-    words = np.bincount(word, value, firsts[-1])
+    return _summary(np.bincount(word, value, firsts[-1]), firsts)
+
+
+def _summary(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The features from the differences of the words and the first word of each text."""
+    n = len(firsts) - 1
+    out = np.zeros((n, FEATURES))
     count = np.maximum(np.diff(firsts), 1)
     out[:, 0] = segment_sums(words, firsts[:-1], firsts[1:]) / count
     out[:, 4] = segment_sums((words > STRONG).astype(float), firsts[:-1], firsts[1:]) / count
@@ -229,23 +284,84 @@ def features(model: ToxicityModel, raw: np.ndarray, offsets: np.ndarray) -> np.n
     return out
 
 
-def _apply(shared, schema: pa.Schema, with_model: bool):
+def _apply(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for first, last, raw, offsets in text_views(batch.column(1), 2 << 20):
                 f = features(model, raw, offsets)
-                passed = [batch.column(0).slice(first, last - first)]
-                if with_model:
-                    z = model.weights[0] + ((f - model.mean) / model.scale) @ model.weights[1:]
-                    yield pa.RecordBatch.from_arrays(passed + [pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], names=["id", "score"])
-                else:
-                    flat = pa.array(f.ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, FEATURES, dtype=np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays(passed + [lists], names=["label", "f"])
+                flat = pa.array(f.ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, FEATURES, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["id", "f"])
+    return run
+
+
+def _open_words(shared):
+    """A row by text with the sums of the words that the broadcast grams decide, then a row by gram that they lack.
+
+    The first open gram of a word brings along what its other grams add up to.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for first, last, raw, offsets in text_views(batch.column(2), 2 << 20):
+                rows, n = batch.column(1).slice(first, last - first), last - first
+                g, word, firsts = grams(raw, offsets)
+                value, found = model.seen.get(g) if len(g) else (np.zeros(0), np.zeros(0, bool))
+                words = np.bincount(word, value, firsts[-1])
+                at = np.flatnonzero(~found)
+                is_open = np.zeros(firsts[-1], bool)
+                is_open[word[at]] = True
+                decided = np.where(is_open, 0.0, words)
+                text = np.repeat(np.arange(n), np.diff(firsts))
+                sums = np.bincount(text, decided, n)
+                strong = np.bincount(text, decided > STRONG, n).astype(np.int64)
+                best = np.full((n, 3), np.nan)
+                shut = np.flatnonzero(~is_open)
+                order = shut[np.lexsort((-words[shut], text[shut]))]
+                left = np.bincount(text[shut], minlength=n)
+                starts = np.cumsum(left) - left
+                for k in range(3):
+                    has = left > k
+                    best[has, k] = words[order[starts[has] + k]]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * n + 1, 3, dtype=np.int32)), pa.array(best.ravel()))
+                nulls = lambda kind, m: pa.nulls(m, kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), rows, nulls(pa.int64(), n), nulls(pa.int64(), n), pa.array(sums),
+                                                  pa.array(strong), pa.array(np.diff(firsts).astype(np.int64)), lists], names=OPEN)
+                number, ids, kind = rows.to_numpy(), word[at] - firsts[text[word[at]]], batch.column(0).type
+                part = np.where(np.diff(word[at], prepend=-1) != 0, words[word[at]], 0.0)
+                for lo in range(0, len(at), 100_000):
+                    cut = slice(lo, lo + 100_000)
+                    m = len(at[cut])
+                    yield pa.RecordBatch.from_arrays([nulls(kind, m), pa.array(number[text[word[at[cut]]]]), pa.array(g[at[cut]]), pa.array(ids[cut].astype(np.int64)), pa.array(part[cut]),
+                                                      nulls(pa.int64(), m), nulls(pa.int64(), m), nulls(pa.list_(pa.float64()), m)], names=OPEN)
     return run
 
 
+OPEN = ["id", "row", "g", "word", "part", "strong", "words", "best"]
+
+
+def document_features(src: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(id, f) by row of ``src`` (id, t); grams that are not broadcast are joined with the whole tables by shuffle."""
+    shared = src.sparkSession.sparkContext.broadcast(replace(model, tables=None))
+    id_type = src.schema["id"].dataType.simpleString()
+    if model.tables is None:
+        return src.mapInArrow(_apply(shared), f"id {id_type}, f array<double>")
+    numbered = src.select("id", F.monotonically_increasing_id().alias("row"), "t")
+    rows = written(numbered.mapInArrow(_open_words(shared), f"id {id_type}, row long, g long, word long, part double, strong long, words long, best array<double>"), "toxic-open")
+    seen, unseen = model.tables
+    opened = rows.where("g IS NOT NULL").select("row", "word", "part", "g", F.shiftright("g", 6).alias("c"))
+    opened = opened.join(seen.select("g", F.col("diff").alias("d")), "g", "left").join(unseen.withColumnRenamed("diff", "other"), "c", "left")
+    value = F.sum(F.col("part") + F.coalesce("d", "other", F.lit(0.0)))
+    words = opened.groupBy("row", "word").agg(value.alias("v"))
+    late = words.groupBy("row").agg(F.sum("v").alias("v"), F.count_if(F.col("v") > STRONG).alias("more"), F.slice(F.sort_array(F.collect_list("v"), asc=False), 1, 3).alias("top"))
+    both = rows.where("g IS NULL").join(late, "row", "left")
+    count, none = F.greatest("words", F.lit(1)), F.array().cast("array<double>")
+    top = F.sort_array(F.concat(F.filter("best", lambda x: ~F.isnan(x)), F.coalesce("top", none)), asc=False)
+    best = [F.least(F.greatest(F.coalesce(F.try_element_at(top, F.lit(k)), F.lit(0.0)), F.lit(-5.0)), F.lit(25.0)) for k in (1, 2, 3)]
+    return both.select("id", F.array((F.col("part") + F.coalesce("v", F.lit(0.0))) / count, *best, (F.col("strong") + F.coalesce("more", F.lit(0))) / count).alias("f"))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge-regularised logistic regression by Newton's method on standardised features."""
     mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
@@ -267,7 +383,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
 CALIBRATION_TEXTS = 20_000
 
 
-def fit(docs: DataFrame, label: Column, calibrate: Column, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
+def fit(docs: DataFrame, label: Column, calibrate: Column, id_col: str = "doc_id", text_col: str = "text",
+        max_broadcast: int = MAX_BROADCAST_GRAMS) -> ToxicityModel:
     """A model from ``docs``: ``label`` 0, 1 or null (unlabelled); ``calibrate`` marks the labelled rows kept from counting.
 
     All rows give shared counts, all labelled rows outside ``calibrate`` class counts. Without labels of both classes
@@ -276,13 +393,22 @@ def fit(docs: DataFrame, label: Column, calibrate: Column, id_col: str = "doc_id
     kind = F.when(label.isNull() | calibrate, 0).otherwise(label.cast("int") + 1)
     counts = written(gram_counts(docs, F.col(text_col), kind), "toxic-counts")
     zeros = np.zeros(FEATURES)
-    model = ToxicityModel(*train(*bounded_counts(counts)), zeros, zeros + 1, np.zeros(FEATURES + 1))
-    held = docs.where(calibrate & label.isNotNull()).select(label.cast("int").alias("label"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.xxhash64(id_col, F.lit(4)).alias("h"))
+    seen, unseen = train_tables(counts)
+    whole = seen.count() <= max_broadcast
+    if whole:
+        tables, frequent, other = None, seen.select("g", "diff"), unseen
+    else:
+        unseen = written(unseen, "toxic-contexts")
+        n = F.col("n0") + F.col("n1") + F.col("n2")
+        top = most_frequent(counts.select(F.col("gram").alias("g"), n.alias("n")), max_broadcast).withColumn("c", F.shiftright("g", 6))
+        top = top.join(seen.select("g", F.col("diff").alias("d")), "g", "left").join(unseen.withColumnRenamed("diff", "other"), "c", "left")
+        tables, frequent, other = (seen, unseen), top.select("g", F.coalesce("d", "other", F.lit(0.0).cast("float"))), unseen.where("false")
+    model = ToxicityModel(_hash_table(frequent), _hash_table(other), zeros, zeros + 1, np.zeros(FEATURES + 1), tables)
+    held = docs.where(calibrate & label.isNotNull()).select(label.cast("int").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.xxhash64(id_col, F.lit(4)).alias("h"))
     n = held.count()
     if n > CALIBRATION_TEXTS:
         held = held.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * CALIBRATION_TEXTS / n)))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    got = held.select("label", "t").mapInArrow(_apply(shared, None, False), "label int, f array<double>").toArrow()
+    got = document_features(held.select("id", "t"), model).toArrow()
     y = got.column(0).to_numpy().astype(float)
     x = np.array(got.column(1).to_pylist(), dtype=float).reshape(len(y), FEATURES)
     if len(set(y.tolist())) < 2:
@@ -290,7 +416,6 @@ def fit(docs: DataFrame, label: Column, calibrate: Column, id_col: str = "doc_id
         model.weights = np.concatenate([[np.log(share / (1 - share))], zeros])
     else:
         model.mean, model.scale, model.weights = logistic(x, y)
-    shared.destroy()
     return model
 
 
@@ -300,7 +425,9 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     Null texts count as empty; a text without words has all features 0 and the score that goes with them. Whole texts
     are scored, however long. Repeated rows are scored each; extra columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    out = src.mapInArrow(_apply(shared, None, True), src.select("id").withColumn("score", F.lit(0.0)).schema)
+    z = F.lit(float(model.weights[0]))
+    for i in range(FEATURES):
+        z = z + (F.col("f")[i] - F.lit(float(model.mean[i]))) / F.lit(float(model.scale[i])) * F.lit(float(model.weights[i + 1]))
+    out = document_features(src, model).select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int")).withColumnRenamed("id", id_col)
