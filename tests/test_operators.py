@@ -187,3 +187,25 @@ def test_uncertainty(spark):
     assert c["b"].point == 2 and abs(c["b"].expected - 1.15) < 1e-12
     a = {r.g: r for r in uncertainty.aggregate_with_uncertainty(u, "avg", "x", "g").collect()}
     assert a["a"].point == 15 and abs(a["a"].expected - 20 / 1.5) < 1e-12 and a["a"].low is None
+
+
+def test_graph_queries_take_whole_tables(spark, sf_dir):
+    from weft import queries
+    from weft.operators.clustering import _logit, greedy_contraction
+
+    read = lambda t, *cols: [tuple(r) for r in queries.table(spark, sf_dir, t).select(*cols).collect()]
+    customers, orders = [f"c{k}" for k, in read("customer", "c_custkey")], read("orders", "o_orderkey", "o_custkey")
+    parent = {n: n for n in customers + [f"o{k}" for k, _ in orders] + [f"s{k}" for k, in read("supplier", "s_suppkey")]}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+    for x, y in [(f"o{k}", f"c{c}") for k, c in orders] + [(f"o{k}", f"s{s}") for k, s in read("lineitem", "l_orderkey", "l_suppkey")]:
+        x, y = sorted((root(x), root(y)))
+        parent[y] = x
+    got = {r.node: r.label for r in queries.connected_components_whole(spark, sf_dir).collect()}
+    assert got == {n: root(n) for n in parent}
+    clusters = {r.node: r.cluster for r in queries.correlation_clustering(spark, sf_dir).collect()}
+    links = {(f"c{c}", f"o{k}"): max(-12.0, _logit(k % 100 / 100)) - _logit(0.9) for k, c in orders}
+    assert clusters == greedy_contraction(sorted({n for ab in links for n in ab}), links)

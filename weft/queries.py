@@ -205,6 +205,15 @@ def connected_components(spark, d):
     return components(c.select(F.col("c_custkey").alias("node")), edges)
 
 
+@query()
+def connected_components_whole(spark, d):
+    """All customers, orders and suppliers, linked by all orders and lineitems."""
+    c, o, s = (table(spark, d, t).select(F.concat(F.lit(t[0]), k).alias("node")) for t, k in (("customer", "c_custkey"), ("orders", "o_orderkey"), ("supplier", "s_suppkey")))
+    of = table(spark, d, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("c"), "o_custkey").alias("b"))
+    by = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
+    return components(c.unionByName(o).unionByName(s), of.unionByName(by))
+
+
 # -- profiling --------------------------------------------------------------------------------------------------------------
 
 _NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -475,8 +484,9 @@ def entity_resolution(spark, d):
 
 @query()
 def correlation_clustering(spark, d):
-    p = table(spark, d, "orders").where("o_orderkey % 3 = 0").select((F.col("o_custkey") % 300).alias("x"), (F.col("o_orderkey") % 300).alias("y"), ((F.col("o_orderkey") % 100) / 100.0).alias("p"))
-    p = p.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.max("p").alias("p"))
+    """All orders and their customers; the link of an order has the probability of its key's last two digits."""
+    o = table(spark, d, "orders")
+    p = o.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("o"), "o_orderkey").alias("b"), ((F.col("o_orderkey") % 100) / 100.0).alias("p"))
     nodes = p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return correlation_clusters(nodes, p, 0.9)
 
