@@ -209,3 +209,21 @@ def test_graph_queries_take_whole_tables(spark, sf_dir):
     clusters = {r.node: r.cluster for r in queries.correlation_clustering(spark, sf_dir).collect()}
     links = {(f"c{c}", f"o{k}"): max(-12.0, _logit(k % 100 / 100)) - _logit(0.9) for k, c in orders}
     assert clusters == greedy_contraction(sorted({n for ab in links for n in ab}), links)
+
+
+def test_oversized_blocks_keep_all_pairs(spark):
+    from weft.operators import resolution
+    from weft.operators.resolution import MatchField
+
+    rows = [(f"r{i:04d}", "ab"[i % 2], f"Name{i}", "5551234567" if i < 2100 else f"777{i:07d}") for i in range(2110)]
+    records = spark.createDataFrame(rows, "rid string, dataset string, name string, phone string")
+    fields = [MatchField("name", "NAME"), MatchField("phone", "PHONE", "digits")]
+    assert resolution.candidates(records, fields, schemes=("standard",)).count() == 1050 * 1050
+    few = records.where("rid < 'r0040'")
+    whole = {(x[0], y[0]) for x in rows[:40] for y in rows[:40] if x[0] < y[0] and x[1] != y[1]}
+    blocks = resolution.all_blocks(few, fields, schemes=("standard",))
+    for size in (3, 39, 40):
+        pairs = resolution.candidates(few, fields, max_block=size, schemes=("standard",), blocks=blocks)
+        assert sorted(tuple(r) for r in pairs.collect()) == sorted(whole)
+        found = resolution.blocking_statistics(few, pairs, blocks=blocks, max_block=size).first()
+        assert (found.oversized_blocks, found.oversized_records) == ((1, 40) if size < 40 else (0, 0))

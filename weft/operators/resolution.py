@@ -49,22 +49,28 @@ def block_keys(f: MatchField) -> Column | None:
     return None
 
 
-def _pairs(blocks: DataFrame, dedupe: tuple[str, ...]) -> DataFrame:
-    """Distinct admissible pairs of records that share a block; ``blocks`` has rid, dataset, block."""
-    a, b = blocks.alias("a"), blocks.alias("b")
-    joined = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.rid") < F.col("b.rid")) & admissible("a", "b", dedupe))
-    return joined.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
+#: Blocks of more records than this are dealt out over several tasks.
+MAX_BLOCK = 2000
 
 
-def limited(blocks: DataFrame, max_block: int) -> tuple[DataFrame, DataFrame]:
-    """(blocks of two to ``max_block`` records, (skipped_blocks, skipped_records) of larger ones).
+def _pairs(blocks: DataFrame, dedupe: tuple[str, ...], max_block: int = MAX_BLOCK) -> DataFrame:
+    """Distinct admissible pairs of records that share a block; ``blocks`` has rid, dataset, block.
 
-    Sizes are aggregated before the join, so a hot block is one combined row a task.
+    A block of more than ``max_block`` records is met in parts: each record is in one part by its hash and meets the
+    whole block there, so that no task has a hot block to itself and no pair is left out.
     """
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("__n"))
-    kept = blocks.join(sizes.where(F.col("__n").between(2, max_block)), "block").drop("__n")
-    skipped = sizes.where(F.col("__n") > max_block).agg(F.count("*").alias("skipped_blocks"), F.coalesce(F.sum("__n"), F.lit(0)).alias("skipped_records"))
-    return kept, skipped
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("__n")).where("__n > 1")
+    sized = blocks.join(sizes, "block").withColumn("parts", F.ceil(F.col("__n") / F.lit(max_block)).cast("int"))
+    a = sized.withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")).alias("a")
+    b = sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
+    joined = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.rid") < F.col("b.rid")) & admissible("a", "b", dedupe))
+    return joined.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b")).distinct()
+
+
+def oversized(blocks: DataFrame, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(oversized_blocks, oversized_records) of blocks of more than ``max_block`` records; their pairs are candidates too."""
+    sizes = blocks.groupBy("block").agg(F.count("*").alias("__n")).where(F.col("__n") > max_block)
+    return sizes.agg(F.count("*").alias("oversized_blocks"), F.coalesce(F.sum("__n"), F.lit(0)).alias("oversized_records"))
 
 
 def standard_blocks(records: DataFrame, fields: list[MatchField]) -> DataFrame:
@@ -114,32 +120,43 @@ def sorted_neighbourhood(records: DataFrame, field_: MatchField, window: int = 5
     return met.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
 
 
-def candidates(records: DataFrame, fields: list[MatchField], dedupe: tuple[str, ...] = (), max_block: int = 2000, refine_block: int = 150, window: int = 5,
-               schemes: tuple[str, ...] = ("standard", "sorted_neighbourhood", "token")) -> DataFrame:
-    """Distinct candidate pairs (a < b) of all blocking schemes."""
-    names = [f for f in fields if f.semantic == "NAME"] or [f for f in fields if f.semantic not in ("EMAIL", "PHONE", "ID")]
+def all_blocks(records: DataFrame, fields: list[MatchField], refine_block: int = 150, schemes: tuple[str, ...] = ("standard", "token")) -> DataFrame:
+    """The standard and token blocks, stored; the scheme is part of a block's name."""
+    names = _name_fields(fields)
     refine = [f for f in fields if f.semantic in ("CITY", "COUNTRY", "CATEGORY", "ZIPCODE")]
-    out = []
-    if "standard" in schemes:
-        out.append(_pairs(limited(standard_blocks(records, fields), max_block)[0], dedupe))
+    out = standard_blocks(records, fields if "standard" in schemes else []).withColumn("block", F.concat(F.lit("s:"), "block"))
     if "token" in schemes and names:
-        out.append(_pairs(limited(token_blocks(records, names[0], refine, refine_block), max_block)[0], dedupe))
+        out = out.unionByName(token_blocks(records, names[0], refine, refine_block).withColumn("block", F.concat(F.lit("t:"), "block")))
+    return stored(out)
+
+
+def _name_fields(fields: list[MatchField]) -> list[MatchField]:
+    return [f for f in fields if f.semantic == "NAME"] or [f for f in fields if f.semantic not in ("EMAIL", "PHONE", "ID")]
+
+
+def candidates(records: DataFrame, fields: list[MatchField], dedupe: tuple[str, ...] = (), max_block: int = MAX_BLOCK, refine_block: int = 150, window: int = 5,
+               schemes: tuple[str, ...] = ("standard", "sorted_neighbourhood", "token"), blocks: DataFrame | None = None) -> DataFrame:
+    """Distinct candidate pairs (a < b) of all blocking schemes; ``blocks`` are those of ``all_blocks``, if made already."""
+    names = _name_fields(fields)
+    out = _pairs(all_blocks(records, fields, refine_block, schemes) if blocks is None else blocks, dedupe, max_block)
     if "sorted_neighbourhood" in schemes and names:
-        out.append(sorted_neighbourhood(records, names[0], window, dedupe))
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result.distinct()
+        out = out.unionByName(sorted_neighbourhood(records, names[0], window, dedupe))
+    return out.distinct()
 
 
-def blocking_statistics(records: DataFrame, pairs: DataFrame, dedupe: tuple[str, ...] = ()) -> DataFrame:
-    """(records, admissible_pairs, candidate_pairs, reduction_ratio); admissible pairs in closed form from dataset sizes."""
+def blocking_statistics(records: DataFrame, pairs: DataFrame, dedupe: tuple[str, ...] = (), blocks: DataFrame | None = None, max_block: int = MAX_BLOCK) -> DataFrame:
+    """(records, admissible_pairs, candidate_pairs, reduction_ratio); admissible pairs in closed form from dataset sizes.
+
+    With ``blocks`` also oversized_blocks and oversized_records.
+    """
     sizes = records.groupBy("dataset").agg(F.count("*").cast("double").alias("n"))
     same = F.when(F.col("dataset").isin(*dedupe), F.col("n") * (F.col("n") - 1) / 2).otherwise(0.0) if dedupe else F.lit(0.0)
     total = sizes.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum(same).alias("same"))
     total = total.select(F.col("n").cast("long").alias("records"), ((F.col("n") * F.col("n") - F.col("sq")) / 2 + F.col("same")).cast("long").alias("admissible_pairs"))
     n = pairs.agg(F.count("*").alias("candidate_pairs"))
     both = total.join(F.broadcast(n))  # one row each
+    if blocks is not None:
+        both = both.join(F.broadcast(oversized(blocks, max_block)))
     return both.withColumn("reduction_ratio", F.when(F.col("admissible_pairs") > 0, F.round(1 - F.col("candidate_pairs") / F.col("admissible_pairs"), 6)).otherwise(F.lit(0.0)))
 
 
@@ -378,20 +395,21 @@ class Resolution:
 
 
 def resolve(records: DataFrame, fields: list[MatchField], dedupe: tuple[str, ...] = (), merge_at: float = 0.5, review_at: float = 0.2, clustering: str = "correlation",
-            labels: DataFrame | None = None, prefix: str = "E", window: int = 5, max_block: int = 2000, refine_block: int = 150) -> Resolution:
+            labels: DataFrame | None = None, prefix: str = "E", window: int = 5, max_block: int = MAX_BLOCK, refine_block: int = 150) -> Resolution:
     """Entities among ``records`` (rid, dataset and the fields): block, compare, fit, score, cluster.
 
     Rows stay on the executors; the driver sees pattern histograms and counts only.
     """
     from weft.operators.clustering import components, correlation_clusters, entity_table
 
-    found = candidates(records, fields, dedupe, max_block, refine_block, window)
+    blocks = all_blocks(records, fields, refine_block)
+    found = candidates(records, fields, dedupe, max_block, refine_block, window, blocks=blocks)
     if labels is not None:
         found = found.unionByName(labels.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     levels = stored(compared(records, found, fields))
     names = [f.name for f in fields]
     patterns = [(r.asDict(), r["n"]) for r in pattern_counts(levels, names).collect()]
-    stats = blocking_statistics(records, levels, dedupe).first().asDict()
+    stats = blocking_statistics(records, levels, dedupe, blocks, max_block).first().asDict()
     u = estimate_u(records, fields, dedupe)
     model = fit_by_rules(patterns, u, fields)
     model.prior = prior_over_all_pairs(patterns, model, stats["admissible_pairs"])

@@ -406,13 +406,13 @@ _PLAIN = _FIELDS[1:]
 @query(f"WITH {_people_sql()} SELECT DISTINCT x.rid AS a, y.rid AS b FROM people x JOIN people y ON x.rid < y.rid AND x.dataset <> y.dataset AND (x.email = y.email OR right(x.phone, 10) = right(y.phone, 10))")
 def block_standard(spark, d):
     r = people(spark, d)
-    return resolution._pairs(resolution.limited(resolution.standard_blocks(r, _FIELDS), 2000)[0], ())
+    return resolution._pairs(resolution.standard_blocks(r, _FIELDS), ())
 
 
 @query(f"""WITH {_people_sql()}, k AS (SELECT *, ln || '|' || left(fn, 1) AS b0 FROM people), n AS (SELECT b0, count(*) AS n FROM k GROUP BY b0),
 s AS (SELECT k.rid, k.dataset, CASE WHEN n.n > 3 THEN b0 || '|' || fn ELSE b0 END AS b FROM k JOIN n USING (b0)) SELECT DISTINCT x.rid AS a, y.rid AS b FROM s x JOIN s y ON x.b = y.b AND x.rid < y.rid AND x.dataset <> y.dataset""")
 def block_token(spark, d):
-    return resolution._pairs(resolution.limited(resolution.token_blocks(people(spark, d), _FIELDS[0], [], 3), 2000)[0], ())
+    return resolution._pairs(resolution.token_blocks(people(spark, d), _FIELDS[0], [], 3), ())
 
 
 @query(f"""WITH {_people_sql()}, o AS (SELECT rid, dataset, row_number() OVER (ORDER BY ln || ' ' || fn, rid) AS r FROM people)
