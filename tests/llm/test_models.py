@@ -221,3 +221,33 @@ def test_url_models_separate_what_they_learned(spark):
     rows += [(5000, "http://www.good7.info/en/story-x"), (5001, "http://spam3.biz/de/casino-y")]
     got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert got[5000] == "allow" and got[5001] == "block"
+
+
+def test_unseen_url_grams_back_off_to_shorter_contexts(spark):
+    from collections import Counter
+
+    known = [("good.net/en/story-one", True), ("good.net/en/story-two", True), ("spam.com/casino", False), ("spams.com/casinos", False)]
+    other = "xstoryx.org/qcasq"
+    order = url_filter.ORDER
+    counts = {kind: Counter() for kind in (True, False)}
+    contexts = {kind: Counter() for kind in (True, False)}
+
+    def five(body):
+        t = "^" * (order - 1) + body + "$"
+        return [t[i:i + order] for i in range(len(t) - order + 1)]
+    for body, kind in known:
+        for g in five(body):
+            for k in range(1, order + 1):
+                counts[kind][g[-k:]] += 1
+                contexts[kind][k, g[-k:-1]] += 1
+
+    def p(g, kind):
+        out = 1 / url_filter.ALPHABET
+        for k in range(1, order + 1):
+            out = (counts[kind][g[-k:]] + url_filter.PRIOR * out) / (contexts[kind][k, g[-k:-1]] + url_filter.PRIOR)
+        return out
+    urls = spark.createDataFrame(known + [(other, None)], "body string, accepted boolean")
+    got = {r.g: r["diff"] for r in url_filter.train(urls).collect()}
+    want = {g: math.log(p(g, True) / p(g, False)) for body in [b for b, _ in known] + [other] for g in five(body)}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    assert sum(g not in {x for b, _ in known for x in five(b)} and abs(want[g]) > 0.1 for g in five(other)) > 3

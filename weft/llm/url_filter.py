@@ -53,14 +53,17 @@ def _grams(df: DataFrame, keep: list[str]) -> DataFrame:
     return t.select(*keep, "_t", places.alias("_i")).select(*keep, F.substring(F.col("_t"), F.col("_i"), F.lit(ORDER)).alias("g"))
 
 
-def train(known: DataFrame) -> DataFrame:
-    """(g, diff): log P(last character | context, accepted) less the same for rejected, by n-gram seen in ``known``.
+def train(urls: DataFrame) -> DataFrame:
+    """(g, diff): log P(last character | context, accepted) less the same for rejected, by n-gram of ``urls``.
 
-    ``known`` has body and accepted (boolean). Each order's probability is its count plus PRIOR times the next shorter
-    order's, over its context's count plus PRIOR, down to the uniform distribution.
+    ``urls`` has body and accepted (boolean, null for URLs that are not counted). Each order's probability is its count
+    plus PRIOR times the next shorter order's, over its context's count plus PRIOR, down to the uniform distribution.
+    N-grams of uncounted URLs are in the table with count 0, so that they get what their shorter suffixes and contexts
+    say by the same interpolation.
     """
-    grams = written(_grams(known, ["accepted"]).groupBy("g").agg(
-        F.sum(F.col("accepted").cast("double")).alias("a"), F.sum((~F.col("accepted")).cast("double")).alias("r")), "url-grams")
+    none = F.lit(0.0)
+    grams = written(_grams(urls, ["accepted"]).groupBy("g").agg(
+        F.sum(F.coalesce(F.col("accepted").cast("double"), none)).alias("a"), F.sum(F.coalesce((~F.col("accepted")).cast("double"), none)).alias("r")), "url-grams")
     table = grams.select("g", F.lit(1.0 / ALPHABET).alias("pa"), F.lit(1.0 / ALPHABET).alias("pr"))
     for k in range(1, ORDER + 1):
         suffix, context = F.substring("g", ORDER - k + 1, k), F.substring("g", ORDER - k + 1, k - 1)
@@ -73,7 +76,7 @@ def train(known: DataFrame) -> DataFrame:
 
 
 def mean_difference(urls: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` and diff: the mean over a URL's characters; n-grams that training never saw count 0."""
+    """``keys`` and diff: the mean over a URL's characters; n-grams that are not in ``model`` (of no URL of ``train``) count 0."""
     small = model.count() <= MAX_BROADCAST_GRAMS
     scored = _grams(urls, keys).join(F.broadcast(model) if small else model, "g", "left")
     return scored.groupBy(*keys).agg((F.sum(F.coalesce("diff", F.lit(0.0))) / F.count("*")).alias("diff"))
@@ -98,8 +101,8 @@ def calibrated_threshold(known: DataFrame, width: float = 0.005) -> float:
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: ``id_col``, host, path, rule, verdict, difference.
 
-    URLs that a rule decides train and calibrate the models (each distinct host and path once); the verdict of the
-    others is allow if their difference reaches the threshold. Null URLs and URLs without ``://`` have empty host and
+    Of the URLs that a rule decides (each distinct host and path once), a fifth by hash calibrate the threshold and the
+    others are counted; where that fifth is not of both kinds, all known URLs calibrate. The verdict of undecided URLs is allow if their difference reaches the threshold. Null URLs and URLs without ``://`` have empty host and
     path, fit no rule and are judged by the models like others. Without known URLs of both kinds every difference is 0
     and the verdict allow. Equal URLs are judged once and joined back, so repeated rows and hot hosts cost nothing more.
     """
@@ -108,10 +111,12 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> Da
     rule, verdict = matching_rule(F.col("host"), F.col("path"))
     urls = src.select("host", "path").distinct().withColumns({"rule": rule, "ruled": verdict, "body": F.concat("host", "path")})
     urls = written(urls, "urls")
-    known = urls.where("ruled IS NOT NULL").select("host", "path", "body", (F.col("ruled") == "allow").alias("accepted"))
-    model = train(known)
+    accepted, held = F.col("ruled") == "allow", F.pmod(F.xxhash64("body", F.lit(5)), F.lit(5)) == 0
+    known = urls.where("ruled IS NOT NULL").select("host", "path", accepted.alias("accepted"), held.alias("held"))
+    model = train(urls.select("body", F.when(~held, accepted).alias("accepted")))
     scored = written(mean_difference(urls, model, ["host", "path"]), "url-scores")
-    pairs = known.join(scored, ["host", "path"]).select("diff", "accepted")
+    both = known.where("held").agg(F.count_if("accepted"), F.count_if(~F.col("accepted"))).first()
+    pairs = known.where("held" if all(both) else "true").join(scored, ["host", "path"]).select("diff", "accepted")
     threshold = calibrated_threshold(pairs)
     verdict = F.coalesce("ruled", F.when(F.coalesce("diff", F.lit(0.0)) >= threshold, F.lit("allow")).otherwise(F.lit("block")))
     decided = urls.join(scored, ["host", "path"], "left").select("host", "path", "rule", verdict.alias("verdict"), F.coalesce("diff", F.lit(0.0)).alias("difference"))
