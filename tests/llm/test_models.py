@@ -251,3 +251,14 @@ def test_unseen_url_grams_back_off_to_shorter_contexts(spark):
     want = {g: math.log(p(g, True) / p(g, False)) for body in [b for b, _ in known] + [other] for g in five(body)}
     assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
     assert sum(g not in {x for b, _ in known for x in five(b)} and abs(want[g]) > 0.1 for g in five(other)) > 3
+
+
+def test_marks_hide_no_wrappers_and_end_tags_are_implied():
+    m, story = model(), "<p>A long story about a river and the town beside it.</p>" * 3
+    told = "\n\n".join(["A long story about a river and the town beside it."] * 3)
+    for page in ('<body class="has-sidebar">%s</body>', '<body><div id="page" class="no-comments header-fixed">%s</div></body>', '<article class="social">%s</article>',
+                 "<body><form id=aspnet>%s</form></body>", "<p class=notice>Sale now<div>%s</div>", "<ul><li class=share>Share it<li>x</ul>%s"):
+        assert told in html_extract.extract(page % story, m), page
+    assert "Sale" not in html_extract.extract("<p class=notice>Sale now<div>" + story + "</div>", m)
+    assert told in html_extract.extract("<nav>Home<div>" + story + "</div>", m)
+    assert html_extract._hidden(list(html_extract.tokens("<div class=ad>x<b>y</div>z z z z"))) == [True] * 5 + [False]

@@ -30,6 +30,17 @@ BOILERPLATE_WORDS = frozenset(
     "menu nav navbar navigation newsletter notice popup promo promoted recommended related reply replies share sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar widget".split())
 
+#: Elements that hold the page, whatever their class; end tags that may be left out, and what implies them: by opening tag,
+#: the elements it ends and the elements beyond which it ends none.
+NEVER_HIDDEN = frozenset("html body main article".split())
+OMITTED = frozenset("p li dt dd tr td th thead tbody tfoot".split())
+CLOSES_P = BLOCK - frozenset("body caption head html legend tbody td tfoot th thead title tr".split())
+P_SCOPE = frozenset("table td th caption".split())
+_CELLS, _TABLE = frozenset("td th".split()), frozenset(["table"])
+IMPLIED = {"li": (frozenset(["li"]), frozenset("ul ol menu".split())), "tr": (_CELLS | {"tr"}, _TABLE)}
+IMPLIED |= {k: (frozenset("dt dd".split()), frozenset(["dl"])) for k in ("dt", "dd")}
+IMPLIED |= {k: (_CELLS, _TABLE | {"tr"}) for k in _CELLS} | {k: (_CELLS | frozenset("tr thead tbody tfoot".split()), _TABLE) for k in ("thead", "tbody", "tfoot")}
+
 _NAME = re.compile(r"[A-Za-z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _TOKEN = re.compile(r"[A-Za-z]+")
@@ -142,19 +153,62 @@ def best_region(weights: Iterable[float]) -> tuple[int, int]:
 
 
 def _hidden(items: list[Tag | str]) -> list[bool]:
-    """Whether each item lies inside (or opens or closes) an element that is boilerplate by itself."""
-    out, open_ = [], []  # open elements from the outermost boilerplate element on
+    """Whether each item lies inside (or opens or closes) an element that is boilerplate by itself.
+
+    Marks on html, body, main and article hide nothing, nor do marked elements and forms that hold most of the page's
+    words, nor elements that must have an end tag and have none; such tags count as features of the region only. Omitted
+    end tags of paragraphs, list items and table parts are implied as in HTML.
+    """
+    n, upto = len(items), [0]
     for x in items:
-        before = bool(open_)
-        if isinstance(x, Tag):
-            if open_:
-                if x.closing and x.name in open_:
-                    del open_[len(open_) - 1 - open_[::-1].index(x.name):]
-                elif not x.closing and not x.lone and x.name == open_[0]:
-                    open_.append(x.name)
-            elif not x.closing and not x.lone and (x.name in BOILERPLATE or x.marked):
-                open_.append(x.name)
-        out.append(before or bool(open_))
+        upto.append(upto[-1] + (0 if isinstance(x, Tag) else len(x.split())))
+    edges = [0] * (n + 1)
+    stack: list[tuple[str, int, bool]] = []  # open blocks and candidates: name, place, whether it may be hidden
+    count: Counter = Counter()
+
+    def pop(end: int, own: bool) -> None:
+        name, start, hides = stack.pop()
+        count[name] -= 1
+        if not hides or not (own or name in OMITTED):
+            return
+        if (items[start].marked or name == "form") and 2 * (upto[end] - upto[start]) > upto[n]:
+            return
+        edges[start] += 1
+        edges[end] -= 1
+
+    def close(names: frozenset[str], scope: frozenset[str], at: int) -> None:
+        if any(count[x] for x in names):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in scope:
+                    break
+                if stack[i][0] in names:
+                    while len(stack) > i:
+                        pop(at, False)
+
+    for i, x in enumerate(items):
+        if not isinstance(x, Tag) or x.lone:
+            continue
+        if x.closing:
+            while count[x.name]:
+                own = stack[-1][0] == x.name
+                pop(i + 1 if own else i, own)
+                if own:
+                    break
+            continue
+        if x.name in CLOSES_P:
+            close(frozenset(["p"]), P_SCOPE, i)
+        if x.name in IMPLIED:
+            close(*IMPLIED[x.name], i)
+        hides = x.name in BOILERPLATE or x.marked and x.name not in NEVER_HIDDEN
+        if hides or x.name in BLOCK:
+            stack.append((x.name, i, hides))
+            count[x.name] += 1
+    while stack:
+        pop(n, False)
+    out, depth = [], 0
+    for e in edges[:n]:
+        depth += e
+        out.append(depth > 0)
     return out
 
 
