@@ -262,3 +262,11 @@ def test_marks_hide_no_wrappers_and_end_tags_are_implied():
     assert "Sale" not in html_extract.extract("<p class=notice>Sale now<div>" + story + "</div>", m)
     assert told in html_extract.extract("<nav>Home<div>" + story + "</div>", m)
     assert html_extract._hidden(list(html_extract.tokens("<div class=ad>x<b>y</div>z z z z"))) == [True] * 5 + [False]
+
+
+def test_few_labelled_pages_among_many_all_train(spark, monkeypatch):
+    rows = [(i, PAGE if i % 2000 == 0 else "<p>plain</p>") for i in range(20_000)]
+    seen = []
+    monkeypatch.setattr(html_extract, "train", lambda pages: seen.extend(pages) or html_extract.RegionModel())
+    html_extract.fit(spark.createDataFrame(rows, "page_id long, html string"))
+    assert len(seen) == 10

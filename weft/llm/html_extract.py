@@ -307,9 +307,10 @@ LABELLED_PAGES, LABELLED_CHARS = 200, 60_000
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> RegionModel:
     """Weights from a bounded sample of pages that label themselves by markup; defaults where no page does."""
     # A hash threshold leaves a few times the sample before anything is sorted or sent.
-    share = min(1.0, 8 * LABELLED_PAGES / max(1, pages.count()))
+    marked = pages.where((F.length(html_col) <= LABELLED_CHARS) & F.col(html_col).rlike("(?i)<(article|main)[\\s>]"))
+    share = min(1.0, 8 * LABELLED_PAGES / max(1, marked.count()))
     h = F.xxhash64(id_col)
-    sample = (pages.where((F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))) & (F.length(html_col) <= LABELLED_CHARS) & F.col(html_col).rlike("(?i)<(article|main)[\\s>]"))
+    sample = (marked.where(F.pmod(h, F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
               .select(h.alias("h"), F.col(html_col).alias("p")).orderBy("h", "p").limit(LABELLED_PAGES))
     labelled = [x for r in sample.collect() if (x := label_by_markup(r["p"]))]
     model = train(labelled)
