@@ -34,12 +34,7 @@ def test_region_scan_is_the_best_of_all_runs():
 
 
 def model():
-    labelled = [html_extract.label_by_markup(PAGE.replace("Four", f"Word {i}")) for i in range(5)]
-    m = html_extract.train(labelled)
-    for name in html_extract.BOILERPLATE | {"header"}:
-        m.tags[name] = m.tags["/" + name] = m.tags[name + "!"] = -20.0
-    m.tags["div!"] = -20.0
-    return m
+    return html_extract.train([html_extract.label_by_markup(PAGE.replace("Four", f"Word {i}")) for i in range(5)])
 
 
 def test_extraction():
@@ -261,7 +256,39 @@ def test_marks_hide_no_wrappers_and_end_tags_are_implied():
         assert told in html_extract.extract(page % story, m), page
     assert "Sale" not in html_extract.extract("<p class=notice>Sale now<div>" + story + "</div>", m)
     assert told in html_extract.extract("<nav>Home<div>" + story + "</div>", m)
-    assert html_extract._hidden(list(html_extract.tokens("<div class=ad>x<b>y</div>z z z z"))) == [True] * 5 + [False]
+    assert html_extract._hidden(list(html_extract.tokens("<div class=ad>x<b>y</div>z z z z")), m) == [True] * 5 + [False]
+
+
+STORY = "The river rose again in the night and the town beside it woke to water."
+ODD = {
+    '<body class="has-sidebar"><article><h1>T</h1><p>%s</p></article></body>': "T\n\n" + STORY,
+    '<body><form id="f"><article><h1>T</h1><p>%s</p></article></form></body>': "T\n\n" + STORY,
+    '<body><article><div class="article-header"><h1>T</h1></div><p>%s</p></article></body>': "T\n\n" + STORY,
+    '<body><article><div id="share-price"><p>%s</p></div></article></body>': STORY,
+    '<body><article><p>%s</p><div class="share"><a href=x>Post</a> <a href=y>Mail</a></div><p>End.</p></article></body>': STORY + "\n\nEnd.",
+    '<body><article><aside>Also<p>%s</p></article></body>': "Also\n\n" + STORY,
+    '<body><article><p><img alt="a > b" src=x>%s</p></article></body>': STORY,
+    "<body><article><p title='a > b' class=\"x\">%s</p><p data-x=\"never closed>End.</p></article></body>": STORY + "\n\nEnd.",
+    "<body><p>\u0130</p><SCRIPT>var a = '<p>no</p>';</SCRIPT><article><p>%s</p></article></body>": STORY,
+    "<body><article><p>%s</p><math><mi>x</mi></math> and <select><option>one</option></select></article></body>": STORY + "\n\nx and one",
+    '<body><article><p>%s</p><div class="notice">We set cookies so that this page works as well as it can for all of you.</div></article></body>': STORY,
+    '<body><article><p>%s</p></article><section id="comments"><p>I disagree with all of this, says a reader at some length and more than once.</p></section></body>': STORY,
+    '<body><header><p>The site</p></header><nav><ul><li>Home</ul></nav><article><h1>T</h1><ul><li>one<li>two</ul><p>%s</p></article><footer>c</footer></body>': "T\n\none\n\ntwo\n\n" + STORY,
+    '<body><div class="sidebar"><div class="widget"><p>%s</p></div></div><article><p>Short.</p></article></body>': "Short.",
+}
+
+
+@pytest.mark.parametrize("page", ODD)
+def test_odd_markup(page):
+    got = html_extract.extract(page % STORY, model())
+    assert got.removeprefix("\u0130\n\n") == ODD[page]
+
+
+def test_marks_are_learned_from_labelled_pages():
+    page = "<body><div class=zork><p>%s</p></div><article class=blurb><h1>T</h1><p>%s</p></article></body>" % (STORY, STORY)
+    m = html_extract.train([html_extract.label_by_markup(page)] * 3)
+    assert m.elements["mark:zork"] < 0 and html_extract.extract(page, m) == "T\n\n" + STORY
+    assert html_extract.RegionModel().elements.get("mark:zork") is None
 
 
 def test_few_labelled_pages_among_many_all_train(spark, monkeypatch):
