@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("weft.llm")
 from weft.llm import bagminhash, exact_dedup, mih_ann, mixing, packing, pii, queries  # noqa: E402
@@ -79,12 +80,68 @@ def test_near_duplicates_chain_and_edges(spark):
     docs = frame(spark, [(a, b, 1, "k") for a, b in rows], "doc_id long, text string, rep int, node string")
     got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(docs).collect()}
     want = brute_classes([r for r in rows if r[0] is not None])
-    assert got == want
+    assert got == want | {None: None}
     assert got[12] == 11 and got[13] == 13 and got[9] == 8
     assert bagminhash.near_duplicates(docs.where("false")).count() == 0
     assert sorted(r.doc_id for r in bagminhash.keep_one_of_each(docs).collect() if r.doc_id) == [1, 5, 6, 7, 8, 10, 11, 13]
 
 
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(7, a), (7, b), (9, a), (3, b), (3, b), (5, c), (5, c), (5, c + " end"), (None, c), (None, "alone in the world"), (None, "alone in the world")]
+    docs = frame(spark, rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.class_id or 0, r.class_size) for r in bagminhash.near_duplicates(docs).collect())
+    assert got == sorted([(7, 7, 2), (7, 3, 3), (9, 7, 2), (3, 3, 3), (3, 3, 3), (5, 5, 4), (5, 5, 4), (5, 5, 4), (0, 5, 4), (0, 0, 2), (0, 0, 2)])
+    kept = sorted((r.doc_id or 0, r.text) for r in bagminhash.keep_one_of_each(docs.withColumn("n", F.lit(1))).collect())
+    assert [(i, t) for i, t in kept if i != 5] == sorted([(7, a), (3, b), (0, "alone in the world")]) and [i for i, _ in kept].count(5) == 1
+    firsts = sorted((r.doc_id or 0, r.text) for r in exact_dedup.keep_first_copies(docs).collect())
+    assert firsts == sorted([(7, a), (3, b), (5, c), (5, c + " end"), (0, "alone in the world")])
+
+
+def test_a_large_group_of_near_copies_against_all_pairs(spark, monkeypatch):
+    """Texts at all distances from one another, in blocks so small that a bucket takes many."""
+    monkeypatch.setattr(bagminhash, "BLOCK_TEXTS", 8)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for d in range(160):
+        t = list(base)
+        for k in rng.integers(0, 150, rng.integers(0, 9)):
+            t[k] = f"x{rng.integers(3) if d % 2 else d}"
+        rows.append((d, " ".join(t)))
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(frame(spark, rows, "doc_id long, text string")).collect()}
+    want = brute_classes(rows)
+    assert 1 < len(set(want.values())) < 100 and got == want
+
+
+def test_blocks_and_pieces_change_nothing(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(str(x) for x in rng.integers(0, 9, n)) for n in (0, 3, 700, 40)] + ["z" * 300 + " b  c", " lead", "é" * 90]
+    raw = [t.encode() for t in texts]
+    joined, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    whole, starts = bagminhash.shingles(joined, offsets)
+    text, element, weight = bagminhash.multisets(whole, starts)
+    sig = bagminhash.signatures(text, element, weight, len(texts), 40)
+    assert (sig == bagminhash.signatures(text, element, weight, len(texts), 40, block=13)).all()
+    monkeypatch.setattr(bagminhash, "PIECE", 64)
+    again, begins = bagminhash.shingles(joined, offsets)
+    assert (again == whole).all() and (begins == starts).all()
+    assert [int(n) for n in np.diff(starts)] == [max(1, len(t.split()) - 4) if t.split() else 0 for t in texts]
+
+
+def test_block_similarities_and_joining_links():
+    rng = np.random.default_rng(7)
+    bags = [np.unique(rng.integers(0, 40, rng.integers(1, 30))) for _ in range(12)]
+    got = bagminhash.similarities(bags, columns=7)
+    for i, x in enumerate(bags):
+        for j, y in enumerate(bags):
+            assert abs(got[i, j] - len(np.intersect1d(x, y)) / len(np.union1d(x, y))) < 1e-9
+    similar = np.zeros((6, 6), bool)
+    similar[0, 1] = similar[1, 0] = similar[1, 5] = similar[5, 1] = similar[3, 4] = similar[4, 3] = True
+    a, b = bagminhash.joining_links(similar, np.array([10, 20, 30, 40, 40, 50]))
+    assert sorted(zip(a.tolist(), b.tolist())) == [(20, 10), (50, 10)]
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(0)
     gaps = []
@@ -194,7 +251,8 @@ def plain_spans(text):
 
 HARD = ["a@b.co", "x a@b.com_y@z.org!é a@b", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255", "+1 (389) 555-5010 +12 +123456789012345678", "4111 1111 1111 1111 4111-1111-1111-1112",
         "ñé 4111111111111111é 70.123.182.155", "@@a@b..c a.@-.-", "1 " * 20000, "7" * 50000, "a" * 100000 + "@b.c", "+1" + " " * 50000, None, "", "a@b.c" * 50,
-        "call me at (212) 555-0188 today", "phone: 212-555-0188 or write jane (at) example (dot) com", "serial 212-555-0188-9"]
+        "call me at (212) 555-0188 today", "phone: 212-555-0188 or write jane (at) example (dot) com", "serial 212-555-0188-9",
+        "server 192[.]168[.]1[.]20 and host 2001:0db8:0000:0000:0000:ff00:0042:8329", "card 4111.1111.1111.1111 and visa 4111/1111/1111/1112", "version 212.555.0188 of it", "a@b.co " * 3000]
 
 
 def test_personal_data_against_plain_patterns(spark, sf_dir):
@@ -207,14 +265,44 @@ def test_personal_data_against_plain_patterns(spark, sf_dir):
         assert [got[d]["n_" + k] for k in PLAIN] == [sum(w.startswith(k) for w in want) for k in PLAIN]
         assert set(want) <= set(got[d].spans.split(",")) | {""}
     assert got[10**6 + 15].n_added == 2 and got[10**6 + 14].n_added == 1 and got[10**6 + 16].n_added == 0
+    assert got[10**6 + 17].n_added == 2 and got[10**6 + 18].n_added >= 1 and "card:5:24" in got[10**6 + 18].spans and got[10**6 + 19].n_added == 0
+    assert got[10**6 + 20].n_email == 3000
     assert pii.personal_data(docs.where("false")).count() == 0
 
 
+def test_span_classifier_against_brute_force(spark):
+    """Votes and scores recomputed in Python from the same weights decide as the columns do."""
+    def bit(pattern, t):
+        return int(re.search(pattern.replace("(?i:2", "(?:2"), t) is not None)
+    texts = ["call 212-555-0188 now", "it is 212 555 0188", "order 912-555-0188", "ring (212) 555-0188", "x 0049 30 1234567", "tel 0049 30 1234567", "sku 212-555-0188 and 312-555-0199"] * 5
+    docs = frame(spark, list(enumerate(texts)), "doc_id long, text string")
+    wide = [[(m.start(), m.end(), m.group()) for m in re.finditer(pii.WIDE["phone"], t)] for t in texts]
+    cells = Counter()
+    def feats(t, spans, i):
+        s, e, m = spans[i]
+        before = t[spans[i - 1][1] if i else 0:s][-32:]
+        return (bit(pii.FORM["phone"], m), bit(pii.GAZETTEER["phone"], m), bit(pii.CONTEXT["phone"], before), bit(pii.AGAINST, before), min(len(m), 40) // 4 / 10)
+    for t, spans in zip(texts, wide):
+        for i in range(len(spans)):
+            cells[feats(t, spans, i)] += 1
+    w = pii.train(sorted(cells.items()))
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs).collect()}
+    for d, (t, spans) in enumerate(zip(texts, wide)):
+        keep = [f"phone:{s}:{e}" for i, (s, e, _) in enumerate(spans) if w[0] + sum(a * b for a, b in zip(w[1:], feats(t, spans, i))) >= 0]
+        assert got[d] == ",".join(keep), t
+    assert got[0] and not got[2]
+
+
 def test_exact_copies_edges(spark):
-    rows = [(5, "a  b"), (3, "a\n\tb"), (9, "a b "), (1, None), (2, ""), (4, "a b"), (None, "a b"), (7, "x" * 1000 + "1"), (8, "x" * 1000 + "2"), (7, "x" * 1000 + "1")]
+    rows = [(5, "a  b"), (3, "a\n\tb"), (9, "a b "), (1, None), (2, ""), (4, "a b"), (None, "a b"), (7, "x" * 1000 + "1"), (8, "x" * 1000 + "2"), (7, "x" * 1000 + "1"),
+            (11, "y" * 1000 + "1"), (11, "y" * 1000 + "2"), (12, "y" * 1000 + "1")]
     docs = frame(spark, [(a, b, 1) for a, b in rows], "doc_id long, text string, group_size int")
     for limit in (0, 10**6):
-        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_duplicates(docs, max_broadcast_keys=limit).collect()}
+        found = exact_dedup.exact_duplicates(docs, max_broadcast_keys=limit, digests=True).collect()
+        assert len(found) == len(rows)
+        eleven = {r.text_sha256: (r.keep_id, r.group_size, r.kept) for r in found if r.doc_id == 11}
+        assert eleven == {hashlib.sha256(("y" * 1000 + k).encode()).hexdigest(): v for k, v in (("1", (11, 2, True)), ("2", (11, 1, True)))}
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in found if r.doc_id not in (11, 12)}
         assert got == {5: (3, 4, False), 3: (3, 4, True), 4: (3, 4, False), None: (3, 4, False), 9: (9, 1, True), 1: (1, 2, True), 2: (1, 2, False), 7: (7, 2, True), 8: (8, 1, True)}
     assert exact_dedup.exact_duplicates(docs.where("false")).count() == 0
 

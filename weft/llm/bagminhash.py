@@ -7,26 +7,29 @@ A point counts if its unit lies below the shingle's weight, and a component keep
 agree in a component with the probability of their weighted Jaccard similarity. A shingle's process is followed
 only until it passes the largest component value, so that most shingles cost one point.
 
-Bands of the signature name candidate groups; texts are verified on their whole multisets. Links make classes by
-connected components, found by label propagation in DataFrames.
+Bands of the signature name buckets of candidates; texts are verified on their whole multisets. Verification works on
+blocks of bounded size: a block's overlaps are one product of incidence matrices, and of the links found only those
+leave it that join components. Members first meet in blocks around the smallest text of their bucket. Where a bucket
+still spans several components, all its members outside its largest component then meet the whole bucket, block by
+block, so that no candidate pair between components goes unverified, without a join that makes a row for each pair.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import mixed, seeded, text_views, without_ids, written
+from weft.llm.common import mixed, row_hash, seeded, text_views, without_rows, written
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-#: Rounds in which members that their bucket's hub did not reach meet other hubs.
-HUB_ROUNDS = 2
+#: A block of verification holds about so many texts and shingles of a side (a single longer text is on its own).
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 2_000_000
 #: 20 bands of 5 components: a pair at similarity 0.8 shares a band with probability 0.9996.
 BANDS, ROWS = 20, 5
 
@@ -46,18 +49,55 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-_POWERS: tuple[np.ndarray, np.ndarray] = _powers(1)
+#: Bytes hashed at a time; longer texts are taken in pieces that end between words.
+PIECE = 1 << 20
+_POWERS = _powers(PIECE)
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (runs without white space) in the texts, and each text's first word."""
-    global _POWERS
+    out, firsts, words = [], [0], 0
+    n = len(offsets) - 1
+    text = 0
+    while text < n:
+        # As many whole texts as fit a piece, or the pieces of one long text.
+        last = max(text + 1, int(np.searchsorted(offsets, offsets[text] + PIECE, side="right")) - 1)
+        last = min(last, n)
+        lo, hi = int(offsets[text]), int(offsets[last])
+        if hi - lo <= PIECE:
+            h, first = _piece_hashes(raw[lo:hi], offsets[text:last + 1] - lo)
+            out.append(h)
+            firsts += [words + int(f) for f in first[1:]]
+            words += len(h)
+        else:
+            while lo < hi:
+                end = min(hi, lo + PIECE)
+                if end < hi:
+                    gaps = np.flatnonzero(_SPACE[raw[lo:end]])
+                    end = lo + int(gaps[-1]) + 1 if len(gaps) else lo + _long_word(raw, lo, hi)
+                h, _ = _piece_hashes(raw[lo:end], np.array([0, end - lo]))
+                out.append(h)
+                words += len(h)
+                lo = end
+            firsts.append(words)
+        text = last
+    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(firsts, np.int64)
+
+
+def _long_word(raw: np.ndarray, lo: int, hi: int) -> int:
+    """Length of the word at ``lo``, which is longer than a piece."""
+    for at in range(lo, hi, PIECE):
+        gaps = np.flatnonzero(_SPACE[raw[at:min(hi, at + PIECE)]])
+        if len(gaps):
+            return at + int(gaps[0]) + 1 - lo
+    return hi - lo
+
+
+def _piece_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    if len(_POWERS[0]) <= n:
-        _POWERS = _powers(max(n, 1 << 20))
-    up, down = _POWERS
+    up, down = _POWERS if n < len(_POWERS[0]) else _powers(n)
     inside = ~_SPACE[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -108,8 +148,19 @@ def multisets(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return t[at], h[at], np.diff(np.append(at, len(t)))
 
 
-def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
-    """BagMinHash signatures: for each of ``n`` texts, the ids of the earliest points in ``m`` components."""
+def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int, block: int = 1 << 20) -> np.ndarray:
+    """BagMinHash signatures: for each of ``n`` texts, the ids of the earliest points in ``m`` components.
+
+    Elements are followed ``block`` at a time, so that a very long text takes no more memory than many short ones.
+    """
+    best = np.full(n * m, np.inf)
+    ident = np.zeros(n * m, dtype=np.uint64)
+    for lo in range(0, len(text), block):
+        _follow(text[lo:lo + block], element[lo:lo + block], weight[lo:lo + block], n, m, best, ident)
+    return ident.reshape(n, m)
+
+
+def _follow(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int, best: np.ndarray, ident: np.ndarray) -> None:
     layers = np.ceil(np.log2(np.maximum(weight, 1))).astype(np.int64) + 1
     unit = np.repeat(np.arange(len(text)), layers)
     layer = np.arange(len(unit)) - np.repeat(np.cumsum(layers) - layers, layers)
@@ -118,8 +169,6 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
     width = np.where(layer == 0, 1, low)
     with np.errstate(over="ignore"):
         seed = mixed(element[unit] + (layer.astype(np.uint64) + _U(1)) * _U(0xD1B54A32D192ED03))
-    best = np.full(n * m, np.inf)
-    ident = np.zeros(n * m, dtype=np.uint64)
     arrival = np.zeros(len(unit))
     active = np.arange(len(unit))
     step = 0
@@ -145,7 +194,6 @@ def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int
             ident[slot[win]] = mixed(r1[win] ^ (r2[win] >> _U(1)))
         bound = best.reshape(n, m).max(axis=1)
         active = active[x < bound[t[active]]]
-    return ident.reshape(n, m)
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> float:
@@ -159,41 +207,26 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
-#: A sketch holds seven bits of each component, seven components to a 64-bit word with a spare bit above each, so that
-#: equal components of two texts are counted by word arithmetic inside a join condition.
-_FIELDS, _LOW, _HIGH = 7, 0x7F7F7F7F7F7F7F, 0x80808080808080
-#: Standard errors of the signature's estimate by which a pair may fall short of the threshold and still be verified
-#: (a pair at the threshold falls further short with probability 3e-6).
-MARGIN = 4.5
-
-
-def sketch_words(sig: np.ndarray) -> np.ndarray:
-    n, m = sig.shape
-    words = -(-m // _FIELDS)
-    bits = np.zeros((n, words * _FIELDS), np.uint64)
-    bits[:, :m] = sig & _U(0x7F)
-    shifts = (np.arange(_FIELDS, dtype=np.uint64) * _U(8))[None, None, :]
-    return (bits.reshape(n, words, _FIELDS) << shifts).sum(axis=2, dtype=np.uint64)
+def _fingerprints(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Two 64-bit sums by text; equal multisets have equal ones, in whatever order their shingles come."""
+    with np.errstate(over="ignore"):
+        parts = mixed(element * weight.astype(np.uint64) + weight.astype(np.uint64) * _GOLDEN)
+        sums = np.zeros((2, n), np.uint64)
+        np.add.at(sums[0], text, parts)
+        np.add.at(sums[1], text, mixed(parts + _U(77)))
+    return sums.view(np.int64)
 
 
-def likely(words: int, components: int, threshold: float, x: str, y: str) -> Column:
-    """Whether the sketches of sides ``x`` and ``y`` agree in enough components to be worth verifying."""
-    unequal = F.lit(0)
-    for i in range(words):
-        differ = F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])
-        unequal = unequal + F.bit_count((differ + F.lit(_LOW)).bitwiseAND(F.lit(_HIGH)))
-    least = components * threshold - MARGIN * math.sqrt(components * threshold * (1 - threshold))
-    return unequal <= F.lit(int(components - least))
+def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
 def _sign(bands: int, rows: int):
-    schema = pa.schema([("_id", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("size", pa.int64()),
-                        ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("size", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for first, last, raw, offsets in text_views(batch.column(1), 1 << 20):
+            for first, last, raw, offsets in text_views(batch.column(2), 1 << 20):
                 h, starts = shingles(raw, offsets)
                 text, element, weight = multisets(h, starts)
                 n = last - first
@@ -202,51 +235,105 @@ def _sign(bands: int, rows: int):
                 with np.errstate(over="ignore"):
                     for k in range(rows):
                         key = mixed(key * _BASE + sig[:, k::rows])
-                    # Equal multisets have equal fingerprints; their sums ignore the order of shingles.
-                    parts = mixed(element * weight.astype(np.uint64) + weight.astype(np.uint64) * _GOLDEN)
-                    sums = np.zeros((2, n), np.uint64)
-                    np.add.at(sums[0], text, parts)
-                    np.add.at(sums[1], text, mixed(parts + _U(77)))
-                size = np.diff(starts)
-                flat = pa.array(key.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * bands + 1, bands, dtype=np.int32)), flat)
-                packed = sketch_words(sig)
-                width = packed.shape[1]
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(packed.view(np.int64).ravel()))
-                yield pa.record_batch([ids.slice(first, n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                                       pa.array(size), lists, sketch], schema=schema)
+                fp, fp2 = _fingerprints(text, element, weight, n)
+                yield pa.record_batch([batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(fp), pa.array(fp2),
+                                       pa.array(np.diff(starts)), _lists(key.view(np.int64).ravel(), np.arange(0, n * bands + 1, bands))], schema=schema)
+    return run
+
+
+def _bag():
+    """Texts as sorted sets of 64-bit hashes, one for each occurrence of each shingle."""
+    schema = pa.schema([("fp", pa.int64()), ("fp2", pa.int64()), ("bag", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, raw, offsets in text_views(batch.column(0), 1 << 20):
+                h, starts = shingles(raw, offsets)
+                text, element, weight = multisets(h, starts)
+                fp, fp2 = _fingerprints(text, element, weight, last - first)
+                yield pa.record_batch([pa.array(fp), pa.array(fp2), _lists(occurrences(element, weight).view(np.int64), starts)], schema=schema)
     return run
 
 
-def _verify(threshold: float):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+def occurrences(element: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """A hash for each unit of weight, so that a multiset's weighted overlaps are those of a set."""
+    rank = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    with np.errstate(over="ignore"):
+        return mixed(np.repeat(element, weight) + rank.astype(np.uint64) * _GOLDEN)
+
+
+def similarities(bags: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of ``bags`` (sets of occurrence hashes), by products of incidence
+    matrices of ``columns`` hashes each. Hashes that only one bag has cannot overlap and take no column."""
+    m, sizes = len(bags), np.array([len(b) for b in bags], dtype=np.float64)
+    owner = np.repeat(np.arange(m), sizes.astype(np.int64))
+    _, at, counts = np.unique(np.concatenate(bags) if m else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    shared = counts[at] > 1
+    owner, at = owner[shared], (np.cumsum(counts > 1) - 1)[at[shared]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    common = np.zeros((m, m))
+    for lo in range(0, int(at[-1]) + 1 if len(at) else 0, columns):
+        a, b = np.searchsorted(at, (lo, lo + columns))
+        part = np.zeros((m, min(columns, int(at[-1]) + 1 - lo)), np.float32)
+        part[owner[a:b], at[a:b] - lo] = 1
+        common += part @ part.T
+    return common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1)
+
+
+def joining_links(similar: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of labels that connect all labels which ``similar`` (a square of booleans) connects, one less than those."""
+    linked = similar | (label[:, None] == label[None, :])
+    root = np.arange(len(label))
+    while True:
+        low = np.where(linked, root[None, :], len(label)).min(axis=1, initial=len(label))
+        low = np.minimum(low, low[low])
+        if (low == root).all():
+            break
+        root = low
+    pairs = np.unique(np.stack([label, label[root]], axis=1)[label != label[root]], axis=0).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _link_blocks(threshold: float):
+    """Joining links within each run of rows of equal ``block``; rows come sorted by it, and a block is all a task holds."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def links(rows: list[tuple[pa.Array, pa.Array]]) -> pa.RecordBatch | None:
+        label = np.concatenate([x.to_numpy() for x, _ in rows])
+        if len(label) < 2 or (label == label[0]).all():
+            return None
+        bags = [v for _, x in rows for v in np.split(x.flatten().to_numpy(), np.cumsum(pc.list_value_length(x).to_numpy()))[:-1]]
+        a, b = joining_links(similarities(bags) >= threshold, label)
+        return pa.record_batch([pa.array(a), pa.array(b)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[pa.Array, pa.Array]] = []
+        at = None
         for batch in batches:
-            out = []
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                sides = []
-                for c in (2, 3):
-                    column, rows = part.column(c), []
-                    for _, _, raw, offsets in text_views(column, 4 << 20):
-                        h, starts = shingles(raw, offsets)
-                        rows += [h[s:e] for s, e in zip(starts[:-1], starts[1:])]
-                    sides.append(rows)
-                out += [overlap(x, y) for x, y in zip(*sides)]
-            sim = np.array(out, dtype=np.float64)
-            good = pa.array(sim >= threshold)
-            yield pa.record_batch([batch.column(0).filter(good), batch.column(1).filter(good), pa.array(sim).filter(good)], schema=schema)
+            block = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if rows and block[lo] != at and (found := links(rows)) is not None:
+                    yield found
+                if block[lo] != at:
+                    rows = []
+                at = block[lo]
+                rows.append((batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo)))
+        if rows and (found := links(rows)) is not None:
+            yield found
     return run
 
 
-def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node of each connected component, by alternating large-star and small-star steps."""
     pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "links")
     if pairs.isEmpty():
         return nodes.select("node", F.col("node").alias("label"))
     last = None
-    for _ in range(max_rounds):
+    while True:  # the steps settle after a number of rounds logarithmic in the longest path, squared at most
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
@@ -259,95 +346,108 @@ def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Dat
         if state == last:
             break
         last = state
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
     return nodes.join(pairs.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("label"))
 
 
+#: Up to so many ids (16 bytes each) are broadcast to fetch the members' texts; beyond, both sides are shuffled.
+MAX_BROADCAST_IDS = 2_000_000
+
+
+def _chunks(n: str, size: str):
+    """How many blocks ``n`` texts with ``size`` shingles in all are dealt over."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK_TEXTS), F.ceil(F.col(size) / BLOCK_SHINGLES)).cast("long")
+
+
+def _representatives(src: DataFrame, threshold: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(signed, classes) of ``src`` (id, hash, text): a row by row with id, hash, fp, fp2 and size, and a row by distinct
+    multiset with fp, fp2, label, n (its rows) and first (null id, id and hash of its first row)."""
+    signed = written(src.mapInArrow(_sign(bands, rows), "id long, hash long, fp long, fp2 long, size long, bands array<long>"), "bag-signatures")
+    found = signed.where("size > 0")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+    reps = found.groupBy("fp", "fp2").agg(first, F.first("bands").alias("bands"), F.first("size").alias("size"), F.count("*").alias("n"))
+    reps = written(reps.withColumn("node", F.monotonically_increasing_id()), "bag-reps")
+
+    buckets = reps.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    shared = buckets.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count("*").alias("count")).where("count > 1").drop("count")
+    members = written(buckets.join(shared, ["band", "key"]), "bag-members")
+
+    # The members' multisets, read once more from the texts and matched by fingerprint.
+    wanted = reps.join(members.select("node").distinct(), "node", "left_semi").select("fp", "fp2", "node", F.col("first.id").alias("id"))
+    ids = written(wanted.select(F.col("id").alias("wanted")).distinct(), "bag-ids")
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
+    bags = src.join(ids, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(_bag(), "fp long, fp2 long, bag array<long>")
+    bags = written(bags.join(wanted.select("fp", "fp2", "node"), ["fp", "fp2"]).groupBy("node").agg(F.first("bag").alias("bag")), "bag-sets")
+
+    def linked(blocks: DataFrame, tag: str) -> DataFrame:
+        """Joining links of ``blocks`` (block, label, node); blocks are named by hash, and if two share one nothing is lost."""
+        rows_ = blocks.join(bags, "node").select("block", "label", "bag").repartition("block").sortWithinPartitions("block")
+        return written(rows_.mapInArrow(_link_blocks(threshold), "a long, b long"), tag)
+
+    # The members of a bucket around its hub: as many rows as members, and the hub once a block.
+    stars = members.where("node != hub").select("hub", "node", "size").distinct()
+    dealt = stars.groupBy("hub").agg(F.count("*").alias("members"), F.sum("size").alias("total")).select("hub", _chunks("members", "total").alias("chunks"))
+    dealt = written(dealt, "bag-hubs")
+    around = stars.join(dealt, "hub").select(F.xxhash64("hub", F.pmod(F.xxhash64("node"), F.col("chunks"))).alias("block"), "node")
+    hubs = dealt.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")).select(F.xxhash64("hub", "chunk").alias("block"), F.col("hub").alias("node"))
+    links = linked(around.unionByName(hubs).withColumn("label", F.col("node")), "bag-stars")
+    labels = written(_components(reps.select("node"), links), "bag-labels")
+
+    # Buckets that still span several components: who is outside the largest one meets all.
+    tagged = written(members.join(labels, "node").select("band", "key", "node", "size", "label"), "bag-tagged")
+    parts = tagged.groupBy("band", "key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    largest = F.max(F.struct("n", "label", "s"))
+    mixed_ = parts.groupBy("band", "key").agg(largest.alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("labels")).where("labels > 1 AND n > 2")
+    mixed_ = mixed_.select("band", "key", F.col("top.label").alias("largest"), F.col("top.n").alias("n_in"), F.col("top.s").alias("s_in"),
+                           (F.col("n") - F.col("top.n")).alias("n_out"), (F.col("s") - F.col("top.s")).alias("s_out"))
+    mixed_ = written(mixed_.select("band", "key", "largest", _chunks("n_in", "s_in").alias("inner"), _chunks("n_out", "s_out").alias("outer")), "bag-mixed")
+    met = tagged.join(mixed_, ["band", "key"])
+    own = lambda k: F.pmod(F.xxhash64("node", F.lit(3)), F.col(k))
+    to = lambda k: F.sequence(F.lit(0).cast("long"), F.col(k) - 1)
+    inside = F.transform(to("outer"), lambda i: F.xxhash64("band", "key", F.lit("in"), i, own("inner")))
+    outside = F.concat(F.transform(to("inner"), lambda j: F.xxhash64("band", "key", F.lit("in"), own("outer"), j)),
+                       F.transform(to("outer"), lambda k: F.xxhash64("band", "key", F.lit("out"), F.least(own("outer"), k), F.greatest(own("outer"), k))))
+    outside = F.when((F.col("inner") == 1) & (F.col("outer") == 1), inside).otherwise(outside)  # they meet there already
+    blocks = met.select(F.explode(F.when(F.col("label") == F.col("largest"), inside).otherwise(outside)).alias("block"), "label", "node")
+    more = linked(blocks, "bag-rest")
+    roots = written(_components(labels.select(F.col("label").alias("node")).distinct(), more), "bag-roots").toDF("label", "root")
+    final = labels.join(roots, "label").select("node", F.col("root").alias("label"))
+    return signed, written(reps.select("node", "fp", "fp2", "n", "first").join(final, "node").drop("node"), "bag-classed")
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(id, hash, class_id, class_size, keep) by row; ``keep`` is the (none, id, hash) of the row that stands for the class."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(F.col(text_col)).alias("hash"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    signed, reps = _representatives(src, threshold, bands, rows)
+    classes = reps.groupBy("label").agg(F.sum("n").alias("class_size"), F.min("first").alias("keep"), F.count("*").alias("reps")).where("reps > 1").drop("reps")
+    classes = written(classes, "bag-classes")
+    told = reps.join(classes, "label", "left").select("fp", "fp2", F.coalesce("class_size", "n").alias("class_size"), F.coalesce("keep", "first").alias("keep"))
+    told = written(told, "bag-told")
+    classed = signed.where("size > 0").select("id", "hash", "fp", "fp2").join(told, ["fp", "fp2"]).select("id", "hash", F.col("keep.id").alias("class_id"), "class_size", "keep")
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    alone = signed.where("size = 0").select("id", "hash", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), own.alias("keep"))
+    return classed.unionByName(alone)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per input row: ``id_col``, class_id, class_size, links.
+    """One row per input row: ``id_col``, class_id, class_size (rows in the class).
 
     Texts are linked if the weighted Jaccard similarity of their multisets of five-word shingles is ``threshold`` or
-    more; a class is a connected component of links and its id the smallest id in it. Texts of equal multisets share
-    one representative and are not compared again. ``links`` counts the verified links of a text's representative.
-    Words are runs without white space, compared exactly. A text of fewer than five words is one shingle. Null, empty
-    and white texts have none: each is a class of its own. Rows with a null id are left out (they can name no class);
-    rows that repeat an id are reported as often as they occur, in the class of the id's smallest class.
-    Very long texts are read whole. An empty table gives an empty result; extra columns are not read.
+    more; a class is a connected component of links and its id the smallest id in it (null if all are null). Texts of
+    equal multisets share one representative and are not compared again. Words are runs without white space, compared
+    exactly. A text of fewer than five words is one shingle. Null, empty and white texts have none: each is a class of
+    its own. Rows are told apart by id and text: rows that repeat an id with another text are classed by their own
+    text, rows that repeat both are reported as often as they occur. Very long texts are read whole, in pieces. An empty
+    table gives an empty result; extra columns are not read, whatever their names.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).where("_id IS NOT NULL")
-    signed = written(src.mapInArrow(_sign(bands, rows), "_id long, fp long, fp2 long, size long, bands array<long>, sketch array<long>"), "bag-signatures")
-    found = signed.where("size > 0")
-    reps = written(found.groupBy("fp", "fp2").agg(F.min("_id").alias("rep"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("sketch").alias("sketch")), "bag-reps")
-
-    buckets = reps.select("rep", "size", F.posexplode("bands").alias("band", "key"))
-    hubs = buckets.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "key", "hub")
-    members = written(buckets.join(hubs, ["band", "key"]), "bag-members")
-    texts = src.withColumnRenamed("_id", "node").withColumnRenamed("_text", "txt")
-    texts = texts.join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
-    texts = written(texts.groupBy("node").agg(F.min("txt").alias("txt")), "bag-texts")
-
-    def verified(pairs: DataFrame, tag: str) -> DataFrame:
-        a, b = texts.select(F.col("node").alias("a"), F.col("txt").alias("ta")), texts.select(F.col("node").alias("b"), F.col("txt").alias("tb"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
-        return written(both.mapInArrow(_verify(threshold), "a long, b long, similarity double"), tag)
-
-    # Every member of a bucket against the bucket's smallest: as many pairs as members.
-    stars = members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    links = verified(stars, "bag-stars")
-    nodes = reps.select(F.col("rep").alias("node"))
-    labels = written(_components(nodes, links), "bag-labels")
-    sketches = reps.select("rep", "sketch")
-    alike = likely(-(-bands * rows // _FIELDS), bands * rows, threshold, "x", "y")
-    sizes_fit = F.least("x.size", "y.size") >= F.lit(threshold) * F.greatest("x.size", "y.size")
-
-    def mixed_buckets(labels: DataFrame) -> DataFrame:
-        """Members, with labels, of the buckets that still span several components."""
-        tagged = members.join(labels.withColumnRenamed("node", "rep"), "rep").select("band", "key", "rep", "hub", "size", "label")
-        split = tagged.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi AND n > 2")
-        return tagged.join(split.select("band", "key"), ["band", "key"])
-
-    def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
-        """Labels after ``new`` links joined components."""
-        ends = new.join(labels.toDF("a", "la"), "a").join(labels.toDF("b", "lb"), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        roots = _components(labels.select(F.col("label").alias("node")).distinct(), ends).toDF("label", "root")
-        return written(labels.join(roots, "label").select("node", F.col("root").alias("label")), "bag-labels")
-
-    # Members that their hub did not reach meet other hubs, drawn anew for each band, so that large groups close up
-    # after as many pairs as they have members.
-    more = links.where("false")
-    for attempt in range(HUB_ROUNDS):
-        around = mixed_buckets(labels)
-        drawn = F.xxhash64("rep", "band", F.lit(attempt))
-        hubs = around.groupBy("band", "key").agg(F.min_by(F.struct("rep", "size", "label"), drawn).alias("y"))
-        x = around.alias("x").join(hubs.alias("h"), ["band", "key"]).select("x.*", "h.y").where(
-            "label != y.label AND rep != hub AND y.rep != hub").where(F.least("size", "y.size") >= F.lit(threshold) * F.greatest("size", "y.size"))
-        new = verified(x.select(F.least("rep", "y.rep").alias("a"), F.greatest("rep", "y.rep").alias("b")).distinct(), "bag-hubs")
-        labels, more = merged(labels, new), more.unionByName(new)
-
-    # What is left is compared in full: all pairs of a bucket that lie in different components, unless their signatures
-    # already rule out the threshold.
-    open_ = written(mixed_buckets(labels).join(sketches, "rep"), "bag-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.label") != F.col("y.label"))
-                  & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.rep") != F.col("x.hub")) & sizes_fit & alike)
-    new = verified(rest.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "bag-rest")
-    final, more = merged(labels, new).withColumnRenamed("label", "final"), more.unionByName(new)
-
-    every = links.unionByName(more).select("a", "b").distinct()
-    degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    info = final.join(degree, "node", "left").select(F.col("node").alias("rep"), "final", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-    keyed = reps.select("fp", "fp2", "rep").join(info, "rep").select("fp", "fp2", "final", "links")
-    rows_ = found.select("_id", "fp", "fp2").join(keyed, ["fp", "fp2"]).select("_id", "final", "links")
-    sizes = rows_.groupBy("final").agg(F.count("*").alias("class_size"))
-    classed = rows_.join(sizes, "final").select("_id", F.col("final").alias("class_id"), "class_size", "links")
-    alone = signed.where("size = 0").select("_id", F.col("_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("links"))
-    return classed.unionByName(alone).withColumnRenamed("_id", id_col)
+    return _classed(docs, id_col, text_col, threshold, bands, rows).select(F.col("id").alias(id_col), "class_id", "class_size")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate class (the smallest id), all columns."""
-    found = near_duplicates(docs, id_col, text_col)
-    return without_ids(docs, found.where(f"`{id_col}` != class_id").select(id_col), id_col)
+    """``docs`` with one row of each near-duplicate class, all columns: that of the smallest id (null ids last; ties by
+    a hash of the text). Of rows that repeat id and text one stays. Rows without words are classes of their own and stay."""
+    rows = written(_classed(docs, id_col, text_col, THRESHOLD, BANDS, ROWS), "bag-rows")
+    stays = F.col("id").eqNullSafe(F.col("keep.id")) & F.col("hash").eqNullSafe(F.col("keep.hash"))
+    repeated = rows.where(stays & (F.col("class_size") > 1)).groupBy("id", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return without_rows(docs, F.col(id_col), row_hash(F.col(text_col)), rows.where(~stays).select("id", "hash"), repeated)

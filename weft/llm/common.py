@@ -67,6 +67,35 @@ def word_count(text: Column) -> Column:
     return F.when(norm == "", F.lit(0)).otherwise(spaces + 1).cast("long")
 
 
+#: Up to so many keys (20 bytes each) are broadcast by ``without_rows``; beyond, both sides are shuffled.
+MAX_BROADCAST_ROWS = 2_000_000
+
+
+def row_hash(text: Column) -> Column:
+    """What tells rows of one id apart: a hash of the text (null as empty)."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without_rows(docs: DataFrame, id_: Column, hash_: Column, dropped: DataFrame, repeated: DataFrame, max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``docs`` less the rows whose (id, hash) is in ``dropped`` and with one of the rows of each (id, hash) in ``repeated``.
+
+    Null ids are equal to null ids. Texts are not shuffled while the keys are few, but for repeated rows.
+    """
+    tagged = docs.withColumns({"__weft_id": id_, "__weft_hash": hash_})
+
+    def keyed(keys: DataFrame, tag: str) -> tuple[DataFrame, Column, int]:
+        keys = written(keys.toDF("__weft_i", "__weft_h").distinct(), tag)
+        n = keys.count()
+        return F.broadcast(keys) if n <= max_broadcast else keys, F.col("__weft_id").eqNullSafe(F.col("__weft_i")) & (F.col("__weft_hash") == F.col("__weft_h")), n
+
+    keys, same, n = keyed(dropped, "dropped")
+    kept = tagged.join(keys, same, "left_anti") if n else tagged
+    keys, same, n = keyed(repeated, "repeated")
+    if n:
+        kept = kept.join(keys, same, "left_anti").unionByName(kept.join(keys, same, "left_semi").dropDuplicates(["__weft_id", "__weft_hash"]))
+    return kept.drop("__weft_id", "__weft_hash")
+
+
 #: Up to so many ids (16 bytes each) are broadcast by ``without_ids``; beyond, both sides are shuffled.
 MAX_BROADCAST_IDS = 2_000_000
 
