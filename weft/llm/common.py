@@ -96,17 +96,6 @@ def without_rows(docs: DataFrame, id_: Column, hash_: Column, dropped: DataFrame
     return kept.drop("__weft_id", "__weft_hash")
 
 
-#: Up to so many ids (16 bytes each) are broadcast by ``without_ids``; beyond, both sides are shuffled.
-MAX_BROADCAST_IDS = 2_000_000
-
-
-def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """``docs`` less the rows whose id is in the only column of ``dropped``; texts are not shuffled while those are few."""
-    ids = written(dropped.toDF("__weft_dropped").distinct(), "dropped")
-    small = ids.count() <= max_broadcast
-    return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == F.col("__weft_dropped"), "left_anti")
-
-
 def text_views(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column as (first row, last row, UTF-8 bytes, row offsets), about ``max_bytes`` each.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm import bagminhash, exact_dedup, html_extract, kn_toxicity, mih_ann, mixing, packing, pii, ppm_langid, url_filter
-from weft.llm.common import bounded_batches, collapsed, table
+from weft.llm.common import bounded_batches, table
 
 
 def tokenizer_path() -> str:
@@ -48,7 +48,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = docs.join(F.broadcast(labels) if small else labels, "doc_id", "left")
     model = kn_toxicity.fit(labelled, F.col("toxic"), F.xxhash64("doc_id", F.lit(9)) % 5 == 0)
     out = kn_toxicity.score(docs, model)
-    return out.select("doc_id", (_fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(_fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +58,14 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_model(docs: DataFrame) -> ppm_langid.PpmModel:
     known = docs.where(F.coalesce(_fold("doc_id", 5) != 0, F.lit(False)))
-    return ppm_langid.train(ppm_langid.sample_texts(known, F.col("text"), F.col("lang"), F.col("doc_id")))
+    return ppm_langid.fit(known, F.col("text"), F.col("lang"), F.col("doc_id"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     out = ppm_langid.identify(docs, language_model(docs))
-    return out.select("doc_id", (_fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,16 +78,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = exact_dedup.exact_duplicates(docs)
-    norm = collapsed(F.col("text"))
-    digests = docs.select("doc_id", norm.alias("t")).select(
-        F.col("doc_id").alias("d"), F.octet_length("t").cast("long").alias("n"),
-        F.xxhash64(F.substring("t", 1, exact_dedup.PREFIX_CHARS)).alias("p"), F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("n_bytes") == F.col("n")) & (F.col("prefix_hash") == F.col("p"))
-    # Rows that repeat an id with an equal text are one document.
-    joined = found.join(digests, same).groupBy("doc_id", "text_sha256").agg(*[F.first(c).alias(c) for c in ("keep_id", "group_size", "kept")])
-    return joined.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digests=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
