@@ -4,8 +4,12 @@ Words are sequences of folded bytes (64 symbols), each symbol predicted from the
 order counts expressions by class; all lower orders are Kneser-Ney continuation counts shared by the classes and
 gathered over every document, so that an expression rare in one class falls back to how the whole corpus spells.
 Because the backoff is shared, the difference of the class log-likelihoods of a symbol depends on its eight-gram alone
-and sits in one table, whole however large: the most frequent grams are broadcast as a hash table, others joined by shuffle. A document's length-normalised difference, its strongest expressions and the share of strong
-ones are calibrated to a probability on labelled documents that gave no counts.
+and sits in one table, whole however large: the most frequent grams are broadcast as a hash table, others joined by
+shuffle.
+
+A toxic text is one of whose words a share comes from the toxic model and the others from the ordinary one, so the
+log-likelihood difference of a word that the models differ on by d is log(1 - share + share * exp(d)). A text's score is
+the sum over its words, divided by their number, calibrated to a probability on labelled texts that gave no counts.
 """
 
 from __future__ import annotations
@@ -24,8 +28,9 @@ CONTEXT = 7
 #: Up to so many eight-grams are broadcast. Beyond, the most frequent ones are, with their final differences, and the
 #: grams of a text that are not among them are joined with the whole table by shuffle.
 MAX_BROADCAST_GRAMS = 1_200_000
-#: Expressions whose difference exceeds so many nats count as strong.
-STRONG = 4.0
+#: The shares of toxic words among which calibration chooses, and the difference of a word at which it is cut off.
+SHARES = (0.002, 0.005, 0.01, 0.02, 0.05, 0.1)
+MOST = 25.0
 PREDICT_AT = 0.7
 
 
@@ -66,9 +71,9 @@ class HashTable:
 class ToxicityModel:
     seen: HashTable  # gram -> log P(symbol | context, toxic) - log P(symbol | context, ordinary)
     unseen: HashTable  # context -> the same for symbols that neither class has seen there
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray  # the intercept first
+    shares: tuple[float, ...]  # one once calibrated
+    intercept: float
+    slope: float
     tables: tuple[DataFrame, DataFrame] | None = None  # (g, n, diff) and (c, diff) where ``seen`` holds the most frequent grams only
 
 
@@ -253,46 +258,40 @@ def train(gram: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> tuple[Ha
     return HashTable(g, logs[0][0] - logs[1][0]), HashTable(contexts, logs[0][1] - logs[1][1])
 
 
-FEATURES = 5
+def weighed(words: np.ndarray, share: float) -> np.ndarray:
+    """The log-likelihood difference of words between a toxic text with a share of toxic words and an ordinary one."""
+    return np.log1p(share * np.expm1(np.minimum(words, MOST)))
+
 
+def _weighed(words: Column, share: float) -> Column:
+    return F.log1p(F.lit(share) * F.expm1(F.least(words, F.lit(MOST))))
 
-def features(model: ToxicityModel, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """By text: mean difference a word, the three strongest words, share of strong words (0 without words)."""
-    n = len(offsets) - 1
-    out = np.zeros((n, FEATURES))
+
+def differences(model: ToxicityModel, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """By text and share: the length-normalised difference, the mean over the words (0 without words)."""
+    out = np.zeros((len(offsets) - 1, len(model.shares)))
     g, word, firsts = grams(raw, offsets)
     if not len(g):
         return out
     value, found = model.seen.get(g)
     value[~found] = model.unseen.get(g[~found] // SYMBOLS)[0]
-    return _summary(np.bincount(word, value, firsts[-1]), firsts)
-
-
-def _summary(words: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """The features from the differences of the words and the first word of each text."""
-    n = len(firsts) - 1
-    out = np.zeros((n, FEATURES))
-    count = np.maximum(np.diff(firsts), 1)
-    out[:, 0] = segment_sums(words, firsts[:-1], firsts[1:]) / count
-    out[:, 4] = segment_sums((words > STRONG).astype(float), firsts[:-1], firsts[1:]) / count
-    text = np.repeat(np.arange(n), np.diff(firsts))
-    best = np.lexsort((-words, text))
-    for k in range(3):
-        has = np.diff(firsts) > k
-        out[has, 1 + k] = words[best[firsts[:-1][has] + k]]
-    out[:, 1:4] = np.clip(out[:, 1:4], -5, 25)
+    words = np.bincount(word, value, firsts[-1])
+    for j, share in enumerate(model.shares):
+        out[:, j] = segment_sums(weighed(words, share), firsts[:-1], firsts[1:]) / np.maximum(np.diff(firsts), 1)
     return out
 
 
+def _doubles(values: np.ndarray) -> pa.Array:
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(values.ravel()))
+
+
 def _apply(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             for first, last, raw, offsets in text_views(batch.column(1), 2 << 20):
-                f = features(model, raw, offsets)
-                flat = pa.array(f.ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, FEATURES, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["id", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), _doubles(differences(model, raw, offsets))], names=["id", "f"])
     return run
 
 
@@ -312,74 +311,59 @@ def _open_words(shared):
                 at = np.flatnonzero(~found)
                 is_open = np.zeros(firsts[-1], bool)
                 is_open[word[at]] = True
-                decided = np.where(is_open, 0.0, words)
                 text = np.repeat(np.arange(n), np.diff(firsts))
-                sums = np.bincount(text, decided, n)
-                strong = np.bincount(text, decided > STRONG, n).astype(np.int64)
-                best = np.full((n, 3), np.nan)
-                shut = np.flatnonzero(~is_open)
-                order = shut[np.lexsort((-words[shut], text[shut]))]
-                left = np.bincount(text[shut], minlength=n)
-                starts = np.cumsum(left) - left
-                for k in range(3):
-                    has = left > k
-                    best[has, k] = words[order[starts[has] + k]]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 3 * n + 1, 3, dtype=np.int32)), pa.array(best.ravel()))
+                sums = np.stack([np.bincount(text, np.where(is_open, 0.0, weighed(words, share)), n) for share in model.shares], axis=1)
                 nulls = lambda kind, m: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), rows, nulls(pa.int64(), n), nulls(pa.int64(), n), pa.array(sums),
-                                                  pa.array(strong), pa.array(np.diff(firsts).astype(np.int64)), lists], names=OPEN)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), rows, nulls(pa.int64(), n), nulls(pa.int64(), n), nulls(pa.float64(), n),
+                                                  pa.array(np.diff(firsts).astype(np.int64)), _doubles(sums)], names=OPEN)
                 number, ids, kind = rows.to_numpy(), word[at] - firsts[text[word[at]]], batch.column(0).type
                 part = np.where(np.diff(word[at], prepend=-1) != 0, words[word[at]], 0.0)
                 for lo in range(0, len(at), 100_000):
                     cut = slice(lo, lo + 100_000)
                     m = len(at[cut])
                     yield pa.RecordBatch.from_arrays([nulls(kind, m), pa.array(number[text[word[at[cut]]]]), pa.array(g[at[cut]]), pa.array(ids[cut].astype(np.int64)), pa.array(part[cut]),
-                                                      nulls(pa.int64(), m), nulls(pa.int64(), m), nulls(pa.list_(pa.float64()), m)], names=OPEN)
+                                                      nulls(pa.int64(), m), nulls(pa.list_(pa.float64()), m)], names=OPEN)
     return run
 
 
-OPEN = ["id", "row", "g", "word", "part", "strong", "words", "best"]
+OPEN = ["id", "row", "g", "word", "part", "words", "sums"]
 
 
-def document_features(src: DataFrame, model: ToxicityModel) -> DataFrame:
+def document_differences(src: DataFrame, model: ToxicityModel) -> DataFrame:
     """(id, f) by row of ``src`` (id, t); grams that are not broadcast are joined with the whole tables by shuffle."""
     shared = src.sparkSession.sparkContext.broadcast(replace(model, tables=None))
     id_type = src.schema["id"].dataType.simpleString()
     if model.tables is None:
         return src.mapInArrow(_apply(shared), f"id {id_type}, f array<double>")
     numbered = src.select("id", F.monotonically_increasing_id().alias("row"), "t")
-    rows = written(numbered.mapInArrow(_open_words(shared), f"id {id_type}, row long, g long, word long, part double, strong long, words long, best array<double>"), "toxic-open")
+    rows = written(numbered.mapInArrow(_open_words(shared), f"id {id_type}, row long, g long, word long, part double, words long, sums array<double>"), "toxic-open")
     seen, unseen = model.tables
     opened = rows.where("g IS NOT NULL").select("row", "word", "part", "g", F.shiftright("g", 6).alias("c"))
     opened = opened.join(seen.select("g", F.col("diff").alias("d")), "g", "left").join(unseen.withColumnRenamed("diff", "other"), "c", "left")
     value = F.sum(F.col("part") + F.coalesce("d", "other", F.lit(0.0)))
     words = opened.groupBy("row", "word").agg(value.alias("v"))
-    late = words.groupBy("row").agg(F.sum("v").alias("v"), F.count_if(F.col("v") > STRONG).alias("more"), F.slice(F.sort_array(F.collect_list("v"), asc=False), 1, 3).alias("top"))
+    late = words.groupBy("row").agg(*[F.sum(_weighed(F.col("v"), share)).alias(f"s{j}") for j, share in enumerate(model.shares)])
     both = rows.where("g IS NULL").join(late, "row", "left")
-    count, none = F.greatest("words", F.lit(1)), F.array().cast("array<double>")
-    top = F.sort_array(F.concat(F.filter("best", lambda x: ~F.isnan(x)), F.coalesce("top", none)), asc=False)
-    best = [F.least(F.greatest(F.coalesce(F.try_element_at(top, F.lit(k)), F.lit(0.0)), F.lit(-5.0)), F.lit(25.0)) for k in (1, 2, 3)]
-    return both.select("id", F.array((F.col("part") + F.coalesce("v", F.lit(0.0))) / count, *best, (F.col("strong") + F.coalesce("more", F.lit(0))) / count).alias("f"))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ridge-regularised logistic regression by Newton's method on standardised features."""
-    mean, scale = (x.mean(axis=0), x.std(axis=0)) if len(x) else (np.zeros(FEATURES), np.ones(FEATURES))
-    scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], axis=1)
-    w = np.zeros(z.shape[1])
-    for _ in range(rounds if len(x) else 0):
+    f = [(F.col("sums")[j] + F.coalesce(f"s{j}", F.lit(0.0))) / F.greatest("words", F.lit(1)) for j in range(len(model.shares))]
+    return both.select("id", F.array(*f).alias("f"))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[float, float, float]:
+    """(intercept, slope, log-loss) of a logistic regression in one variable, by Newton's method on the standardised variable."""
+    mean, scale = float(x.mean()), float(x.std()) or 1.0
+    z = np.stack([np.ones(len(x)), (x - mean) / scale], axis=1)
+    w = np.zeros(2)
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -40, 40)))
-        pen = np.full(len(w), ridge)
-        pen[0] = 1e-3
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pen + 1e-9), z.T @ (y - p) - pen * w)
-        w += step
+        step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
+        w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
-    return mean, scale, w
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -40, 40))), 1e-9, 1 - 1e-9)
+    return float(w[0] - w[1] * mean / scale), float(w[1] / scale), float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-#: At most about so many labelled texts calibrate the features.
+#: At most about so many labelled texts calibrate the score.
 CALIBRATION_TEXTS = 20_000
 
 
@@ -388,11 +372,11 @@ def fit(docs: DataFrame, label: Column, calibrate: Column, id_col: str = "doc_id
     """A model from ``docs``: ``label`` 0, 1 or null (unlabelled); ``calibrate`` marks the labelled rows kept from counting.
 
     All rows give shared counts, all labelled rows outside ``calibrate`` class counts. Without labels of both classes
-    the scores are the share of toxic labels, or 0 without any.
+    the scores are the share of toxic labels, or 0 without any. Ids may be null or repeat; an empty table gives a model
+    that scores 0.
     """
-    kind = F.when(label.isNull() | calibrate, 0).otherwise(label.cast("int") + 1)
+    kind = F.when(label.isNull() | F.coalesce(calibrate, F.lit(False)), 0).otherwise(label.cast("int") + 1)
     counts = written(gram_counts(docs, F.col(text_col), kind), "toxic-counts")
-    zeros = np.zeros(FEATURES)
     seen, unseen = train_tables(counts)
     whole = seen.count() <= max_broadcast
     if whole:
@@ -403,31 +387,30 @@ def fit(docs: DataFrame, label: Column, calibrate: Column, id_col: str = "doc_id
         top = most_frequent(counts.select(F.col("gram").alias("g"), n.alias("n")), max_broadcast).withColumn("c", F.shiftright("g", 6))
         top = top.join(seen.select("g", F.col("diff").alias("d")), "g", "left").join(unseen.withColumnRenamed("diff", "other"), "c", "left")
         tables, frequent, other = (seen, unseen), top.select("g", F.coalesce("d", "other", F.lit(0.0).cast("float"))), unseen.where("false")
-    model = ToxicityModel(_hash_table(frequent), _hash_table(other), zeros, zeros + 1, np.zeros(FEATURES + 1), tables)
+    model = ToxicityModel(_hash_table(frequent), _hash_table(other), SHARES, 0.0, 0.0, tables)
     held = docs.where(calibrate & label.isNotNull()).select(label.cast("int").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.xxhash64(id_col, F.lit(4)).alias("h"))
     n = held.count()
     if n > CALIBRATION_TEXTS:
         held = held.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * CALIBRATION_TEXTS / n)))
-    got = document_features(held.select("id", "t"), model).toArrow()
+    got = document_differences(held.select("id", "t"), model).toArrow()
     y = got.column(0).to_numpy().astype(float)
-    x = np.array(got.column(1).to_pylist(), dtype=float).reshape(len(y), FEATURES)
+    x = np.array(got.column(1).to_pylist(), dtype=float).reshape(len(y), len(SHARES))
     if len(set(y.tolist())) < 2:
-        share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-6
-        model.weights = np.concatenate([[np.log(share / (1 - share))], zeros])
-    else:
-        model.mean, model.scale, model.weights = logistic(x, y)
-    return model
+        share = float(np.clip(y.mean(), 1e-6, 1 - 1e-6)) if len(y) else 1e-18
+        return replace(model, shares=SHARES[:1], intercept=float(np.log(share / (1 - share))))
+    lines = [(*logistic(x[:, j], y), share) for j, share in enumerate(SHARES)]
+    intercept, slope, _, share = min(lines, key=lambda v: v[2])
+    return replace(model, shares=(share,), intercept=intercept, slope=slope)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, score in 0 to 1, predicted (1 from PREDICT_AT on).
 
-    Null texts count as empty; a text without words has all features 0 and the score that goes with them. Whole texts
-    are scored, however long. Repeated rows are scored each; extra columns are not read.
+    Null texts count as empty; a text without words has difference 0 and the score that goes with it. Whole texts are
+    scored, however long. Repeated rows are scored each, null ids too; extra columns are not read, whatever their names;
+    an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    z = F.lit(float(model.weights[0]))
-    for i in range(FEATURES):
-        z = z + (F.col("f")[i] - F.lit(float(model.mean[i]))) / F.lit(float(model.scale[i])) * F.lit(float(model.weights[i + 1]))
-    out = document_features(src, model).select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))).alias("score"))
+    z = F.lit(model.intercept) + F.lit(model.slope) * F.col("f")[0]
+    out = document_differences(src, model).select("id", (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int")).withColumnRenamed("id", id_col)
