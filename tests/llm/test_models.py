@@ -67,7 +67,7 @@ def test_pages_of_the_table(spark, sf_dir):
 
 def plain_ppm(counts, history, symbol):
     """Method C without exclusion, straight from counts by context."""
-    p = 1.0 / SYMBOLS
+    p = 1.0 / 256
     for k in range(ppm_langid.ORDER + 1):
         c = counts.get(tuple(history[len(history) - k:]), {})
         total, kinds = sum(c.values()), len(c)
@@ -79,7 +79,7 @@ def plain_ppm(counts, history, symbol):
 def test_code_lengths_against_plain_ppm():
     texts = {"x": ["abab abba cab", "bab"], "y": ["zzz yz é", "yz"]}
     m = ppm_langid.train(texts)
-    probe = ["abé z", "", "q"]
+    probe = ["abé z", "", "q", "Ab\u00e8", "yz abab"]
     raw = [t.encode() for t in probe]
     joined, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     for block in (3, 1 << 20):
@@ -87,13 +87,13 @@ def test_code_lengths_against_plain_ppm():
         for j, language in enumerate(m.languages):
             counts = {}
             for t in texts[language]:
-                s = [0] * ppm_langid.ORDER + [int(FOLD[b]) for b in t.encode()]
+                s = [32] * ppm_langid.ORDER + list(t.encode())
                 for i in range(ppm_langid.ORDER, len(s)):
                     for k in range(ppm_langid.ORDER + 1):
                         c = counts.setdefault(tuple(s[i - k:i]), {})
                         c[s[i]] = c.get(s[i], 0) + 1
             for i, r in enumerate(raw):
-                s = [0] * ppm_langid.ORDER + [int(FOLD[b]) for b in r]
+                s = [32] * ppm_langid.ORDER + list(r)
                 want = -sum(math.log2(plain_ppm(counts, s[:n], s[n])) for n in range(ppm_langid.ORDER, len(s)))
                 assert abs(got[i, j] - want) < 1e-3
 
@@ -110,6 +110,23 @@ def test_language_held_out(spark):
     assert out == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en")]
     assert [r.doc_id for r in ppm_langid.accepted_documents(edge.withColumnRenamed("x", "x"), m).collect()] == [4, 4]
     assert ppm_langid.identify(edge, ppm_langid.train({})).where("lang_pred = 'und'").count() == 5
+    assert ppm_langid.identify(edge.where("false"), m).count() == 0
+    clash = edge.withColumn("row", edge.doc_id).withColumn("t", edge.text).withColumn("score", edge.doc_id)
+    assert ppm_langid.accepted_documents(clash, m).columns == clash.columns
+
+
+def test_samples_are_counted_whole_in_tasks(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "ab" * 3000 + "zq", "x"), (2, "é b", "y"), (3, None, "y"), (4, "", "x"), (5, "left out", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    a = ppm_langid.fit(docs, F.col("text"), F.col("lang"), F.col("doc_id"))
+    b = ppm_langid.train({"x": ["ab" * 3000 + "zq"], "y": ["é b"]})
+    raw = "abz zq é".encode()
+    probe = np.frombuffer(raw, np.uint8), np.array([0, len(raw)])
+    assert a.languages == b.languages == ["x", "y"] and np.allclose(ppm_langid.code_lengths(a, *probe), ppm_langid.code_lengths(b, *probe))
+    text = np.frombuffer(b"abcabd" * 9, np.uint8)
+    assert ppm_langid.gram_counts(text, np.array([0, 54]), block=5) == ppm_langid.gram_counts(text, np.array([0, 54]))
 
 
 def test_toxicity_held_out(spark):
@@ -134,17 +151,86 @@ def test_toxicity_held_out(spark):
     edge = spark.createDataFrame([(1, None, 5.0), (2, "", 5.0), (3, "vilescum " * 50_000, 5.0)], "doc_id long, text string, score double")
     scores = {r.doc_id: r.score for r in kn_toxicity.score(edge, m).collect()}
     assert 0 <= scores[1] == scores[2] < 0.7 <= scores[3] <= 1
+    assert kn_toxicity.score(edge.where("false"), m).count() == 0
+    odd = edge.withColumn("id", F.lit(None).cast("long")).withColumn("f", F.lit(1)).withColumn("t", F.lit(2))
+    assert kn_toxicity.score(odd, m, "id").where("id IS NULL AND score IS NOT NULL").count() == 3
+    nothing = kn_toxicity.fit(docs.where("false"), F.col("toxic"), F.lit(True))
+    assert kn_toxicity.score(edge, nothing).where("predicted = 0 AND score < 1e-9").count() == 3
     none = kn_toxicity.fit(docs.withColumn("label", F.lit(None).cast("int")), F.col("label"), F.lit(False))
     assert kn_toxicity.score(docs.limit(3), none).where("predicted = 0").count() == 3
 
 
-def test_kneser_ney_sums_to_one():
-    raw = "abc abd abc xbc aaa".encode()
-    g, _, _ = kn_toxicity.grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    gram, n = np.unique(g, return_counts=True)
-    seen, unseen = kn_toxicity.train(gram, n.astype(float), n.astype(float))
-    assert np.allclose(seen.get(gram)[0], 0) and seen.get(gram)[1].all() and not seen.get(np.array([1 << 40]))[1].any()
-    assert np.allclose(unseen.get(np.unique(gram // SYMBOLS))[0], 0)
+def plain_kneser_ney(texts):
+    """Plain interpolated Kneser-Ney over (folded text, class) pairs: shared p(symbols), and p(gram, class)."""
+    from collections import Counter, defaultdict
+
+    n = kn_toxicity.CONTEXT
+    by_class, level = defaultdict(Counter), set()
+    for text, kind in texts:
+        symbols = [int(FOLD[b]) for b in text.encode()]
+        for i, x in enumerate(symbols):
+            if x:
+                begin = max([j + 1 for j in range(i) if symbols[j] == 0], default=0)
+                gram = tuple(([0] * n + symbols[begin:i + 1])[-n - 1:])
+                by_class[kind][gram] += 1
+                level.add(gram)
+    kinds = {}
+    for k in range(n, 0, -1):
+        kinds[k] = Counter(g[1:] for g in level)
+        level = set(kinds[k])
+
+    def discount(counts):
+        one, two = sum(c == 1 for c in counts), sum(c == 2 for c in counts)
+        return one / (one + 2 * two) if one and two else 0.75
+    d = {k: discount(kinds[k].values()) for k in kinds}
+
+    def shared(g):
+        k = len(g)
+        if not k:
+            return 1 / SYMBOLS
+        after = [c for x, c in kinds[k].items() if x[:-1] == g[:-1]]
+        if not after:
+            return shared(g[1:])
+        return max(kinds[k][g] - d[k], 0) / sum(after) + d[k] * len(after) / sum(after) * shared(g[1:])
+
+    def p(g, kind):
+        after = [c for x, c in by_class[kind].items() if x[:-1] == g[:-1]]
+        if not after:
+            return shared(g[1:])
+        dc = discount(by_class[kind].values())
+        return max(by_class[kind][g] - dc, 0) / sum(after) + dc * len(after) / sum(after) * shared(g[1:])
+    return by_class, shared, p
+
+
+def test_plain_kneser_ney_agrees_on_every_gram_and_sums_to_one(spark):
+    from pyspark.sql import functions as F
+
+    texts = [("abc abd abc xbc aaa", 0), ("abc vile vile abd", 2), ("abd xbc aaa abc vila", 1), ("bcd bcd", 0), ("aaa abc", 1), ("vile xb", 2)]
+    by_class, shared, p = plain_kneser_ney(texts)
+    docs = spark.createDataFrame([(t, k) for t, k in texts], "text string, kind int")
+    counts = kn_toxicity.gram_counts(docs, F.col("text"), F.col("kind"))
+    seen, unseen = kn_toxicity.train_tables(counts)
+    coded = lambda g: sum(x * SYMBOLS ** (len(g) - 1 - i) for i, x in enumerate(g))
+    got = {r.g: r["diff"] for r in seen.collect()}
+    known = set(by_class[1]) | set(by_class[2])
+    assert got.keys() == {coded(g) for g in known}
+    assert all(abs(got[coded(g)] - math.log(p(g, 2) / p(g, 1))) < 1e-5 for g in known)
+    contexts = {r.c: r["diff"] for r in unseen.collect()}
+    free = next(x for x in range(SYMBOLS) if all(g[-1] != x for g in known))
+    assert all(abs(contexts[coded(g[:-1])] - math.log(p((*g[:-1], free), 2) / p((*g[:-1], free), 1))) < 1e-5 for g in known)
+    for g in known:
+        for kind in (1, 2):
+            assert abs(sum(p((*g[:-1], x), kind) for x in range(SYMBOLS)) - 1) < 1e-9
+
+
+def test_toxicity_query(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, sf).collect()}
+    assert len(got) == queries.table(spark, sf, "documents").count()
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for i, r in got.items())
+    held = [(got[r.doc_id].score, r.toxic) for r in queries.table(spark, sf, "labels").where("toxic IS NOT NULL").collect() if r.doc_id in got and got[r.doc_id].held_out]
+    good, bad = [x for x, t in held if t == 0], [x for x, t in held if t == 1]
+    assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) >= 0.85 * len(good) * len(bad)
 
 
 def test_toxicity_keeps_rare_grams_beyond_the_broadcast(spark):

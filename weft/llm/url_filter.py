@@ -102,8 +102,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> Da
     """One row per input row: ``id_col``, host, path, rule, verdict, difference.
 
     Of the URLs that a rule decides (each distinct host and path once), a fifth by hash calibrate the threshold and the
-    others are counted; where that fifth is not of both kinds, all known URLs calibrate. The verdict of undecided URLs is allow if their difference reaches the threshold. Null URLs and URLs without ``://`` have empty host and
-    path, fit no rule and are judged by the models like others. Without known URLs of both kinds every difference is 0
+    others are counted; where that fifth is not of both kinds, all known URLs calibrate. The verdict of undecided URLs is
+    allow if their difference reaches the threshold. Null URLs and URLs without ``://`` have empty host and path, fit no
+    rule and are judged by the models like others. An empty table gives an empty result. Without known URLs of both kinds every difference is 0
     and the verdict allow. Equal URLs are judged once and joined back, so repeated rows and hot hosts cost nothing more.
     """
     host, path = split_url(F.col(url_col))
@@ -120,4 +121,5 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> Da
     threshold = calibrated_threshold(pairs)
     verdict = F.coalesce("ruled", F.when(F.coalesce("diff", F.lit(0.0)) >= threshold, F.lit("allow")).otherwise(F.lit("block")))
     decided = urls.join(scored, ["host", "path"], "left").select("host", "path", "rule", verdict.alias("verdict"), F.coalesce("diff", F.lit(0.0)).alias("difference"))
-    return src.join(decided, ["host", "path"]).select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict", "difference")
+    # Written, so that the join deals rows and verdicts out by themselves and a hot URL's rows can be split.
+    return src.join(written(decided, "url-verdicts"), ["host", "path"]).select(F.col("_id").alias(id_col), "host", "path", "rule", "verdict", "difference")
