@@ -220,6 +220,22 @@ def test_neighbours_edges(spark):
     assert list(got[got.query_id == 20]["vec_id"]) == [0, 3, 40]
     assert list(got[got.query_id == 40]["vec_id"]) == [4, 0, 3]
     assert mih_ann.nearest(v.where("false"), v.where("false")).count() == 0
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.1, 0.8]), (20, [1.0, 0.0, 0.0]), (3, [0.5, 0.0, 0.0]), (2, [0.4, 0.4])]
+    v = frame(spark, rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in mih_ann.nearest(v, v.where("vec_id % 20 = 0"), k=3).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 0.9), (0, 2, 2, 0.8), (20, 1, 3, 0.5)]
+
+
+def test_neighbours_recall_at_a_larger_size(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    got = queries.op2_nearest_neighbours(spark, sf_dir).toPandas().groupby("query_id")["vec_id"].apply(set)
+    t = queries.table(spark, sf_dir, "embeddings").toPandas()
+    x, ids = np.array(t["embedding"].to_list(), dtype=np.float64), t["vec_id"].to_numpy()
+    recall = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[q]
+        recall.append(len(got[ids[q]] & set(ids[[i for i in np.lexsort((ids, -s))[:21] if i != q][:20]])) / 20)
+    assert np.mean(recall) >= 0.9
 
 
 def test_multi_index_retrieves_every_code_within_the_radius():

@@ -136,11 +136,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
             index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK, sample: int = SAMPLE) -> DataFrame:
     """The ``k`` nearest found of each query: query_id, rank (from 1), ``id_col``, score (inner product in doubles).
 
-    Rows that are null, empty, zero, of another length than most, or hold null or non-finite components, and rows with
-    a null id, take no part. A query's own row (the same id) is no candidate. Ties go to the smaller id. Equal vectors
-    are indexed once, with the k + 1 smallest ids of their rows, of which no query can need more; equal queries are
-    searched once. If fewer than k are found within the radius, the query is compared with all vectors, so that every
-    query gets k results or all candidates. Rows that repeat an id with one vector count once. Extra columns are not read.
+    Rows that are null, empty, zero, or hold null or non-finite components, and rows with a null id, take no part. An
+    inner product needs vectors of one length: each length is searched by itself. A query's own row (the same id) is no
+    candidate. Ties go to the smaller id. Equal vectors are indexed once, with the k + 1 smallest ids of their rows, of
+    which no query can need more; equal queries are searched once. If fewer than k are found within the radius, the
+    query is compared with all vectors, so that every query gets k results or all candidates. Rows that repeat an id with
+    one vector count once; an id with several vectors is found once, with its best score (though each of them
+    takes one of the k + 1 places of a search), and as a query asks with each of them. An empty table gives an empty result. Extra columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
 
@@ -151,24 +153,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return df.where(ok).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vec"))
 
     base, asked = clean(vectors), clean(queries)
-    size = base.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    result = "query_id long, rank int, {} long, score double".format(id_col)
-    if size is None:
-        return spark.createDataFrame([], result)
-    base, asked = base.where(F.size("vec") == size["d"]), asked.where(F.size("vec") == size["d"])
-    # One row for each distinct vector: its smallest id, and the smallest k + 1 of its ids.
+    lengths = [r["d"] for r in asked.groupBy(F.size("vec").alias("d")).count().orderBy("d").collect()]
+    found = [_nearest(base.where(F.size("vec") == d), asked.where(F.size("vec") == d), d, k, index_block, query_block, sample) for d in lengths]
+    if not found:
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    if len(found) > 1:
+        out = out.groupBy("qid", "id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    out = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.select(F.col("qid").alias("query_id"), F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+
+
+def _nearest(base: DataFrame, asked: DataFrame, length: int, k: int, index_block: int, query_block: int, sample: int) -> DataFrame:
+    """(qid, id, score): at least the k nearest found of each query among vectors of one length."""
+    spark = base.sparkSession
+    # One row for each distinct vector, with the smallest k + 1 of its ids.
     key = F.xxhash64("vec")
     rows = base.select(key.alias("h"), "id", "vec").distinct()
     ranked = rows.select("h", "vec", "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     part = Window.partitionBy("h", "vec", "salt").orderBy("id")
     few = ranked.withColumn("r", F.row_number().over(part)).where(F.col("r") <= k + 1)
     grouped = few.groupBy("h", "vec").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
-    distinct = written(grouped.select(F.element_at("ids", 1).alias("vid"), "h", "vec", "ids"), "ann-distinct")
+    distinct = written(grouped.select(F.monotonically_increasing_id().alias("vid"), "h", "vec", "ids"), "ann-distinct")
     n = distinct.count()
     fraction = min(1.0, sample / max(1, n))
-    taken = distinct.where(F.pmod(F.xxhash64("vid", F.lit(3)), F.lit(1 << 30)) < F.lit(fraction * (1 << 30))).select("vid", "vec").orderBy("vid").limit(2 * sample)
-    x = np.array([r["vec"] for r in taken.collect()], dtype=np.float64).reshape(-1, size["d"])
-    model = learn(x, k) if len(x) else HashModel(np.zeros(size["d"]), np.zeros((size["d"], BITS)), BITS)
+    taken = distinct.where(F.pmod(F.xxhash64("h", F.lit(3)), F.lit(1 << 30)) < F.lit(fraction * (1 << 30))).select("h", "vec").orderBy("h").limit(2 * sample)
+    x = np.array([r["vec"] for r in taken.collect()], dtype=np.float64).reshape(-1, length)
+    model = learn(x, k) if len(x) else HashModel(np.zeros(length), np.zeros((length, BITS)), BITS)
     shared = spark.sparkContext.broadcast(model)
 
     queried = written(asked.select(F.col("id").alias("qid"), F.xxhash64("vec").alias("h"), F.col("vec").alias("qvec")).distinct()
@@ -180,7 +194,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     def search(query: DataFrame, exhaustive: bool) -> DataFrame:
         q = query.toDF("qv", "qvec").select("qv", "qvec", F.pmod(F.xxhash64("qv", F.lit(5)), F.lit(q_blocks)).alias("qb"), F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("ib"))
-        v = distinct.select("vid", "vec", F.pmod(F.xxhash64("vid", F.lit(7)), F.lit(blocks)).alias("ib"), F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)")).alias("qb"))
+        v = distinct.select("vid", "vec", F.pmod(F.xxhash64("h", F.lit(7)), F.lit(blocks)).alias("ib"), F.explode(F.expr(f"sequence(0L, {q_blocks - 1}L)")).alias("qb"))
         found = q.groupBy("ib", "qb").cogroup(v.groupBy("ib", "qb")).applyInPandas(_search(shared, k + 1, exhaustive), "q long, v long, score double")
         return found
 
@@ -189,9 +203,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     def best(found: DataFrame, tag: str) -> DataFrame:
         # k + 1 distinct vectors suffice; ties at the edge are all there.
-        w = Window.partitionBy("q").orderBy(F.desc("score"), "v")
+        w = Window.partitionBy("q").orderBy(F.desc("score"))
         top = found.withColumn("r", F.rank().over(w)).where(F.col("r") <= k + 1)
-        wide = top.join(ids_of, "v").select("q", "score", F.explode("ids").alias("id"))
+        wide = top.join(ids_of, "v").select("q", "score", F.explode("ids").alias("id")).groupBy("q", "id").agg(F.max("score").alias("score"))
         w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
         return written(wide.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).select("q", "score", "id"), tag)
 
@@ -205,6 +219,4 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         answers = first.join(enough.withColumnRenamed("vid", "q"), "q", "left_semi").unionByName(again)
     # Equal queries share their answers; each leaves out its own row.
     each = queried.join(answers, queried["vid"] == answers["q"]).where("qid != id")
-    w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    out = each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return out.select(F.col("qid").alias("query_id"), F.col("rank").cast("int"), F.col("id").alias(id_col), "score")
+    return each.groupBy("qid", "id").agg(F.max("score").alias("score"))
