@@ -37,11 +37,14 @@ def nullif_empty(c: Column) -> Column:
 
 
 def basic(c: Column) -> Column:
-    """Unaccented, trimmed, lower case, single spaces; ``12.0`` as ``12``; empty and NaN as null."""
+    """Unaccented, trimmed, lower case, single spaces; ``12.0`` as ``12``; empty texts and numbers that are NaN as null.
+
+    The text ``nan`` is a name like any other; a number that is NaN is no value, and is told by what it is cast to.
+    """
     s = F.lower(unaccent(c.cast("string")))
     s = F.trim(F.regexp_replace(s, r"\s+", " "))
     s = F.regexp_replace(s, r"^(-?\d+)\.0+$", "$1")
-    return F.when(s != "nan", nullif_empty(s))
+    return F.when(~(F.typeof(c).isin("double", "float") & (s == "nan")), nullif_empty(s))
 
 
 def alnum(c: Column) -> Column:

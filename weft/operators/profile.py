@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.values import basic, date_parse_rate, is_dayfirst, normalizer, value_shape
+from weft.operators.clustering import stored
 
-EXACT_DISTINCT_ROWS = 2_000_000
 NUMERIC_STRING_SHARE, INTEGRAL_SHARE = 0.98, 0.999
 
 
@@ -35,28 +35,42 @@ def unpivoted(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         if kind == "other":
             text = F.to_json(c) if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) else F.lit(None).cast("string")
         else:
-            text = c.cast("string")
+            text = F.when(~F.isnan(c), c.cast("string")) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else c.cast("string")
         number = c.cast("double") if kind in ("integer", "float") else c.try_cast("double") if kind == "string" else F.lit(None).cast("double")
         number = F.when(~F.isnan(number), number)
         cells.append(F.struct(F.lit(f.name).alias("column"), text.alias("text"), number.alias("number")))
     return df.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
+def cell_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, text, number, count): one row by column and value. Cells are combined before the shuffle, and statistics,
+    top values, samples and sketches all start from here, so that a table is unpivoted once."""
+    return unpivoted(df, columns).groupBy("column", "text").agg(F.first("number").alias("number"), F.count("*").alias("count"))
+
+
 def _filled(text: str = "text") -> Column:
     return F.nullif(F.trim(F.col(text)), F.lit("")).isNotNull()
 
 
-def column_statistics(df: DataFrame, columns: list[str] | None = None, exact_distinct: bool = True) -> DataFrame:
-    """One row for each column: counts, distinct values, lengths and moments, all in one grouped aggregate over the unpivoted cells."""
-    cells = unpivoted(df, columns)
-    value = F.when(_filled(), F.col("text"))
-    distinct = F.count_distinct(value) if exact_distinct else F.approx_count_distinct(value)
-    n = F.col("number")
-    return cells.groupBy("column").agg(
-        F.count("*").alias("rows"), F.count(value).alias("non_null"), distinct.alias("distinct"), F.count(n).alias("numeric"),
-        F.avg(F.length(value)).alias("avg_length"), F.min(n).alias("min"), F.max(n).alias("max"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("stddev"),
-        F.percentile(n, F.array(*[F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("quantiles"),
-        F.avg((n == F.floor(n)).cast("double")).alias("integral_share"))
+def column_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row for each column: counts, distinct values, lengths and moments."""
+    return statistics_of(stored(cell_counts(df, columns)))
+
+
+def statistics_of(counts: DataFrame) -> DataFrame:
+    """The statistics of ``cell_counts``; distinct values are counted exactly at every size."""
+    value, n, c = F.when(_filled(), F.col("text")), F.col("number"), F.col("count")
+    filled, numeric = F.when(value.isNotNull(), c), F.when(n.isNotNull(), c)
+    first = counts.groupBy("column").agg(
+        F.sum(c).alias("rows"), F.coalesce(F.sum(filled), F.lit(0)).alias("non_null"), F.count(value).alias("distinct"), F.coalesce(F.sum(numeric), F.lit(0)).alias("numeric"),
+        (F.sum(F.length(value) * c) / F.sum(filled)).alias("avg_length"), F.min(n).alias("min"), F.max(n).alias("max"), (F.sum(n * c) / F.sum(numeric)).alias("mean"),
+        F.percentile(n, F.array(*[F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)]), c).alias("quantiles"),
+        (F.sum((n == F.floor(n)).cast("double") * c) / F.sum(numeric)).alias("integral_share"))
+    # One row a column; deviations are taken from the mean, so that squares of large numbers do not cancel.
+    means = F.broadcast(first.select("column", "mean", "numeric"))
+    spread = counts.join(means, "column").groupBy("column").agg(
+        F.when(F.first("numeric") > 1, F.sqrt(F.sum(c * F.pow(n - F.col("mean"), F.lit(2.0))) / (F.first("numeric") - 1))).alias("stddev"))
+    return first.join(spread, "column")
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -67,7 +81,23 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def top_values(df: DataFrame, columns: list[str] | None = None, n: int = 25) -> DataFrame:
     """(column, text, count, rank) of the most frequent values; ties by value."""
-    counts = unpivoted(df, columns).where(F.col("text").isNotNull()).groupBy("column", "text").agg(F.count("*").alias("count"))
+    return most_frequent(cell_counts(df, columns), n)
+
+
+def sample_rows(df: DataFrame, key: Column, n: int = 1000, seed: str = "42") -> DataFrame:
+    """``n`` rows drawn by the hash of ``key``: the same rows whatever the partitioning."""
+    return df.orderBy(F.md5(F.concat(F.lit(seed), key.cast("string")).cast("binary")), key).limit(n)
+
+
+def sample_values(df: DataFrame, columns: list[str] | None = None, n: int = 10) -> DataFrame:
+    """(column, text): the ``n`` first distinct values of each column in text order."""
+    w = Window.partitionBy("column").orderBy("text")
+    return cell_counts(df, columns).where(_filled()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("column", "text")
+
+
+def most_frequent(counts: DataFrame, n: int = 25) -> DataFrame:
+    """``top_values`` of ``cell_counts``."""
+    counts = counts.where(F.col("text").isNotNull()).select("column", "text", "count")
     w = Window.partitionBy("column").orderBy(F.desc("count"), "text")
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
@@ -99,13 +129,15 @@ def sketch_hash(c: Column) -> Column:
     return F.xxhash64(c)
 
 
-def bottom_k(df: DataFrame, columns: list[str] | None = None, k: int = 20_000, hash_of=sketch_hash) -> DataFrame:
+def bottom_k(df: DataFrame, columns: list[str] | None = None, k: int = 20_000, hash_of=sketch_hash, counts: DataFrame | None = None) -> DataFrame:
     """(column, value, h) with the k smallest hashes of distinct normalised values of each column, and ``complete``.
 
     Sketches are coordinated: equal values hash alike everywhere, so two sketches restricted to the smaller of their
-    largest hashes are samples of the same part of the value space.
+    largest hashes are samples of the same part of the value space. ``counts`` are the table's cell counts, if made already.
     """
-    values = unpivoted(df, columns).select("column", basic(F.col("text")).alias("value")).where("value IS NOT NULL").distinct()
+    # Equal texts are combined before they are normalised.
+    cells = unpivoted(df, columns).select("column", "text").distinct() if counts is None else counts
+    values = cells.select("column", basic(F.col("text")).alias("value")).where("value IS NOT NULL").distinct()
     w = Window.partitionBy("column").orderBy("h", "value")
     ranked = values.withColumn("h", hash_of(F.col("value"))).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k + 1)
     complete = F.max("__r").over(Window.partitionBy("column")) <= k
@@ -260,22 +292,25 @@ def semantic_type(c: ColumnProfile, rates: dict[str, float], date_rate: float) -
     return ranked[0][1], min(ranked[0][0], 1.0), kept
 
 
-def profile(df: DataFrame, dataset: str, sample: int = 1000) -> DatasetProfile:
-    """Statistics, patterns, top values and semantic types of a dataset, in five grouped passes whatever its width."""
+def profile(df: DataFrame, dataset: str, sample: int = 1000, counts: DataFrame | None = None) -> DatasetProfile:
+    """Statistics, patterns, top values and semantic types of a dataset: one pass for duplicate rows, one that counts the
+    cells by value (``counts``, if made already), and the rest from those counts, whatever the table's width."""
     counted = duplicate_rows(df).first()
-    stats = {r["column"]: r for r in column_statistics(df, exact_distinct=counted["rows"] <= EXACT_DISTINCT_ROWS).collect()}
+    counts = stored(cell_counts(df)) if counts is None else counts
+    stats = {r["column"]: r for r in statistics_of(counts).collect()}
     tops: dict[str, dict[str, int]] = {}
-    for r in top_values(df).collect():
+    for r in most_frequent(counts).collect():
         tops.setdefault(r["column"], {})[r["text"]] = r["count"]
     strings = [f.name for f in df.schema.fields if logical_type(f.dataType) in ("string", "integer")]
-    cells = unpivoted(df, strings).where(_filled()) if strings else None
+    cells = counts.where(F.col("column").isin(*strings) & _filled()) if strings else None
     rates: dict[str, dict[str, float]] = {}
     shapes: dict[str, dict[str, float]] = {}
     dates: dict[str, tuple[float, bool]] = {}
     if cells is not None:
         w = Window.partitionBy("column").orderBy(F.xxhash64("text", F.lit(42)), "text")
         # Patterns need no more than a sample of each column's distinct values.
-        chosen = cells.select("column", "text").distinct().withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample)
+        chosen = cells.select("column", "text").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample)
+        chosen = stored(chosen)
         got = chosen.groupBy("column").agg(*[F.avg(F.col("text").rlike(p).cast("double")).alias(k) for k, p in VALUE_PATTERNS.items()],
                                            date_parse_rate(F.when(F.length("text") >= 6, F.col("text")).otherwise("x"), True).alias("dates"), is_dayfirst(F.col("text")).alias("dayfirst"))
         for r in got.collect():

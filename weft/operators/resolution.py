@@ -163,40 +163,64 @@ def blocking_statistics(records: DataFrame, pairs: DataFrame, dedupe: tuple[str,
 # -- comparison ---------------------------------------------------------------------------------------------------------
 
 
-def level(f: MatchField, a: Column, b: Column) -> Column:
-    """Agreement of two values of a field: exact, high, medium, different, or null where either is missing."""
-    def graded(missing: Column, *steps: tuple[Column, str]) -> Column:
-        out = F.when(missing, F.lit("null"))
+def prepared(f: MatchField, c: Column) -> Column:
+    """A field's value in the form in which it is compared."""
+    if f.semantic == "NAME":
+        return person_name(c)
+    if f.semantic == "PHONE":
+        return digits(c)
+    if f.semantic in ("DATE", "DATETIME"):
+        return parse_date(c)
+    if f.semantic in ("NUMERIC", "CURRENCY", "LATITUDE", "LONGITUDE"):
+        return c.try_cast("double")
+    return identifier(c) if f.semantic == "ID" and f.norm == "basic" else normalizer(f.norm)(c)
+
+
+def level(f: MatchField, x: Column, y: Column) -> Column | None:
+    """Agreement of two prepared values: exact, high, medium, different, or null where either is missing; None for fields
+    whose similarity native functions cannot express."""
+    def graded(*steps: tuple[Column, str]) -> Column:
+        out = F.when(x.isNull() | y.isNull(), F.lit("null"))
         for condition, name in steps:
             out = out.when(condition, F.lit(name))
         return out.otherwise(F.lit("different"))
-    if f.semantic == "NAME":
-        return name_levels(person_name(a), person_name(b))
     if f.semantic == "PHONE":
-        x, y = digits(a), digits(b)
-        return graded(x.isNull() | y.isNull(), (x == y, "exact"), (F.right(x, F.lit(7)) == F.right(y, F.lit(7)), "high"))
+        return graded((x == y, "exact"), (F.right(x, F.lit(7)) == F.right(y, F.lit(7)), "high"))
     if f.semantic in ("DATE", "DATETIME"):
-        x, y = parse_date(a), parse_date(b)
-        return graded(x.isNull() | y.isNull(), (x == y, "exact"), (F.abs(F.datediff(x, y)) <= 31, "medium"))
+        return graded((x == y, "exact"), (F.abs(F.datediff(x, y)) <= 31, "medium"))
     if f.semantic in ("NUMERIC", "CURRENCY", "LATITUDE", "LONGITUDE"):
-        x, y = a.try_cast("double"), b.try_cast("double")
         gap, size = F.abs(x - y), F.greatest(F.abs(x), F.abs(y))
-        return graded(x.isNull() | y.isNull(), (x == y, "exact"), (gap <= 0.001 * size, "high"), (gap <= 0.05 * size, "medium"))
-    fn = normalizer(f.norm)
-    x, y = fn(a), fn(b)
+        return graded((x == y, "exact"), (gap <= 0.001 * size, "high"), (gap <= 0.05 * size, "medium"))
     if f.semantic in ("ID", "EMAIL", "ZIPCODE", "BOOLEAN", "CATEGORY", "CURRENCY_CODE"):
-        x, y = (identifier(a), identifier(b)) if f.semantic == "ID" and f.norm == "basic" else (x, y)
-        return graded(x.isNull() | y.isNull(), (x == y, "exact"))
-    return string_levels(x, y)
+        return graded((x == y, "exact"))
+    return None
 
 
 def compared(records: DataFrame, pairs: DataFrame, fields: list[MatchField]) -> DataFrame:
-    """``pairs`` with a level for each field; only the compared fields are joined in."""
-    cols = [f.name for f in fields]
-    left = records.select(F.col("rid").alias("a"), *[F.col(c).alias(f"__a_{c}") for c in cols])
-    right = records.select(F.col("rid").alias("b"), *[F.col(c).alias(f"__b_{c}") for c in cols])
+    """``pairs`` with a level for each field.
+
+    Values are prepared once a record, and written, so that no pair repeats a normaliser. Names and other strings, whose
+    similarity is Python, are compared once for each two distinct values, however many pairs have them.
+    """
+    ready = stored(records.select("rid", *[prepared(f, F.col(f.name)).alias(f"__{f.name}") for f in fields]))
+    left = ready.select(F.col("rid").alias("a"), *[F.col(f"__{f.name}").alias(f"__a_{f.name}") for f in fields])
+    right = ready.select(F.col("rid").alias("b"), *[F.col(f"__{f.name}").alias(f"__b_{f.name}") for f in fields])
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.select("a", "b", *[level(f, F.col(f"__a_{f.name}"), F.col(f"__b_{f.name}")).alias(f.name) for f in fields])
+    native = {f.name: level(f, F.col(f"__a_{f.name}"), F.col(f"__b_{f.name}")) for f in fields}
+    slow = [f for f in fields if native[f.name] is None]
+    if slow:
+        keep = [c for f in slow for c in (f"__a_{f.name}", f"__b_{f.name}")]
+        joined = stored(joined.select("a", "b", *keep, *[c.alias(n) for n, c in native.items() if c is not None]))
+        for f in slow:
+            x, y = F.col(f"__a_{f.name}"), F.col(f"__b_{f.name}")
+            measure = name_levels if f.semantic == "NAME" else string_levels
+            lo, hi = F.least(x, y).alias("__x"), F.greatest(x, y).alias("__y")
+            two = joined.where(x.isNotNull() & y.isNotNull() & (x != y)).select(lo, hi).distinct()
+            two = stored(two.select("__x", "__y", measure("__x", "__y").alias("__l")))
+            joined = joined.join(two, (F.least(x, y) == F.col("__x")) & (F.greatest(x, y) == F.col("__y")) & (x != y), "left")
+            joined = joined.withColumn(f.name, F.when(x.isNull() | y.isNull(), "null").when(x == y, "exact").otherwise(F.coalesce("__l", F.lit("different")))).drop("__x", "__y", "__l")
+        return joined.select("a", "b", *[f.name for f in fields])
+    return joined.select("a", "b", *[native[f.name].alias(f.name) for f in fields])
 
 
 def pattern_counts(levels: DataFrame, fields: list[str]) -> DataFrame:
@@ -386,6 +410,17 @@ def review_queue(pairs: DataFrame, limit: int = 20, threshold: float = 0.5, disa
     return pairs.where((F.col("p") > 0.01) & (F.col("p") < 0.999)).withColumn("score", score).orderBy(F.desc("score"), "a", "b").limit(limit)
 
 
+def random_review(pairs: DataFrame, share: int, seed: str = "7") -> DataFrame:
+    """``share`` pairs of the reviewable ones drawn by hash: labels of these calibrate, since no score chose them."""
+    open_ = pairs.where((F.col("p") > 0.01) & (F.col("p") < 0.999))
+    return open_.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col("a").cast("string"), F.col("b").cast("string")).cast("binary"))).limit(share)
+
+
+def strongest_pairs(pairs: DataFrame, limit: int = 2000) -> DataFrame:
+    """The pairs with the highest probabilities; ties by id."""
+    return pairs.orderBy(F.desc("p"), "a", "b").limit(limit)
+
+
 @dataclass
 class Resolution:
     pairs: DataFrame

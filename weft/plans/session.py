@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from weft import config
 from weft.operators import fusion, uncertainty, validation
 from weft.operators.joins import ROW, agreement, match_statistics
-from weft.operators.profile import DatasetProfile, bottom_k, issues, profile
+from weft.operators.clustering import stored
+from weft.operators.profile import DatasetProfile, bottom_k, cell_counts, issues, profile
 from weft.operators.resolution import MatchField, Resolution, resolve, review_queue
 from weft.plans import graph as g
 from weft.plans import lineage
@@ -105,9 +106,10 @@ class Session:
     def profile(self, name: str) -> DatasetProfile:
         if name not in self.profiles:
             df = self.frames[name].drop(ROW)
-            self.profiles[name] = profile(df, name)
+            counts = stored(cell_counts(df))
+            self.profiles[name] = profile(df, name, counts=counts)
             k = self.settings["matching"]["sketch_size"]
-            for r in bottom_k(df, k=k).groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("value", "h"))).alias("v"), F.bool_and("complete").alias("c")).collect():
+            for r in bottom_k(df, k=k, counts=counts).groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("value", "h"))).alias("v"), F.bool_and("complete").alias("c")).collect():
                 self.sketches[f"{name}.{r['column']}"] = Sketch(dict(r["v"]), r["c"])
         return self.profiles[name]
 
