@@ -69,7 +69,8 @@ def test_graph():
 
 def test_planner_rules():
     assert effective_thresholds("strict")["min_edge"] == .85 and effective_thresholds("balanced", min_edge=.6)["min_edge"] == .6
-    assert [aggregate_function(*x) for x in (("unit_price", "float", "CURRENCY"), ("total_amount", "float", "CURRENCY"), ("cust_id", "integer", "ID"), ("city", "string", "CITY"), ("note", "string", "FREE_TEXT"), ("day", "date", "DATE"))] == ["avg", "sum", "count_distinct", "mode", None, "max"]
+    assert [aggregate_function(*x) for x in (("unit_price", "float", "CURRENCY"), ("total_amount", "float", "CURRENCY"), ("cust_id", "integer", "ID"), ("city", "string", "CITY"), ("note", "string", "FREE_TEXT"), ("day", "date", "DATE"))] == ["sum", "sum", "count_distinct", "mode", None, "max"]
+    assert aggregate_function("household_income", "float", "CURRENCY") == "avg" and aggregate_function("code", "string", "ID") is None
     assert [cardinality_label(*x) for x in ((0, 0), (1, 9), (100, 100), (60, 100), (5, 1000), (200, 1000))] == ["empty", "constant", "unique", "high", "low", "medium"]
     ps = [DatasetProfile(n, r, 0, {}) for n, r in (("orders", 100), ("customer", 10), ("nation", 5))]
     rel = [Relationship("LOOKUP", "orders", "customer", [("cust", "id")], .9), Relationship("LOOKUP", "customer", "nation", [("n", "id")], .8)]

@@ -23,7 +23,7 @@ def candidate_values(members: DataFrame, attributes: dict[str, str], value_norms
 
 def _voted(c: DataFrame, weight: Column) -> DataFrame:
     """The value with the most weight in its group; ties take the best priority, then the first row."""
-    votes = c.groupBy("entity_id", "attribute", "norm").agg(F.sum(weight).alias("votes"), F.min(F.struct("priority", "dataset", "row", "value")).alias("first"))
+    votes = c.groupBy("entity_id", "attribute", "norm").agg(F.round(F.sum(weight), 9).alias("votes"), F.min(F.struct("priority", "dataset", "row", "value")).alias("first"))
     best = votes.groupBy("entity_id", "attribute").agg(F.min_by(F.col("first.value"), F.struct((-F.col("votes")).alias("v"), "first")).alias("resolved"))
     return best
 
@@ -70,6 +70,26 @@ def conflicts(candidates: DataFrame, strategy: str, accuracy: DataFrame | None =
     return found.join(listed, ["entity_id", "attribute"]).withColumns({"strategy": F.lit(strategy), "status": F.when(F.lit(strategy == "manual_review"), "open").otherwise("resolved")})
 
 
+def cell_provenance(candidates: DataFrame, strategy: str, accuracy: DataFrame | None = None) -> DataFrame:
+    """(entity_id, attribute, source_dataset, source_row, strategy, reason) of each fused cell with several candidates:
+    whose value it is, the best by priority, dataset and row of those that gave it. Lists and open cells have no winner."""
+    found = resolved_values(candidates, strategy, accuracy).where("n_candidates > 1 AND resolved IS NOT NULL")
+    both = candidates.join(found, ["entity_id", "attribute"]).where("value = resolved")
+    best = both.groupBy("entity_id", "attribute").agg(F.min(F.struct("priority", "dataset", "row")).alias("x"), F.first("conflict").alias("conflict"), F.first("n_values").alias("n_values"))
+    return best.select("entity_id", "attribute", F.col("x.dataset").alias("source_dataset"), F.col("x.row").alias("source_row"),
+                       F.when(F.col("conflict"), strategy).otherwise("agreement").alias("strategy"),
+                       F.when(F.col("conflict"), F.concat(F.lit("chosen among "), F.col("n_values").cast("string"), F.lit(" values"))).otherwise("all sources agree").alias("reason"))
+
+
+def united_histories(histories: list[tuple[object, DataFrame]]) -> DataFrame | None:
+    """All histories in one, each row with the moment at which its merge recorded it."""
+    out = None
+    for at, h in histories:
+        one = h.withColumn("recorded_at", F.lit(at).cast("timestamp_ntz"))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return out
+
+
 def source_accuracy(candidates: DataFrame, rounds: int = 10, start: float = 0.8) -> DataFrame:
     """(dataset, accuracy): sources vote with log-odds of their accuracy, and an accuracy is the share of a source's
     values that win, with Laplace smoothing. Each round is one aggregate; a vector of sources is all that returns."""

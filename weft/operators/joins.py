@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weft.functions.values import normalizer
+from weft.operators.clustering import stored
 
 ROW = "__row"
 
@@ -18,15 +19,10 @@ def with_row_numbers(df: DataFrame, order_by: list[str] | None = None) -> DataFr
     Ranges are sorted in parallel and each partition's rows start at the count of rows in the partitions before it, so
     no task sees more than its own range.
     """
-    spark = df.sparkSession
-    if order_by is None:
-        rows = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-        schema = df.schema.add(ROW, "long")
-        return spark.createDataFrame(rows, schema)
-    ranged = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    ranged = df if order_by is None else df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     placed = ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
     local = Window.partitionBy("__part").orderBy("__at")
-    placed = placed.withColumn("__n", F.row_number().over(local))
+    placed = stored(placed.withColumn("__n", F.row_number().over(local)))  # counts and rows must see one placing
     counts = placed.groupBy("__part").agg(F.count("*").alias("__c"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__skip"))
@@ -86,8 +82,12 @@ def _aggregate(a: Aggregate) -> Column:
         "count_distinct": lambda: F.count_distinct(c),
     }[a.function]()
     if a.through:
-        # min = max says that a value depends on the key alone, without a second distinct count.
-        made = F.when(F.min(c).eqNullSafe(F.max(c)), F.min(c).cast("double") if a.function == "avg" else F.min(c)).otherwise(made)
+        # min = max says that a value depends on the key alone, without a second distinct count. Numbers pass as doubles.
+        same = F.min(c).eqNullSafe(F.max(c))
+        if a.function in ("sum", "avg", "count_distinct"):
+            made = F.when(same, F.min(c.try_cast("double"))).otherwise(made.cast("double"))
+        else:
+            made = F.when(same, F.min(c)).otherwise(made)
     return made.alias(a.name)
 
 

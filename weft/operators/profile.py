@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weft.functions.values import basic, date_parse_rate, is_dayfirst, normalizer, value_shape
-from weft.operators.clustering import stored
+from weft.operators.clustering import concurrently, stored
 
 NUMERIC_STRING_SHARE, INTEGRAL_SHARE = 0.98, 0.999
 
@@ -170,9 +170,9 @@ def overlap_statistics(sketches: DataFrame, pairs: DataFrame | None = None, norm
                       F.when(a > 0, x / a).otherwise(0.0).alias("containment_left"), F.when(b > 0, x / b).otherwise(0.0).alias("containment_right"), "exact")
 
 
-def minhash(sketches: DataFrame, permutations: int = 128) -> DataFrame:
+def minhash(sketches: DataFrame, permutations: int = 128, hash_of=lambda value, seed: F.xxhash64(value, F.lit(seed))) -> DataFrame:
     """(column, signature): the least of ``permutations`` seeded hashes over each column's sketch values."""
-    mins = [F.min(F.xxhash64(F.col("value"), F.lit(i))) for i in range(permutations)]
+    mins = [F.min(hash_of(F.col("value"), i)) for i in range(permutations)]
     return sketches.groupBy("column").agg(F.array(*mins).alias("signature"))
 
 
@@ -295,30 +295,34 @@ def semantic_type(c: ColumnProfile, rates: dict[str, float], date_rate: float) -
 def profile(df: DataFrame, dataset: str, sample: int = 1000, counts: DataFrame | None = None) -> DatasetProfile:
     """Statistics, patterns, top values and semantic types of a dataset: one pass for duplicate rows, one that counts the
     cells by value (``counts``, if made already), and the rest from those counts, whatever the table's width."""
-    counted = duplicate_rows(df).first()
     counts = stored(cell_counts(df)) if counts is None else counts
-    stats = {r["column"]: r for r in statistics_of(counts).collect()}
-    tops: dict[str, dict[str, int]] = {}
-    for r in most_frequent(counts).collect():
-        tops.setdefault(r["column"], {})[r["text"]] = r["count"]
     strings = [f.name for f in df.schema.fields if logical_type(f.dataType) in ("string", "integer")]
-    cells = counts.where(F.col("column").isin(*strings) & _filled()) if strings else None
+    tops: dict[str, dict[str, int]] = {}
     rates: dict[str, dict[str, float]] = {}
     shapes: dict[str, dict[str, float]] = {}
     dates: dict[str, tuple[float, bool]] = {}
-    if cells is not None:
+
+    def patterns() -> None:
+        if not strings:
+            return
         w = Window.partitionBy("column").orderBy(F.xxhash64("text", F.lit(42)), "text")
         # Patterns need no more than a sample of each column's distinct values.
-        chosen = cells.select("column", "text").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample)
-        chosen = stored(chosen)
-        got = chosen.groupBy("column").agg(*[F.avg(F.col("text").rlike(p).cast("double")).alias(k) for k, p in VALUE_PATTERNS.items()],
-                                           date_parse_rate(F.when(F.length("text") >= 6, F.col("text")).otherwise("x"), True).alias("dates"), is_dayfirst(F.col("text")).alias("dayfirst"))
+        chosen = counts.where(F.col("column").isin(*strings) & _filled()).select("column", "text").withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= sample)
+        tested = chosen.select("column", "text", value_shape(F.col("text")).alias("shape"))
+        got = tested.groupBy("column").agg(*[F.avg(F.col("text").rlike(p).cast("double")).alias(k) for k, p in VALUE_PATTERNS.items()],
+                                           date_parse_rate(F.when(F.length("text") >= 6, F.col("text")).otherwise("x"), True).alias("dates"), is_dayfirst(F.col("text")).alias("dayfirst"),
+                                           F.collect_list("shape").alias("shapes"))  # a sample's worth a column
         for r in got.collect():
             rates[r["column"]] = {k: r[k] or 0.0 for k in VALUE_PATTERNS}
             dates[r["column"]] = (r["dates"] or 0.0, bool(r["dayfirst"]))
-        hist = chosen.groupBy("column", value_shape(F.col("text")).alias("shape")).agg(F.count("*").alias("n"))
-        for r in hist.collect():
-            shapes.setdefault(r["column"], {})[r["shape"]] = r["n"]
+            for shape in r["shapes"]:
+                into = shapes.setdefault(r["column"], {})
+                into[shape] = into.get(shape, 0) + 1
+
+    counted, found, frequent, _ = concurrently(lambda: duplicate_rows(df).first(), lambda: statistics_of(counts).collect(), lambda: most_frequent(counts).collect(), patterns)
+    stats = {r["column"]: r for r in found}
+    for r in frequent:
+        tops.setdefault(r["column"], {})[r["text"]] = r["count"]
     columns = {}
     for f in df.schema.fields:
         r = stats.get(f.name)

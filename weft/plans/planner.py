@@ -11,8 +11,9 @@ from weft import config
 from weft.functions.values import currency_amount, currency_code, parse_date, parse_timestamp, to_base
 from weft.operators.joins import ROW, Aggregate, aggregate_lookup, final_columns, lookup
 from weft.operators.profile import ColumnProfile, DatasetProfile
+from weft.plans.entity_groups import EntityGroup, Fused, attached, fuse, group_fields
 from weft.plans.graph import components, spanning_forest
-from weft.plans.names import NameAllocator, role_of, snake, split_identifier
+from weft.plans.names import NameAllocator, name_tokens, role_of, snake
 from weft.plans.relationships import AGGREGATE, KEY_MERGE, LOOKUP, RESOLUTION, Relationship
 
 
@@ -61,23 +62,23 @@ def apply_transforms(df: DataFrame, transforms: list[Transform], base: str = "US
     return df.withColumns(made) if made else df
 
 
-#: Words in column names that say how numbers add up.
-AVG_WORDS = ("rate", "ratio", "percent", "pct", "avg", "average", "mean", "score", "price", "median", "age", "rank", "index", "temperature", "latitude", "longitude")
-SUM_WORDS = ("amount", "total", "count", "qty", "quantity", "sum", "sales", "revenue", "cost", "fare", "population", "units", "value", "payment", "tip", "tax")
+#: Words in column names that say how numbers add up; a name with words of both kinds averages.
+AVG_WORDS = ("median", "mean", "average", "rate", "percent", "ratio", "income", "per", "share", "index", "age")
+SUM_WORDS = ("count", "total", "population", "number", "sum", "amount", "spent", "quantity", "fare", "tip", "revenue", "units", "trips")
 
 
 def aggregate_function(name: str, logical: str, semantic: str) -> str | None:
     """How a column is aggregated to a key: by its type, meaning and name; None for text that cannot be."""
-    words = split_identifier(name)
+    words = set(name_tokens(name))
     if logical in ("integer", "float"):
         if semantic == "ID":
             return "count_distinct"
-        if any(w in AVG_WORDS for w in words):
+        if words & set(AVG_WORDS):
             return "avg"
-        return "sum" if any(w in SUM_WORDS for w in words) or semantic == "CURRENCY" else "avg"
+        return "sum" if words & set(SUM_WORDS) or semantic == "CURRENCY" else "avg"
     if logical in ("date", "datetime"):
         return "max"
-    return "mode" if semantic in ("CATEGORY", "CITY", "COUNTRY", "CURRENCY_CODE", "BOOLEAN", "ZIPCODE") else "count_distinct" if semantic == "ID" else None
+    return "mode" if semantic in ("CATEGORY", "CITY", "COUNTRY", "CURRENCY_CODE") else None
 
 
 @dataclass
@@ -97,16 +98,19 @@ class MergePlan:
     root: str
     attachments: list[Attachment]
     transforms: dict[str, list[Transform]]
-    entity_groups: list[Relationship] = field(default_factory=list)
+    entity_groups: list[EntityGroup] = field(default_factory=list)
     excluded: list[tuple[str, str]] = field(default_factory=list)
     unreached: list[str] = field(default_factory=list)
     thresholds: dict[str, float] = field(default_factory=dict)
 
+    def datasets(self) -> set[str]:
+        return {self.root, *[a.child for a in self.attachments], *[d for g in self.entity_groups for d in g.datasets]}
+
     def steps(self) -> list[str]:
         out = [f"Start from {self.root}, whose rows are all kept"]
         out += [f"{d}: {t.kind} of {t.column}" for d, ts in self.transforms.items() for t in ts]
         out += [f"{'Look up' if a.kind == LOOKUP else 'Aggregate and look up'} {a.child} as {a.alias} by {a.parent_key} = {a.child_key}" for a in self.attachments]
-        out += [f"Resolve entities of {r.left} and {r.right}" for r in self.entity_groups]
+        out += [f"Resolve entities of {', '.join(x.datasets)} by {', '.join(f.name for f in x.fields)}, and attach them to {x.anchor}" for x in self.entity_groups]
         out += [f"Left out {a} - {b}: closes a cycle" for a, b in self.excluded]
         return out
 
@@ -155,7 +159,11 @@ def build_plan(profiles: list[DatasetProfile], relations: list[Relationship], mo
             done.add(other)
             queue.append(other)
             if r.kind == RESOLUTION:
-                entities.append(r)
+                group = next((x for x in entities if d in x.datasets), None)
+                if group is None:
+                    group = EntityGroup(f"G{len(entities) + 1}", [d])
+                    entities.append(group)
+                group.datasets.append(other)
                 continue
             forward = r.left == d
             for ref, key in r.keys if r.kind == LOOKUP and forward else r.keys[:1]:
@@ -164,6 +172,9 @@ def build_plan(profiles: list[DatasetProfile], relations: list[Relationship], mo
                 kind = LOOKUP if (r.kind == LOOKUP and forward) or r.kind == KEY_MERGE else AGGREGATE
                 pk, ck = (ref, key) if forward else (key, ref)
                 attachments.append(Attachment(d, other, kind, pk, ck, alias, r.confidence, r.norm))
+    matches = [m for r in relations for m in r.matches]
+    for x in entities:
+        x.fields = group_fields(x.datasets, matches, by_name)
     return MergePlan(root, attachments, {p.dataset: t for p in profiles if (t := plan_transforms(p))}, entities, [(a, b) for a, b, _ in dropped],
                      [p.dataset for p in profiles if p.dataset not in done], limits)
 
@@ -173,14 +184,29 @@ def aggregates_for(columns: list[ColumnProfile], key: str, alias: str) -> list[A
     for c in columns:
         f = aggregate_function(c.name, c.logical, c.semantic)
         if c.name != key and f:
-            out.append(Aggregate(c.name, f, f"{alias}_{snake(c.name)}_{f}", through=False))
+            out.append(Aggregate(c.name, f, f"{alias}_{snake(c.name)}_{f}", through=True))
     return out
 
 
+@dataclass
+class Executed:
+    unified: DataFrame
+    groups: dict[str, Fused]
+    ready: dict[str, DataFrame]  # the datasets after their transforms
+
+
 def execute(plan: MergePlan, tables: dict[str, DataFrame], profiles: dict[str, DatasetProfile]) -> DataFrame:
-    """The unified table of a plan as one lazy DataFrame: nested lookups are built once, from the leaves to the root."""
+    """The unified table of a plan; see ``executed``."""
+    return executed(plan, tables, profiles).unified
+
+
+def executed(plan: MergePlan, tables: dict[str, DataFrame], profiles: dict[str, DatasetProfile], strategy: str = "majority_vote", labels: DataFrame | None = None,
+             priority: list[str] | None = None) -> Executed:
+    """A plan carried out: the unified table as one DataFrame, whose nested lookups are built once, from the leaves to the
+    root, and the entity groups, each resolved and fused where its anchor is built."""
     ready = {d: apply_transforms(t, plan.transforms.get(d, [])) for d, t in tables.items()}
     raw = {d: {t.column for t in plan.transforms.get(d, [])} for d in tables}
+    groups: dict[str, Fused] = {}
 
     def key_of(d: str, c: str) -> str:
         return f"{c}_raw" if c in raw.get(d, set()) else c
@@ -196,10 +222,28 @@ def execute(plan: MergePlan, tables: dict[str, DataFrame], profiles: dict[str, D
             else:
                 p = profiles[a.child]
                 df = aggregate_lookup(df, ready[a.child], key_of(d, a.parent_key), key_of(a.child, a.child_key), a.alias, aggregates_for(list(p.columns.values()), a.child_key, a.alias), norm)
+        for x in (x for x in plan.entity_groups if x.anchor == d and x.fields):
+            frames = {d: df} | {m: built(m) for m in x.datasets[1:]}
+            groups[x.id] = fuse(x, frames, profiles, {m: totals_of(plan, m, profiles) for m in x.datasets}, strategy, plan.thresholds.get("entity_merge", 0.5),
+                                plan.thresholds.get("entity_review", 0.2), labels, priority)
+            df = attached(df, groups[x.id])
         return df
     out = built(plan.root)
     confidences = {a.alias: a.confidence for a in plan.attachments if f"_match_{a.alias}" in out.columns}
-    return final_columns(out, plan.root, confidences)
+    linked = [c for c in out.columns if c.endswith("_entity_confidence")]
+    return Executed(final_columns(out, plan.root, confidences, linked), groups, ready)
+
+
+def totals_of(plan: MergePlan, dataset: str, profiles: dict[str, DatasetProfile]) -> dict[str, str]:
+    """Columns that aggregate lookups add to a dataset, and the function that adds them up over an entity."""
+    out = {}
+    for a in plan.attachments:
+        if a.parent == dataset and a.kind != LOOKUP:
+            out[f"{a.alias}_record_count"] = "count"
+            for g in aggregates_for(list(profiles[a.child].columns.values()), a.child_key, a.alias):
+                if g.function in ("sum", "avg", "count", "count_distinct"):
+                    out[g.name] = g.function
+    return out
 
 
 def relationship_flags(plan: MergePlan, columns: list[str]) -> dict[str, str]:

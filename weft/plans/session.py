@@ -15,16 +15,17 @@ from pyspark.sql import functions as F
 from weft import config
 from weft.operators import fusion, uncertainty, validation
 from weft.operators.joins import ROW, agreement, match_statistics
-from weft.operators.clustering import stored
+from weft.operators.clustering import concurrently, stored
 from weft.operators.profile import DatasetProfile, bottom_k, cell_counts, issues, profile
 from weft.operators.resolution import MatchField, Resolution, resolve, review_queue
 from weft.plans import graph as g
 from weft.plans import lineage
 from weft.plans.matching import Match, Sketch, Strategy, crosswalk_candidates, match_schemas, verify_crosswalk
-from weft.plans.planner import MergePlan, build_plan, effective_thresholds, execute, relationship_flags
+from weft.plans.entity_groups import EntityGroup, GroupField, group_statistics
+from weft.plans.planner import Attachment, MergePlan, Transform, build_plan, effective_thresholds, executed, relationship_flags
 from weft.plans.relationships import LOOKUP, Relationship, infer
 from weft.sources.readers import Dataset, Workspace, ingest, read_rest, numbered
-from weft.sources.sinks import write_reports, write_unified
+from weft.sources.sinks import write_cell_provenance, write_conflicts, write_entities, write_history, write_reports, write_unified
 
 
 @dataclass
@@ -42,6 +43,7 @@ class Merge:
 class Preferences:
     mode: str = "balanced"
     strategy: str = "majority_vote"
+    priority: list[str] = field(default_factory=list)
     primary: str | None = None
     thresholds: dict[str, float] = field(default_factory=dict)
 
@@ -64,6 +66,7 @@ class Session:
         self.relations: list[Relationship] = []
         self.labels: list[tuple[str, str, bool]] = []
         self.merges: list[Merge] = []
+        self.archive: list[Merge] = []
         self.stale = True
 
     # -- datasets ---------------------------------------------------------------------------------------------------------
@@ -107,10 +110,12 @@ class Session:
         if name not in self.profiles:
             df = self.frames[name].drop(ROW)
             counts = stored(cell_counts(df))
-            self.profiles[name] = profile(df, name, counts=counts)
             k = self.settings["matching"]["sketch_size"]
-            for r in bottom_k(df, k=k, counts=counts).groupBy("column").agg(F.map_from_entries(F.collect_list(F.struct("value", "h"))).alias("v"), F.bool_and("complete").alias("c")).collect():
+            by_column = F.map_from_entries(F.collect_list(F.struct("value", "h"))).alias("v"), F.bool_and("complete").alias("c")
+            made, sketches = concurrently(lambda: profile(df, name, counts=counts), lambda: bottom_k(df, k=k, counts=counts).groupBy("column").agg(*by_column).collect())
+            for r in sketches:
                 self.sketches[f"{name}.{r['column']}"] = Sketch(dict(r["v"]), r["c"])
+            self.profiles[name] = made
         return self.profiles[name]
 
     def preview(self, name: str, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -129,7 +134,7 @@ class Session:
     # -- discovery --------------------------------------------------------------------------------------------------------
 
     def discover(self, strategy: Strategy = Strategy()) -> list[Relationship]:
-        profiles = [self.profile(n) for n in self.datasets]
+        profiles = concurrently(*[lambda n=n: self.profile(n) for n in self.datasets])
         least = max(effective_thresholds(self.preferences.mode)["min_edge"], self.preferences.thresholds.get("min_edge", 0.0))
         self.matches = match_schemas(profiles, self.sketches, self.settings, strategy, least)
         if self.proposer is not None:
@@ -248,20 +253,45 @@ class Session:
         self._fresh()
         return build_plan(list(self.profiles.values()), self.relations, self.preferences.mode, self.preferences.primary, **self.preferences.thresholds)
 
-    def execute(self, plan: MergePlan | None = None) -> Merge:
+    def execute(self, plan: MergePlan | None = None, csv: bool = False) -> Merge:
+        """Carries a plan out and writes what it leaves: the unified table (``csv``: as CSV too), entities, histories,
+        cell provenance and conflicts of its groups, and the reports."""
         plan = plan or self.make_plan()
-        unified = execute(plan, self.frames, self.profiles)
+        labels = self.spark.createDataFrame(self.labels, "a string, b string, same boolean") if self.labels else None
+        done = executed(plan, self.frames, self.profiles, self.preferences.strategy, labels, self.preferences.priority)
         id_ = f"merge_{len(self.merges) + 1}_{uuid.uuid4().hex[:6]}"
         folder = self.workspace.folder("merges", id_)
         os.makedirs(folder, exist_ok=True)
-        back = write_unified(unified, folder)
+        back = write_unified(done.unified, folder, csv)
+        at = datetime.now()
+        groups, checks = {}, []
+        provenance = conflicts = None
+        for gid, fused in done.groups.items():
+            groups[gid] = group_statistics(fused)
+            write_entities(fused.entities, folder, gid)
+            if fused.history is not None:
+                write_history(fused.history, folder, gid, at)
+            provenance = fused.provenance if provenance is None else provenance.unionByName(fused.provenance)
+            conflicts = fused.conflicts if conflicts is None else conflicts.unionByName(fused.conflicts)
+            checks += validation.group_checks(gid, fused.assignment, fused.entities, groups[gid]["conflicts"])
+            if fused.history is not None:
+                n = fusion.history_violations(fused.history).count()
+                checks.append(validation.Check(f"temporal_consistency:{gid}", n == 0, f"{n} violations"))
+        if provenance is not None:
+            write_cell_provenance(provenance, folder)
+            write_conflicts(conflicts, folder)
         aliases = [a.alias for a in plan.attachments if f"_match_{a.alias}" in back.columns]
-        checks = validation.validate(self.frames[plan.root], back, aliases)
-        rates = {r["alias"]: r["matched"] / max(1, r["rows"]) for r in match_statistics(back, aliases).collect()} if aliases else {}
+        source = self.frames[plan.root]
+        kept = {c: c for c in source.columns if c != ROW and c in back.columns and c not in {t.column for t in plan.transforms.get(plan.root, [])}}
+        found = [r.asDict() for r in match_statistics(back, aliases).collect()] if aliases else []
+        checks = validation.validate(source, back, aliases, kept) + validation.join_checks([(a.alias, a.kind, a.parent, a.child) for a in plan.attachments], {plan.root: self.profile(plan.root).rows}, found) + checks
+        checks += validation.source_checks([(d.id, d.copy, d.source, d.sha256) for d in self.datasets.values() if d.id in plan.datasets()])
+        checks += validation.date_checks(done.ready, {d: [t.column for t in ts if t.kind in ("parse_date", "parse_timestamp")] for d, ts in plan.transforms.items() if d in done.ready})
+        rates = {r["alias"]: r["matched"] / max(1, r["rows"]) for r in found}
         expected = uncertainty.uncertain_rows(back).first()
         rows = back.count()
-        report = validation.quality_report(checks, rates, expected["expected_rows"] or 0.0, rows)
-        merge = Merge(id_, plan, folder, rows, report, datetime.now())
+        report = validation.quality_report(checks, rates, expected["expected_rows"] or 0.0, rows) | {"groups": groups}
+        merge = Merge(id_, plan, folder, rows, report, at)
         write_reports(folder, merge_report=report, schema_mapping=[asdict(m) for m in self.matches if m.accepted], integration_graph=json.loads(self.graph.to_json()),
                       provenance=lineage.prov_document(plan, id_, rows), data_quality_report=validation.report_text(report))
         self.merges.append(merge)
@@ -275,7 +305,20 @@ class Session:
         options.setdefault("scenarios", relationship_flags(self.merges[-1].plan, unified.columns))
         return uncertainty.aggregate_with_uncertainty(unified, function, measure, group_by, **options)
 
-    def conflicts(self, found: DataFrame, attribute: str | None = None, entity: str | None = None, limit: int = 200) -> DataFrame:
+    def _group_files(self, merge: Merge, prefix: str) -> list[str]:
+        return sorted(os.path.join(merge.folder, f) for f in os.listdir(merge.folder) if f.startswith(prefix) and f.endswith(".parquet"))
+
+    def entities(self, group: str = "G1") -> DataFrame:
+        """The entities of a group of the last merge, also those that no row of the unified table has."""
+        return self.spark.read.parquet(os.path.join(self.merges[-1].folder, f"entities_{group}.parquet"))
+
+    def cell_provenance(self) -> DataFrame:
+        return self.spark.read.parquet(os.path.join(self.merges[-1].folder, "cell_provenance.parquet"))
+
+    def conflicts(self, found: DataFrame | None = None, attribute: str | None = None, entity: str | None = None, limit: int = 200) -> DataFrame:
+        """Conflicts of the last merge (or of ``found``), a row for each candidate, by entity and attribute."""
+        if found is None:
+            found = self.spark.read.csv(os.path.join(self.merges[-1].folder, "conflicts.csv"), header=True)
         for column, value in (("attribute", attribute), ("entity_id", entity)):
             if value is not None:
                 found = found.where(F.col(column) == value)
@@ -290,14 +333,26 @@ class Session:
             return None
         return train_scorer(self.spark, examples)
 
-    def entity_history(self, history: DataFrame, entity: str | None = None, attribute: str | None = None, as_of=None) -> DataFrame:
-        return fusion.history_at(history, F.lit(as_of) if as_of is not None else None, entity, attribute)
+    def entity_history(self, history: DataFrame | None = None, entity: str | None = None, attribute: str | None = None, as_of=None, as_known_at=None) -> DataFrame | None:
+        """What held at ``as_of``, as the last merge at or before ``as_known_at`` (default: the last of all) recorded it."""
+        if history is None:
+            known = [m for m in self.merges if as_known_at is None or m.recorded_at <= as_known_at]
+            files = self._group_files(known[-1], "entity_history_") if known else []
+            if not files:
+                return None
+            history = fusion.united_histories([(known[-1].recorded_at, self.spark.read.parquet(f).drop("recorded_at")) for f in files])
+        return fusion.history_at(history, F.lit(as_of).cast("timestamp_ntz") if as_of is not None else None, entity, attribute)
 
     def lineage_report(self) -> str:
         return lineage.report(self.merges[-1].plan, self.frames)
 
     def undo(self) -> Merge | None:
-        return self.merges.pop() if self.merges else None
+        """Takes the last merge back; its folder stays, in the archive."""
+        if not self.merges:
+            return None
+        merge = self.merges.pop()
+        self.archive.append(merge)
+        return merge
 
     def stats(self) -> dict:
         return {"datasets": len(self.datasets), "rows": {n: self.profile(n).rows for n in self.datasets}, "matches": sum(m.accepted for m in self.matches), "relationships": len(self.relations), "merges": len(self.merges)}
@@ -305,9 +360,15 @@ class Session:
     # -- persistence ----------------------------------------------------------------------------------------------------------
 
     def save(self) -> str:
-        """Decisions, labels, preferences and datasets as JSON, replaced in one step."""
+        """Decisions, labels, preferences, merges and datasets as JSON, replaced in one step; frames without a file of their
+        own are written as Parquet."""
         path = os.path.join(self.workspace.root, "session.json")
-        state = {"version": 1, "datasets": [asdict(d) for d in self.datasets.values() if d.path], "decisions": [[a, b, v] for (a, b), v in self.decisions.items()], "labels": self.labels, "preferences": asdict(self.preferences)}
+        for d in self.datasets.values():
+            if not d.path:
+                d.path = self.workspace.folder("frames", f"{d.id}_{uuid.uuid4().hex[:6]}")
+                self.frames[d.id].write.parquet(d.path)
+        state = {"version": 2, "datasets": [asdict(d) for d in self.datasets.values()], "decisions": [[a, b, v] for (a, b), v in self.decisions.items()], "labels": self.labels,
+                 "preferences": asdict(self.preferences), "merges": [_merge_state(m) for m in self.merges], "archive": [_merge_state(m) for m in self.archive]}
         with open(path + ".new", "w", encoding="utf-8") as f:
             json.dump(state, f)
         os.replace(path + ".new", path)
@@ -315,9 +376,10 @@ class Session:
 
     @classmethod
     def restore(cls, spark: SparkSession, root: str) -> Session:
+        """A session as it was saved, with its merges and what they wrote."""
         with open(os.path.join(root, "session.json"), encoding="utf-8") as f:
             state = json.load(f)
-        if state["version"] != 1:
+        if state["version"] != 2:
             raise ValueError("saved by another version")
         s = cls(spark, root)
         for d in state["datasets"]:
@@ -326,4 +388,17 @@ class Session:
         s.decisions = {(a, b): v for a, b, v in state["decisions"]}
         s.labels = [tuple(x) for x in state["labels"]]
         s.preferences = Preferences(**state["preferences"])
+        s.merges, s.archive = ([_merge_from(m) for m in state[k]] for k in ("merges", "archive"))
         return s
+
+
+def _merge_state(m: Merge) -> dict:
+    return asdict(m) | {"recorded_at": m.recorded_at.isoformat()}
+
+
+def _merge_from(state: dict) -> Merge:
+    p = state["plan"]
+    groups = [EntityGroup(g["id"], g["datasets"], [GroupField(**f) for f in g["fields"]]) for g in p["entity_groups"]]
+    plan = MergePlan(p["root"], [Attachment(**a) for a in p["attachments"]], {d: [Transform(**t) for t in ts] for d, ts in p["transforms"].items()}, groups,
+                     [tuple(x) for x in p["excluded"]], p["unreached"], p["thresholds"])
+    return Merge(state["id"], plan, state["folder"], state["rows"], state["report"], datetime.fromisoformat(state["recorded_at"]), state["outdated"])

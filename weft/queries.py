@@ -196,13 +196,15 @@ def key_groups_single(spark, d):
     return joins.key_groups(c.unionByName(s), ["k"]).select("rid", "group_id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS a, (c_custkey * 7 + 3) % 600 AS b FROM customer WHERE c_custkey < 600 AND c_custkey % 5 = 0),
-u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), t AS (SELECT c_custkey AS node, c_custkey AS reach FROM customer WHERE c_custkey < 600 UNION SELECT t.node, u.b FROM t JOIN u ON t.reach = u.a)
-SELECT node, min(reach) AS label FROM t GROUP BY node""")
+@query("""WITH n AS (SELECT 'o' || o_orderkey AS node, o_custkey AS c, o_orderkey - o_orderkey % 40 AS chain, 'o' AS kind FROM orders UNION ALL SELECT 'c' || c_custkey, c_custkey, NULL, 'c' FROM customer),
+m AS (SELECT chain, min(node) AS label FROM n WHERE kind = 'o' GROUP BY chain)
+SELECT node, CASE WHEN kind = 'o' THEN label ELSE node END AS label FROM n LEFT JOIN m USING (chain)""")
 def connected_components(spark, d):
-    c = table(spark, d, "customer").where("c_custkey < 600")
-    edges = c.where("c_custkey % 5 = 0").select(F.col("c_custkey").alias("a"), ((F.col("c_custkey") * 7 + 3) % 600).alias("b"))
-    return components(c.select(F.col("c_custkey").alias("node")), edges)
+    """All orders, each linked to the next of its forty, and all customers, linked to nothing."""
+    o, c = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "customer").select("c_custkey")
+    nodes = o.select(F.concat(F.lit("o"), "o_orderkey").alias("node")).unionByName(c.select(F.concat(F.lit("c"), "c_custkey").alias("node")))
+    edges = o.where("o_orderkey % 40 <> 0").select(F.concat(F.lit("o"), "o_orderkey").alias("a"), F.concat(F.lit("o"), F.col("o_orderkey") - 1).alias("b"))
+    return components(nodes, edges)
 
 
 @query()
@@ -268,10 +270,25 @@ def overlap_statistics(spark, d):
     return out.select("left", "right", "n_left", "n_right", "intersection", *[F.round(c, 9).alias(c) for c in ("jaccard", "containment_left", "containment_right")])
 
 
-@query()
+_MIN_SQL = ", ".join(f"min(md5('{i}|' || value))" for i in range(16))
+
+
+@query(f"""WITH v AS (SELECT 'o_custkey' AS "column", o_custkey::VARCHAR AS value FROM orders UNION SELECT 'o_orderpriority', lower(o_orderpriority) FROM orders UNION SELECT 'o_orderstatus', lower(o_orderstatus) FROM orders)
+SELECT "column", array_to_string([{_MIN_SQL}], ',') AS signature FROM v GROUP BY 1""")
 def minhash_signatures(spark, d):
-    s = profile.bottom_k(table(spark, d, "orders"), ["o_custkey", "o_orderpriority", "o_orderstatus"], 20_000)
-    return profile.minhash(s).select("column", F.size("signature").alias("n"), F.element_at("signature", 1).alias("first"))
+    s = profile.bottom_k(table(spark, d, "orders"), ["o_custkey", "o_orderpriority", "o_orderstatus"], 10_000_000)
+    made = profile.minhash(s, 16, lambda value, seed: F.md5(F.concat(F.lit(f"{seed}|"), value).cast("binary")))
+    return made.select("column", F.array_join("signature", ",").alias("signature"))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT DISTINCT '{c}' AS \"column\", {c}::VARCHAR AS text FROM part ORDER BY text LIMIT 10)" for c in ("p_brand", "p_size")))
+def sample_values(spark, d):
+    return profile.sample_values(table(spark, d, "part"), ["p_brand", "p_size"])
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5('42' || o_orderkey::VARCHAR) LIMIT 1000")
+def sample_rows(spark, d):
+    return profile.sample_rows(table(spark, d, "orders").select("o_orderkey"), F.col("o_orderkey"))
 
 
 @query("SELECT count(*) FILTER (c_custkey % 17 = 0) AS a, count(*) AS n FROM customer")
@@ -482,13 +499,70 @@ def entity_resolution(spark, d):
     return resolution.resolve(people(spark, d), _FIELDS).entities
 
 
-@query()
+@query("SELECT 'e' || lpad(event_id::VARCHAR, 12, '0') AS node, min('e' || lpad(event_id::VARCHAR, 12, '0')) OVER (PARTITION BY user_id, event_type) AS cluster FROM events")
 def correlation_clustering(spark, d):
-    """All orders and their customers; the link of an order has the probability of its key's last two digits."""
-    o = table(spark, d, "orders")
-    p = o.select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("o"), "o_orderkey").alias("b"), ((F.col("o_orderkey") % 100) / 100.0).alias("p"))
-    nodes = p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return correlation_clusters(nodes, p, 0.9)
+    """All events: those of a user and type belong together, those of a user and another type apart."""
+    e = table(spark, d, "events").select(F.concat(F.lit("e"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("node"), "user_id", "event_type")
+    a, b = e.toDF("a", "user_id", "ta"), e.toDF("b", "user_id", "tb")
+    pairs = a.join(b, "user_id").where("a < b").select("a", "b", F.when(F.col("ta") == F.col("tb"), 0.95).otherwise(0.05).alias("p"))
+    return correlation_clusters(e.select("node"), pairs, 0.5)
+
+
+def _scored_events(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("a"), (F.col("event_id") + 1).alias("b"), (((F.col("event_id") * 37) % 997 + 1) / F.lit(1000.0)).alias("p"))
+
+
+_SCORED_SQL = "p AS (SELECT event_id AS a, event_id + 1 AS b, ((event_id * 37) % 997 + 1) / 1000.0::DOUBLE AS p FROM events)"
+
+
+@query(f"WITH {_SCORED_SQL} SELECT a, b, p FROM p ORDER BY p DESC, a, b LIMIT 2000")
+def strongest_pairs(spark, d):
+    return resolution.strongest_pairs(_scored_events(spark, d))
+
+
+@query(f"WITH {_SCORED_SQL} SELECT a, b, p FROM p WHERE p > 0.01 AND p < 0.999 ORDER BY md5('7|' || a || '|' || b) LIMIT 40")
+def random_review(spark, d):
+    return resolution.random_review(_scored_events(spark, d), 40)
+
+
+# Persons whom two systems describe: every customer in one, every third also in the other, with another city for every sixth.
+def persons(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    k = F.col("c_custkey")
+    letters = F.translate(F.lpad(k.cast("string"), 9, "0"), "0123456789", "abcdefghij")
+    name = F.concat(F.initcap(F.translate(F.reverse(letters), "abcdefghij", "klmnopqrst")), F.lit(" "), F.initcap(letters))
+    base = table(spark, d, "customer").select(k, name.alias("n"), F.concat(F.lit("u"), k, F.lit("@mail.org")).alias("e"), F.concat(F.lit("+1 555 "), F.lpad(k.cast("string"), 7, "0")).alias("p"),
+                                              F.element_at(F.array(*[F.lit(x) for x in ("Pune", "Delhi", "Turin", "Lyon")]), (k % 4 + 1).cast("int")).alias("c"))
+    crm = base.select(k.alias("customer_id"), F.col("n").alias("customer_name"), F.col("e").alias("email"), F.col("p").alias("phone"), F.col("c").alias("city"))
+    erp = base.where("c_custkey % 3 = 0").select((k + 500_000_000).alias("member_no"), F.upper("n").alias("full_name"), F.col("e").alias("mail"), F.col("p").alias("phone_number"),
+                                                 F.when(k % 6 == 0, "Oslo").otherwise(F.col("c")).alias("town"), (k % 9).cast("double").alias("score"))
+    return {"crm": crm.withColumn(ROW, F.col("customer_id")), "erp": erp.withColumn(ROW, F.col("member_no") - 500_000_000)}
+
+
+@query("""WITH r AS (SELECT c_custkey AS k, 'crm:' || lpad(c_custkey::VARCHAR, 12, '0') AS rid, c_custkey FROM customer UNION ALL SELECT c_custkey, 'erp:' || lpad(c_custkey::VARCHAR, 12, '0'), c_custkey FROM customer WHERE c_custkey % 3 = 0)
+SELECT rid, 'crm:' || lpad(k::VARCHAR, 12, '0') AS first FROM r""")
+def resolve_persons(spark, d):
+    """Blocking, comparison, estimation, scoring and clustering of two systems whose persons are well apart."""
+    both = persons(spark, d)
+    x = both["crm"].select(F.concat(F.lit("crm:"), F.lpad(F.col(ROW).cast("string"), 12, "0")).alias("rid"), F.lit("crm").alias("dataset"), F.col("customer_name").alias("name"), "email", "phone")
+    y = both["erp"].select(F.concat(F.lit("erp:"), F.lpad(F.col(ROW).cast("string"), 12, "0")).alias("rid"), F.lit("erp").alias("dataset"), F.col("full_name").alias("name"), F.col("mail").alias("email"), F.col("phone_number").alias("phone"))
+    found = resolution.resolve(x.unionByName(y), _FIELDS[:3]).entities
+    firsts = found.groupBy("entity_id").agg(F.min("node").alias("first"))
+    return found.join(firsts, "entity_id").select(F.col("node").alias("rid"), "first")
+
+
+@query("""SELECT c_custkey AS customer_id, (CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS records, ['Pune', 'Delhi', 'Turin', 'Lyon'][(c_custkey % 4 + 1)::INT] AS city, c_custkey % 6 = 0 AND c_custkey % 3 = 0 AS has_conflict,
+CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 9)::DOUBLE END AS score, CASE WHEN c_custkey % 3 = 0 THEN '["crm","erp"]' ELSE '["crm"]' END AS sources FROM customer""")
+def merged_entities(spark, d):
+    """A merge whose plan resolves two systems into entities, fuses them and attaches them to the anchor's rows."""
+    from weft.plans.entity_groups import EntityGroup, GroupField
+    from weft.plans.planner import MergePlan, executed
+
+    both = persons(spark, d)
+    fields = [GroupField("name", "NAME", "basic", {"crm": "customer_name", "erp": "full_name"}), GroupField("mail", "EMAIL", "basic", {"crm": "email", "erp": "mail"}),
+              GroupField("phone_no", "PHONE", "digits", {"crm": "phone", "erp": "phone_number"}), GroupField("place", "CITY", "basic", {"crm": "city", "erp": "town"})]
+    plan = MergePlan("crm", [], {}, [EntityGroup("G1", ["crm", "erp"], fields)])
+    out = executed(plan, both, {n: profile.profile(df.drop(ROW), n) for n, df in both.items()}).unified
+    return out.select("customer_id", F.col("_entity_record_count").alias("records"), F.col("place").alias("city"), F.col("_has_conflict").alias("has_conflict"), "score", F.col("_entity_sources").alias("sources"))
 
 
 # -- fusion and history -------------------------------------------------------------------------------------------------------
@@ -553,12 +627,28 @@ def fuse_manual_review(spark, d):
     return fusion.resolved_values(_candidates(spark, d), "manual_review")
 
 
-@query()
+def _accuracy_sql(rounds: int) -> str:
+    steps = ["a0 AS (SELECT DISTINCT dataset, 0.8::DOUBLE AS accuracy FROM c)"]
+    for i in range(rounds):
+        steps += [f"v{i} AS (SELECT entity_id, attribute, norm, round(sum(ln(least(greatest(accuracy, 0.01), 0.99) / (1 - least(greatest(accuracy, 0.01), 0.99)))), 9) AS w FROM c JOIN a{i} USING (dataset) GROUP BY ALL)",
+                  f"w{i} AS (SELECT entity_id, attribute, norm AS win FROM v{i} QUALIFY row_number() OVER (PARTITION BY entity_id, attribute ORDER BY w DESC, norm) = 1)",
+                  f"a{i + 1} AS (SELECT dataset, (count(*) FILTER (norm = win) + 1) / (count(*) + 2)::DOUBLE AS accuracy FROM c JOIN w{i} USING (entity_id, attribute) GROUP BY dataset)"]
+    return ", ".join(steps)
+
+
+@query(_fuse_sql(_vote_sql("round(sum(ln(least(greatest(accuracy, 0.01), 0.99) / (1 - least(greatest(accuracy, 0.01), 0.99)))), 9)").replace("FROM c GROUP", "FROM c JOIN a3 USING (dataset) GROUP")).replace(_CAND_SQL, f"{_CAND_SQL}, {_accuracy_sql(3)}"))
 def fuse_source_accuracy(spark, d):
     c = _candidates(spark, d)
     return fusion.resolved_values(c, "source_accuracy_vote", fusion.source_accuracy(c, 3))
 
 
+@query(f"""WITH {_CAND_SQL}, b AS ({_vote_sql('count(*)')}), r AS (SELECT entity_id, attribute, CASE WHEN n_values > 1 THEN b.v ELSE first END AS resolved, n_values FROM g JOIN b USING (entity_id, attribute) WHERE n_candidates > 1)
+SELECT entity_id, attribute, arg_min(c.dataset, (c.priority, c.dataset, c.row)) AS source_dataset, arg_min(c.row, (c.priority, c.dataset, c.row)) AS source_row, CASE WHEN max(n_values) > 1 THEN 'majority_vote' ELSE 'agreement' END AS strategy
+FROM c JOIN r USING (entity_id, attribute) WHERE c.value = r.resolved GROUP BY entity_id, attribute""")
+def cell_provenance(spark, d):
+    return fusion.cell_provenance(_candidates(spark, d), "majority_vote").drop("reason")
+
+
 @query(f"WITH {_CAND_SQL} SELECT entity_id, attribute, n_candidates FROM g WHERE n_values > 1")
 def conflict_report(spark, d):
     return fusion.conflicts(_candidates(spark, d), "majority_vote").select("entity_id", "attribute", F.size("candidates").cast("long").alias("n_candidates"))
@@ -640,25 +730,36 @@ def session(spark: SparkSession, d: str, *names: str):
     return s
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('nation', 'region', 'LOOKUP', 'n_regionkey=r_regionkey'), ('customer', 'nation', 'LOOKUP', 'c_nationkey=n_nationkey'), ('supplier', 'nation', 'LOOKUP', 's_nationkey=n_nationkey'),
+('orders', 'customer', 'LOOKUP', 'o_custkey=c_custkey')) AS t(left_dataset, right_dataset, kind, keys)""")
 def discover_relationships(spark, d):
-    """Relationships among the star's tables from values and names alone."""
+    """Relationships among the star's tables from values and names alone: those that the tables' design has."""
     s = session(spark, d, "region", "nation", "customer", "supplier", "orders")
-    rows = [(r.left, r.right, r.kind, ", ".join(f"{a}={b}" for a, b in r.keys), round(r.confidence, 4)) for r in s.discover()]
-    return spark.createDataFrame(rows, "left_dataset string, right_dataset string, kind string, keys string, confidence double")
+    rows = [(r.left, r.right, r.kind, ", ".join(f"{a}={b}" for a, b in r.keys)) for r in s.discover()]
+    return spark.createDataFrame(rows, "left_dataset string, right_dataset string, kind string, keys string")
 
 
-@query()
+_PROFILED = {"customer": (("c_custkey", "integer", "ID"), ("c_name", "string", "NAME"), ("c_mktsegment", "string", "CATEGORY"), ("c_nationkey", "integer", "NUMERIC"), ("c_acctbal", "float", "NUMERIC")),
+             "orders": (("o_orderkey", "integer", "ID"), ("o_custkey", "integer", "NUMERIC"), ("o_orderstatus", "string", "CATEGORY"), ("o_totalprice", "float", "NUMERIC"),
+                        ("o_orderdate", "datetime", "DATETIME"), ("o_orderpriority", "string", "CATEGORY"))}
+
+
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS dataset, '{c}' AS "column", '{logical}' AS logical, '{kind}' AS semantic, n AS distinct_values,
+CASE WHEN n <= 1 THEN 'constant' WHEN n / m >= 0.98 THEN 'unique' WHEN n / m >= 0.5 THEN 'high' WHEN n <= 60 OR n / m < 0.05 THEN 'low' ELSE 'medium' END AS cardinality FROM (SELECT count(DISTINCT {c}) AS n, count({c})::DOUBLE AS m FROM {t})"""
+                          for t, cols in _PROFILED.items() for c, logical, kind in cols))
 def column_profiles(spark, d):
-    rows = [(c.dataset, c.name, c.logical, c.semantic, c.distinct, c.cardinality) for n in ("customer", "orders") for c in profile.profile(table(spark, d, n), n).columns.values()]
+    rows = [(c.dataset, c.name, c.logical, c.semantic, c.distinct, c.cardinality) for n in _PROFILED for c in profile.profile(table(spark, d, n), n).columns.values()]
     return spark.createDataFrame(rows, "dataset string, column string, logical string, semantic string, distinct_values long, cardinality string")
 
 
-@query()
+@query("""SELECT 'orders:' || o_orderkey AS _record_id, o_orderkey, c_name AS customer, n_name AS nation, r_name AS region, c_custkey AS _src_customer_row, c_custkey IS NOT NULL AS _match_customer, r_regionkey IS NOT NULL AS _match_region
+FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def planned_merge(spark, d):
     """Discovery, plan and execution end to end: the unified table of orders, customers, nations and regions."""
     from weft.plans.planner import execute
 
     s = session(spark, d, "region", "nation", "customer", "orders")
     plan = s.make_plan()
-    return execute(plan, s.frames, s.profiles)
+    out = execute(plan, s.frames, s.profiles)
+    return out.select("_record_id", "o_orderkey", F.col("customer_c_name").alias("customer"), F.col("customer_nation_n_name").alias("nation"), F.col("customer_nation_region_r_name").alias("region"),
+                      "_src_customer_row", "_match_customer", "_match_region")

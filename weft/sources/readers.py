@@ -267,6 +267,7 @@ class Dataset:
     rows: int = 0
     sha256: str = ""
     columns: list[str] = field(default_factory=list)
+    copy: str = ""  # the kept copy of the original, where that is a file
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
@@ -330,11 +331,11 @@ def ingest(spark: SparkSession, workspace: Workspace, path: str, name: str | Non
     """Reads a file of any format, keeps the original, and writes the normalised table with row numbers."""
     kind = kind or detect_format(path)
     id_ = dataset_id(name or path, set(existing))
-    digest = ""
+    copy = digest = ""
     if os.path.isfile(path):
-        _, digest = workspace.preserve(path, id_)
+        copy, digest = workspace.preserve(path, id_)
     df = read_any(spark, path, kind, **options)
     target = workspace.folder("processed", id_)
     numbered(df).write.mode("overwrite").option("compression", "zstd").parquet(target)
     done = spark.read.parquet(target)
-    return Dataset(id_, path, kind, target, done.count(), digest, [c for c in done.columns if c != ROW])
+    return Dataset(id_, path, kind, target, done.count(), digest, [c for c in done.columns if c != ROW], copy)
