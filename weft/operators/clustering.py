@@ -17,6 +17,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 

@@ -16,9 +16,14 @@ def candidate_values(members: DataFrame, attributes: dict[str, str], value_norms
     ``attributes`` maps output names to columns. Adds ``norm``, by which values agree or conflict.
     """
     norms = value_norms or {}
-    cells = [F.struct(F.lit(n).alias("attribute"), F.col(c).cast("string").alias("value"), normalizer(norms.get(n))(F.col(c)).alias("norm")) for n, c in attributes.items()]
+    cells = [F.struct(F.lit(n).alias("attribute"), F.col(c).cast("string").alias("value")) for n, c in attributes.items()]
     base = ["entity_id", "dataset", "row", "priority", "ts", "confidence"]
-    return members.select(*base, F.explode(F.array(*cells)).alias("x")).select(*base, "x.*").where("norm IS NOT NULL")
+    rows = members.select(*base, F.explode(F.array(*cells)).alias("x")).select(*base, "x.*").where("value IS NOT NULL")
+    # One normaliser for all attributes that share it, so that the expression does not grow with them.
+    norm = normalizer(None)(F.col("value"))
+    for name in sorted({v for v in norms.values() if v and normalizer(v) is not normalizer(None)}):
+        norm = F.when(F.col("attribute").isin(*[n for n in attributes if norms.get(n) == name]), normalizer(name)(F.col("value"))).otherwise(norm)
+    return rows.withColumn("norm", norm).where("norm IS NOT NULL")
 
 
 def _voted(c: DataFrame, weight: Column) -> DataFrame:

@@ -367,11 +367,19 @@ def prior_over_all_pairs(patterns: list[tuple[dict, int]], model: FSModel, total
 def calibrate(weights: list[tuple[float, float, float]], rounds: int = 50) -> tuple[float, float]:
     """(slope, intercept) of a weighted logistic fit of (weight in bits, target, count): Platt scaling with soft targets."""
     a, b = 1.0, 0.0
+
+    def loss(a: float, b: float) -> float:
+        out = 0.5e-3 * ((a - 1) ** 2 + b * b)
+        for w, t, n in weights:
+            z = max(-60.0, min(60.0, a * w + b)) * math.log(2)
+            out += n * (math.log1p(math.exp(-abs(z))) + max(z, 0.0) - t * z)
+        return out
+    best = loss(a, b)
     for _ in range(rounds):
         ga = gb = haa = hab = hbb = 0.0
         for w, t, n in weights:
             p = 1 / (1 + 2 ** -max(-60.0, min(60.0, a * w + b)))
-            r, h = n * (t - p), n * p * (1 - p) * math.log(2)
+            r, h = n * (t - p) * math.log(2), n * p * (1 - p) * math.log(2) ** 2
             ga, gb = ga + r * w, gb + r
             haa, hab, hbb = haa + h * w * w, hab + h * w, hbb + h
         ga, gb, haa, hbb = ga - 1e-3 * (a - 1), gb - 1e-3 * b, haa + 1e-3, hbb + 1e-3
@@ -379,8 +387,13 @@ def calibrate(weights: list[tuple[float, float, float]], rounds: int = 50) -> tu
         if det <= 1e-12:
             break
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
-        a, b = a + max(-1.0, min(1.0, da)), b + max(-5.0, min(5.0, db))
-        if abs(da) + abs(db) < 1e-8:
+        step = 1.0  # halved until it helps, since Newton's step overshoots far from the optimum
+        while step > 1e-6 and (new := loss(a + step * da, b + step * db)) > best:
+            step /= 2
+        if step <= 1e-6:
+            break
+        a, b, moved, best = a + step * da, b + step * db, step * (abs(da) + abs(db)), new
+        if moved < 1e-8:
             break
     return max(a, 0.05), b
 
@@ -392,6 +405,21 @@ def term_frequencies(records: DataFrame, f: MatchField) -> DataFrame:
     return counts.withColumn("frequency", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
+def term_adjusted(pairs: DataFrame, records: DataFrame, fields: list[MatchField], model: FSModel) -> DataFrame:
+    """Scored pairs whose exact agreements on ``fields`` weigh by the frequency of the value instead of the mean u."""
+    extra = F.lit(0.0)
+    out = pairs
+    for f in fields:
+        terms = term_frequencies(records, f).select(F.col("value").alias(f"__v_{f.name}"), F.col("frequency").alias(f"__q_{f.name}"))
+        values = records.select(F.col("rid").alias("a"), normalizer(f.norm)(F.col(f.name)).alias(f"__v_{f.name}"))
+        out = out.join(values, "a", "left").join(terms, f"__v_{f.name}", "left").drop(f"__v_{f.name}")
+        gain = F.log2(F.lit(model.u[f.name]["exact"]) / F.greatest(F.col(f"__q_{f.name}"), F.lit(1e-6)))
+        extra = extra + F.when(F.col(f.name) == "exact", F.coalesce(gain, F.lit(0.0))).otherwise(0.0)
+    weight = F.greatest(F.lit(-60.0), F.least(F.lit(60.0), F.col("weight") + F.lit(model.slope) * extra))
+    out = out.withColumn("weight", weight).withColumn("p", 1 / (1 + F.pow(F.lit(2.0), -F.col("weight"))))
+    return out.drop(*[f"__q_{f.name}" for f in fields])
+
+
 def with_labels(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Scored pairs with labelled ones forced to 1 or 0; labelled pairs that blocking missed are added."""
     if labels is None:
@@ -430,10 +458,13 @@ class Resolution:
 
 
 def resolve(records: DataFrame, fields: list[MatchField], dedupe: tuple[str, ...] = (), merge_at: float = 0.5, review_at: float = 0.2, clustering: str = "correlation",
-            labels: DataFrame | None = None, prefix: str = "E", window: int = 5, max_block: int = MAX_BLOCK, refine_block: int = 150) -> Resolution:
+            labels: DataFrame | None = None, prefix: str = "E", window: int = 5, max_block: int = MAX_BLOCK, refine_block: int = 150,
+            calibration: DataFrame | None = None, term_fields: tuple[str, ...] = ()) -> Resolution:
     """Entities among ``records`` (rid, dataset and the fields): block, compare, fit, score, cluster.
 
-    Rows stay on the executors; the driver sees pattern histograms and counts only.
+    ``calibration`` (a, b, same) are labels of pairs that chance chose: with them the weights are calibrated, all pairs
+    counting with their own probabilities and each label for twenty. Exact agreement on ``term_fields`` weighs by how rare
+    the value is. Rows stay on the executors; the driver sees pattern histograms and counts only.
     """
     from weft.operators.clustering import components, correlation_clusters, entity_table
 
@@ -448,7 +479,14 @@ def resolve(records: DataFrame, fields: list[MatchField], dedupe: tuple[str, ...
     u = estimate_u(records, fields, dedupe)
     model = fit_by_rules(patterns, u, fields)
     model.prior = prior_over_all_pairs(patterns, model, stats["admissible_pairs"])
-    pairs = with_labels(scored(levels, model), labels)
+    if calibration is not None:
+        known = levels.join(calibration.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "same"), ["a", "b"])
+        told = [(model.weight({f: r[f] for f in names}), float(r["same"]), 20.0) for r in known.select(*names, "same").collect()]  # as many as labels
+        model.slope, model.intercept = calibrate([(model.weight(p), model.probability(p), float(n)) for p, n in ((({f: p[f] for f in names}), n) for p, n in patterns)] + told)
+    pairs = scored(levels, model)
+    if term_fields:
+        pairs = term_adjusted(pairs, records, [f for f in fields if f.name in term_fields], model)
+    pairs = with_labels(pairs, labels)
     pairs = stored(pairs.where((F.col("p") >= 0.5 * review_at) | F.lit(clustering == "correlation")))
     nodes = records.select(F.col("rid").alias("node"))
     if clustering == "correlation":

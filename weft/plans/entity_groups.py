@@ -107,7 +107,8 @@ def _unified_variants(candidates: DataFrame, attributes: list[str]) -> DataFrame
 
 
 def fuse(group: EntityGroup, frames: dict[str, DataFrame], profiles: dict[str, DatasetProfile], totals: dict[str, dict[str, str]] | None = None, strategy: str = "majority_vote",
-         merge_at: float = 0.5, review_at: float = 0.2, labels: DataFrame | None = None, priority: list[str] | None = None) -> Fused:
+         merge_at: float = 0.5, review_at: float = 0.2, labels: DataFrame | None = None, priority: list[str] | None = None,
+         calibration: DataFrame | None = None) -> Fused:
     """Resolve the records of a group's ``frames`` and fuse each entity's attributes.
 
     Shared attributes are candidates from all datasets; other columns of members but the anchor come along by themselves.
@@ -118,11 +119,11 @@ def fuse(group: EntityGroup, frames: dict[str, DataFrame], profiles: dict[str, D
     rid = lambda d: F.concat(F.lit(d + ":"), F.lpad(F.col(ROW).cast("string"), 12, "0"))
     records = None
     for d in order:
-        one = frames[d].select(rid(d).alias("rid"), F.lit(d).alias("dataset"), F.col(ROW).alias("row"), *[F.col(f.columns[d]).cast("string").alias(f.name) for f in group.fields if d in f.columns])
+        one = frames[d].select(rid(d).alias("rid"), F.lit(d).alias("dataset"), F.col(ROW).alias("row"), *[F.col(f.columns[d]).cast("string").alias(f"f_{f.name}") for f in group.fields if d in f.columns])
         records = one if records is None else records.unionByName(one, allowMissingColumns=True)
     records = stored(records)
-    fields = [MatchField(f.name, f.semantic, f.norm) for f in group.fields]
-    found = resolve(records, fields, tuple(order), merge_at, review_at, labels=labels, prefix=f"{group.id}-")
+    fields = [MatchField(f"f_{f.name}", f.semantic, f.norm) for f in group.fields]  # names that clash with none of resolution's own
+    found = resolve(records, fields, tuple(order), merge_at, review_at, labels=labels, prefix=f"{group.id}-", calibration=calibration)
     clusters = stored(found.entities)
     a, b = clusters.select(F.col("node").alias("a"), F.col("entity_id").alias("ea")), clusters.select(F.col("node").alias("b"), F.col("entity_id").alias("eb"))
     linked = found.pairs.where(F.col("p") >= merge_at).join(a, "a").join(b, "b").where("ea = eb")

@@ -297,22 +297,20 @@ def flood(scores: dict[Pair, float], dataset_of: dict[str, str], alpha: float =
     def of(s: dict[Pair, float], x: str, y: str) -> float:
         return s.get((x, y), s.get((y, x), 0.0))
     for _ in range(rounds):
-        best_to = {(x, d): sorted((of(now, x, y) for y in ys if dataset_of[y] == d), reverse=True)[:2] for x, ys in by_column.items() for d in {dataset_of[y] for y in ys}}
-        between: dict[tuple[str, str], list[float]] = defaultdict(list)
-        for (x, d), v in best_to.items():
-            between[(dataset_of[x], d)].append(v[0])
-        siblings = {k: sorted(v, reverse=True) for k, v in between.items()}
+        best_to = {(x, d): sorted(((of(now, x, y), y) for y in ys if dataset_of[y] == d), reverse=True)[:2] for x, ys in by_column.items() for d in {dataset_of[y] for y in ys}}
+        siblings: dict[tuple[str, str], list[tuple[str, list[tuple[float, str]]]]] = defaultdict(list)
+        for (x, d), top in best_to.items():
+            siblings[(dataset_of[x], d)].append((x, top))
         new = {}
         for (a, b), s0 in base.items():
             da, db = dataset_of[a], dataset_of[b]
             path = max((of(now, a, c) * of(now, c, b) for c in by_column[a] if dataset_of[c] not in (da, db)), default=0.0)
             own = now[(a, b)]
-            rest = list(siblings[(da, db)])
-            if own in rest:
-                rest.remove(own)
+            # What a's siblings have in b's dataset, b itself left out: a pair must not support itself through its rivals.
+            rest = sorted((next((v for v, y in top if y != b), 0.0) for x, top in siblings[(da, db)] if x != a), reverse=True)
             coherence = sum(rest[:3]) / 3 if rest else 0.0
             value = s0 + alpha * max(0.0, path - s0) + beta * max(0.0, coherence - center)
-            rivals = max([v for k in ((a, db), (b, da)) for v in best_to[k] if v != own] or [0.0])
+            rivals = max([v for k, y in (((a, db), b), ((b, da), a)) for v, other in best_to[k] if other != y] or [0.0])
             exclusivity = min(1.0, own / rivals) if rivals > 0 else 1.0
             new[(a, b)] = max(0.0, min(1.0, value * exclusivity**gamma))
         moved = max((abs(new[p] - now[p]) for p in new), default=0.0)

@@ -201,7 +201,7 @@ def execute(plan: MergePlan, tables: dict[str, DataFrame], profiles: dict[str, D
 
 
 def executed(plan: MergePlan, tables: dict[str, DataFrame], profiles: dict[str, DatasetProfile], strategy: str = "majority_vote", labels: DataFrame | None = None,
-             priority: list[str] | None = None) -> Executed:
+             priority: list[str] | None = None, calibration: DataFrame | None = None) -> Executed:
     """A plan carried out: the unified table as one DataFrame, whose nested lookups are built once, from the leaves to the
     root, and the entity groups, each resolved and fused where its anchor is built."""
     ready = {d: apply_transforms(t, plan.transforms.get(d, [])) for d, t in tables.items()}
@@ -225,7 +225,7 @@ def executed(plan: MergePlan, tables: dict[str, DataFrame], profiles: dict[str,
         for x in (x for x in plan.entity_groups if x.anchor == d and x.fields):
             frames = {d: df} | {m: built(m) for m in x.datasets[1:]}
             groups[x.id] = fuse(x, frames, profiles, {m: totals_of(plan, m, profiles) for m in x.datasets}, strategy, plan.thresholds.get("entity_merge", 0.5),
-                                plan.thresholds.get("entity_review", 0.2), labels, priority)
+                                plan.thresholds.get("entity_review", 0.2), labels, priority, calibration)
             df = attached(df, groups[x.id])
         return df
     out = built(plan.root)

@@ -17,7 +17,7 @@ from weft.operators import fusion, uncertainty, validation
 from weft.operators.joins import ROW, agreement, match_statistics
 from weft.operators.clustering import concurrently, stored
 from weft.operators.profile import DatasetProfile, bottom_k, cell_counts, issues, profile
-from weft.operators.resolution import MatchField, Resolution, resolve, review_queue
+from weft.operators.resolution import MatchField, Resolution, random_review, resolve, review_queue
 from weft.plans import graph as g
 from weft.plans import lineage
 from weft.plans.matching import Match, Sketch, Strategy, crosswalk_candidates, match_schemas, verify_crosswalk
@@ -65,6 +65,7 @@ class Session:
         self.matches: list[Match] = []
         self.relations: list[Relationship] = []
         self.labels: list[tuple[str, str, bool]] = []
+        self.drawn: set[tuple[str, str]] = set()  # pairs that chance chose for review: only their labels calibrate
         self.merges: list[Merge] = []
         self.archive: list[Merge] = []
         self.stale = True
@@ -200,9 +201,16 @@ class Session:
         self._fresh()
         return next((g.explain_relationship(r) for r in self.relations if r.pair == frozenset((a, b))), "no relationship")
 
-    def route(self, a: str, b: str, k: int = 3) -> list[str]:
+    def route(self, a: str, b: str, k: int = 3, mode: str | None = None) -> list[str]:
         self._fresh()
-        return [g.explain_route(p, c) for p, c in g.routes(self.graph.datasets()[1], a, b, k, self.settings["graph"]["path_cost"])]
+        return [g.explain_route(p, c) for p, c in g.routes(self.graph.datasets()[1], a, b, k, mode or self.settings["graph"]["path_cost"])]
+
+    def column_route(self, left: str, right: str, k: int = 1) -> list[str]:
+        """Routes from one column to another along accepted correspondences and the datasets that hold both ends."""
+        self._fresh()
+        edges = [(m.left, m.right, m.score) for m in self.matches if m.accepted]
+        edges += [(f"{p.dataset}.{c}", f"{p.dataset}.", 1.0) for p in self.profiles.values() for c in p.columns]
+        return [g.explain_route([x for x in path if not x.endswith(".")], c) for path, c in g.routes(edges, left, right, k, self.settings["graph"]["path_cost"])]
 
     def decide_match(self, left: str, right: str, accept: bool) -> None:
         """Pins a pair of columns as the same or not."""
@@ -229,12 +237,27 @@ class Session:
     def entity_match_preview(self, datasets: list[str], columns: dict[str, dict[str, str]], fields: list[MatchField], dedupe: tuple[str, ...] = ()) -> Resolution:
         limits = effective_thresholds(self.preferences.mode, **self.preferences.thresholds)
         frame = self.spark.createDataFrame(self.labels, "a string, b string, same boolean") if self.labels else None
-        return resolve(self.records_of(datasets, columns), fields, dedupe, limits["entity_merge"], limits["entity_review"], labels=frame)
+        return resolve(self.records_of(datasets, columns), fields, dedupe, limits["entity_merge"], limits["entity_review"], labels=frame, calibration=self._calibration())
+
+    def _calibration(self) -> DataFrame | None:
+        fair = [x for x in self.labels if x[:2] in self.drawn]
+        return self.spark.createDataFrame(fair, "a string, b string, same boolean") if fair else None
 
     def entity_review_queue(self, found: Resolution, limit: int = 20) -> DataFrame:
         known = self.spark.createDataFrame([(min(a, b), max(a, b)) for a, b, _ in self.labels] or [], "a string, b string")
         return review_queue(found.pairs.join(known, ["a", "b"], "left_anti"), limit)
 
+    def review_links(self, group: EntityGroup, limit: int = 10, at_random: float = 0.3) -> list[dict]:
+        """Pairs of a group worth a label: the most doubtful, and a share drawn at random, whose labels calibrate."""
+        columns = {d: {f.columns[d]: f"f_{f.name}" for f in group.fields if d in f.columns} for d in group.datasets}
+        found = self.entity_match_preview(group.datasets, columns, [MatchField(f"f_{f.name}", f.semantic, f.norm) for f in group.fields], tuple(group.datasets))
+        n = round(limit * at_random)
+        known = self.spark.createDataFrame([(min(a, b), max(a, b)) for a, b, _ in self.labels] or [], "a string, b string")
+        drawn = random_review(found.pairs.join(known, ["a", "b"], "left_anti"), n).collect()
+        self.drawn |= {(r["a"], r["b"]) for r in drawn}
+        rows = [(r, "random") for r in drawn] + [(r, "uncertain") for r in self.entity_review_queue(found, limit).collect() if (r["a"], r["b"]) not in {(x["a"], x["b"]) for x in drawn}]
+        return [{"a": r["a"], "b": r["b"], "p": r["p"], "sampling": how} for r, how in rows[:limit]]
+
     def label_entity_link(self, a: str, b: str, same: bool) -> None:
         for x in (a, b):
             name, row = x.split(":")
@@ -258,7 +281,7 @@ class Session:
         cell provenance and conflicts of its groups, and the reports."""
         plan = plan or self.make_plan()
         labels = self.spark.createDataFrame(self.labels, "a string, b string, same boolean") if self.labels else None
-        done = executed(plan, self.frames, self.profiles, self.preferences.strategy, labels, self.preferences.priority)
+        done = executed(plan, self.frames, self.profiles, self.preferences.strategy, labels, self.preferences.priority, self._calibration())
         id_ = f"merge_{len(self.merges) + 1}_{uuid.uuid4().hex[:6]}"
         folder = self.workspace.folder("merges", id_)
         os.makedirs(folder, exist_ok=True)
@@ -367,7 +390,7 @@ class Session:
             if not d.path:
                 d.path = self.workspace.folder("frames", f"{d.id}_{uuid.uuid4().hex[:6]}")
                 self.frames[d.id].write.parquet(d.path)
-        state = {"version": 2, "datasets": [asdict(d) for d in self.datasets.values()], "decisions": [[a, b, v] for (a, b), v in self.decisions.items()], "labels": self.labels,
+        state = {"version": 2, "datasets": [asdict(d) for d in self.datasets.values()], "decisions": [[a, b, v] for (a, b), v in self.decisions.items()], "labels": self.labels, "drawn": sorted(self.drawn),
                  "preferences": asdict(self.preferences), "merges": [_merge_state(m) for m in self.merges], "archive": [_merge_state(m) for m in self.archive]}
         with open(path + ".new", "w", encoding="utf-8") as f:
             json.dump(state, f)
@@ -387,6 +410,7 @@ class Session:
             s.frames[d["id"]] = s.datasets[d["id"]].frame(spark)
         s.decisions = {(a, b): v for a, b, v in state["decisions"]}
         s.labels = [tuple(x) for x in state["labels"]]
+        s.drawn = {tuple(x) for x in state["drawn"]}
         s.preferences = Preferences(**state["preferences"])
         s.merges, s.archive = ([_merge_from(m) for m in state[k]] for k in ("merges", "archive"))
         return s

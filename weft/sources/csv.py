@@ -85,11 +85,6 @@ def row_profile(lines: list[str], delimiter: str | None = None) -> RowProfile:
     return RowProfile(header, delimiter, tuple(classes))
 
 
-def needs_repair(lines: list[str]) -> bool:
-    rows = list(csv_lib.reader(lines[:2000], delimiter=delimiter_of("\n".join(lines[:200]))))
-    return len({len(r) for r in rows if r}) > 1
-
-
 def repaired_row(row: list[str], p: RowProfile) -> tuple[list[str | None], str]:
     """(fields, what was done): short rows are padded; of extra fields those neighbours are merged that fit the column
     classes best (two points a fitting field, one where the merge lands in text, half for a space after a delimiter)."""
@@ -129,14 +124,36 @@ def repaired(lines: DataFrame, p: RowProfile) -> DataFrame:
     return out.select(*[nulled(F.col(f"c{i}")).alias(h) for i, h in enumerate(p.header)], "__repair")
 
 
+def without_headers(spark: SparkSession, path: str) -> DataFrame:
+    """The text lines (``value``) of a file or folder less the first line of each file: by place, not by what it says."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__s"), F.monotonically_increasing_id().alias("__i"))
+    first = lines.where("__s = 0").groupBy("__f").agg(F.min("__i").alias("__i"))
+    return lines.join(F.broadcast(first), ["__f", "__i"], "left_anti").select("value")  # one row a file
+
+
+def shape_of(lines: DataFrame, width: int, delimiter: str) -> tuple[bool, bool]:
+    """(whether any line has another number of fields, whether any quotation runs over a line's end), from all lines."""
+    bare = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    fields = F.length(bare) - F.length(F.replace(bare, F.lit(delimiter), F.lit(""))) + 1
+    r = lines.where(F.trim("value") != "").agg(F.coalesce(F.bool_or((fields != width) & (quotes % 2 == 0)), F.lit(False)).alias("ragged"), F.coalesce(F.bool_or(quotes % 2 == 1), F.lit(False)).alias("open")).first()
+    return r["ragged"], r["open"]
+
+
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None, repair: bool = True) -> DataFrame:
-    """A CSV file with promoted types; ragged files are repaired row by row."""
+    """A CSV file with promoted types; ragged files are repaired row by row.
+
+    The whole file decides whether it is ragged and whether quoted fields hold line breaks; its head gives the delimiter
+    and the classes of its columns. Files whose quotations run over line ends are read as they are: their rows cannot be
+    told apart line by line.
+    """
     text = head_of(path).decode("utf-8-sig", "replace")
     lines = text.splitlines()
-    if repair and needs_repair(lines[:-1] if len(text) >= 65_536 else lines):
-        p = row_profile(lines[:-1] if len(text) >= 65_536 else lines, delimiter)
-        raw = spark.read.text(path)
-        first = lines[0]
-        return promoted(repaired(raw.where(F.col("value") != first), p).drop("__repair"))
-    df = spark.read.csv(path, header=True, inferSchema=False, sep=delimiter or delimiter_of(text), multiLine='"' in text, escape='"', ignoreLeadingWhiteSpace=False)
+    whole = lines[:-1] if len(text) >= 65_536 and len(lines) > 1 else lines
+    sep = delimiter or delimiter_of(text)
+    body = without_headers(spark, path)
+    ragged, open_ = shape_of(body, len(next(csv_lib.reader(whole[:1], delimiter=sep), [])), sep) if whole else (False, False)
+    if repair and ragged and not open_:
+        return promoted(repaired(body, row_profile(whole, sep)).drop("__repair"))
+    df = spark.read.csv(path, header=True, inferSchema=False, sep=sep, multiLine=open_, escape='"', ignoreLeadingWhiteSpace=False)
     return promoted(df.select(*[nulled(F.col(f"`{c}`")).alias(c.strip()) for c in df.columns]))

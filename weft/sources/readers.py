@@ -97,14 +97,44 @@ def flattened(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+def longest_records(df: DataFrame) -> DataFrame:
+    """Of a document read as one row, the longest list of objects in it as rows, or the row itself: what
+    ``extract_records`` does, told by the schema."""
+    found: list[tuple[str, ...]] = []
+
+    def walk(schema: T.StructType, path: tuple[str, ...]) -> None:
+        for f in schema.fields:
+            if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+                found.append((*path, f.name))
+            elif isinstance(f.dataType, T.StructType):
+                walk(f.dataType, (*path, f.name))
+    walk(df.schema, ())
+    if not found:
+        return df
+    columns = [F.col(".".join(f"`{p}`" for p in x)) for x in found]
+    if df.limit(2).count() > 1:  # a list of objects already
+        return df
+    sizes = df.select(*[F.coalesce(F.size(c), F.lit(0)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    best = max(range(len(found)), key=lambda i: (sizes[i], -i))
+    return df.select(F.explode(columns[best]).alias("r")).select("r.*") if sizes[best] > 0 else df
+
+
+def listed_as_text(df: DataFrame) -> DataFrame:
+    """Lists and maps as JSON text, as ``flatten_record`` gives them."""
+    return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.ArrayType, T.MapType)) else F.col(f"`{f.name}`") for f in df.schema.fields])
+
+
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """JSON lines and large documents through the distributed reader; smaller documents by their records."""
+    """JSON lines and large documents through the distributed reader; smaller documents by their records.
+
+    Both ways find the same records: a list of objects, or the longest such list inside an object.
+    """
     if lines:
         return flattened(spark.read.json(path))
     if os.path.exists(path) and os.path.getsize(path) <= LARGE_JSON:
         with open(path, encoding="utf-8-sig") as f:
             return records_frame(spark, extract_records(json.load(f)))
-    return flattened(spark.read.option("multiLine", True).json(path))
+    return listed_as_text(flattened(longest_records(spark.read.option("multiLine", True).json(path))))
 
 
 # -- workbooks, SQLite, REST as Python data sources -------------------------------------------------------------------------
@@ -230,7 +260,7 @@ class SqliteSource(DataSource):
 
 
 def fetch_pages(url: str, params: dict[str, str] | None = None, page_size: int = 1000, max_pages: int = 100, get: Callable[[str], bytes] | None = None) -> list[dict]:
-    """Records of a paged REST endpoint: ``$limit`` and ``$offset`` until a short page."""
+    """Records of a paged REST endpoint: ``$limit`` and ``$offset`` until a short page; more than ``max_pages`` is an error."""
     get = get or (lambda u: urllib.request.urlopen(u, timeout=60).read())
     out: list[dict] = []
     for page in range(max_pages):
@@ -238,8 +268,8 @@ def fetch_pages(url: str, params: dict[str, str] | None = None, page_size: int =
         got = extract_records(json.loads(get(f"{url}{'&' if '?' in url else '?'}{query}")) or [])
         out += got
         if len(got) < page_size:
-            break
-    return out
+            return out
+    raise ValueError(f"{url} has more than {max_pages} pages of {page_size}; raise max_pages")
 
 
 def read_rest(spark: SparkSession, url: str, params: dict[str, str] | None = None, page_size: int = 1000, max_pages: int = 100, get: Callable[[str], bytes] | None = None) -> DataFrame:
