@@ -26,6 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="weft-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -9,7 +9,7 @@ position, are dealt to the slots of the patterns.
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +26,25 @@ CAPACITY = 2048
 #: Remainders are rounded up to multiples of this for the program; their true lengths are kept.
 CLASS_WIDTH = 4
 END_ID = 1
-MAX_PATTERNS = 4000
+
+
+def merge_ranks(path: str) -> dict[bytes, int]:
+    """Token bytes and ids of a ``tokenizers`` JSON file; only byte-level BPE whose ids follow its merges is understood."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec["pre_tokenizer"] or {}
+    if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex") or spec["normalizer"]:
+        raise ValueError(f"{path} is no plain byte-level BPE tokenizer")
+    # Bytes are written as the printable Latin-1 characters that they are, the others as the code points from 256 on.
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+    special = {t["id"] for t in spec["added_tokens"]}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if i not in special}
+    merged = [model["vocab"][a + b] for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"])]
+    if merged != sorted(merged):
+        raise ValueError(f"the ids of {path} do not follow its merges")
+    return ranks
 
 
 class PieceTokenizer:
@@ -41,10 +59,7 @@ class PieceTokenizer:
         import tiktoken
         from public_tokenizers import PATTERN
 
-        ranks_path = path.replace(".json", ".tiktoken")
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.full = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.full = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=merge_ranks(path), special_tokens={})
         self.piece = self.full._core_bpe.encode_single_piece
         self.limit = cache
         self.kinds = _code_point_kinds()
@@ -297,7 +312,7 @@ def _pieces(path: str, capacity: int, width: int):
         tokenizer, part = tokenizer_at(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            for first, last, _, _ in text_views(batch.column(1), 2 << 20):
+            for first, last, _, _ in text_views(batch.column(1), 1 << 20):
                 ids = batch.column(0).slice(first, last - first).to_pylist()
                 rows = []
                 for doc, tokens in zip(ids, tokenizer.encode_many(batch.column(1).slice(first, last - first).to_pylist())):
@@ -352,13 +367,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     demand = np.zeros(top + 1, np.int64)
     for r in counts.groupBy("cls").agg(F.sum("n").alias("n")).collect():  # at most capacity / class_width rows
         demand[r["cls"]] = r["n"]
-    full = int(demand[top])
-    demand[top] = 0
+    demand[top] = 0  # full pieces are sequences of their own
     plan = cutting_plan(demand, top)
     before = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("cls", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     ranked = pieces.join(offsets, ["cls", "part"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "cls", (F.col("nth") + F.col("skip")).alias("rank"))
-    del full
     ddl = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long"
     dealt = ranked.mapInArrow(_assign(plan.slots(top), top, plan.sequences), ddl)
     # A sequence holds at most ``capacity`` pieces.
