@@ -105,3 +105,42 @@ def test_a_pair_does_not_support_itself(spark):
     others = flood({("a.x", "b.x"): .7} | {(f"a.{c}", f"b.{c}"): .9 for c in "wyz"}, owner)
     itself = flood({("a.x", "b.x"): .7} | {(f"a.{c}", "b.x"): .7 for c in "wyz"}, owner)
     assert others[("a.x", "b.x")] > .7 >= itself[("a.x", "b.x")]
+
+
+def test_a_retrained_matcher_scores_what_is_discovered(spark, session):
+    from weft.plans.matching import isotonic_line, pair_features
+
+    line = isotonic_line([(.1, 0, 1), (.2, 1, 1), (.3, 0, 1), (.9, 1, 1)])
+    assert [line(x) for x in (.1, .25, .9)] == [0.0, .5, 1.0] and line(.05) == 0.0
+    session._fresh()
+    assert all(len(pair_features(m)) == 20 for m in session.matches)
+    for m in session.matches[:4]:
+        session.decide_match(*m.pair, m.left.split(".")[1] == m.right.split(".")[1])
+    scorer = session.retrain_matcher()
+    if scorer is not None:
+        assert all(0 <= scorer(m) <= 1 for m in session.matches) and session.stale
+    session.scorer = None
+
+    class Plain:
+        def __init__(self, documents):
+            self.documents = documents
+
+        def cosine(self, a, b):
+            return float(self.documents[a] == self.documents[b])
+    assert session.discover(encoder=Plain) and "sales.client_code" in {x for x, _ in session.graph_view()["references"]}
+
+
+def test_proposals_are_asked_for_once(spark, tmp_path):
+    asked = []
+    def propose(sides):
+        asked.append(sides)
+        return {"ca": "california", "ny": "new york", "tx": "texas"}
+    s = Session(spark, str(tmp_path / "ws"), proposer=propose)
+    states = ["CA", "NY", "TX"]
+    s.add_frame("shops", spark.createDataFrame([(i, states[i % 3]) for i in range(30)], "shop_id long, state string"))
+    s.add_frame("taxes", spark.createDataFrame([(["California", "New York", "Texas"][i % 3], float(i)) for i in range(12)], "state_name string, rate double"))
+    s.discover()
+    n = len(asked)
+    s.stale = True
+    s.discover()
+    assert n >= 1 and len(asked) == n and len(s.crosswalks) == 1

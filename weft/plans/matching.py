@@ -7,6 +7,7 @@ from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations
+from typing import Protocol
 
 import numpy as np
 
@@ -49,6 +50,7 @@ class Match:
     containment: tuple[float, float] = (0.0, 0.0)
     accepted: bool = False
     reason: str = ""
+    shape: tuple[float, ...] = ()  # what the two profiles are like, for learned scorers
 
     @property
     def pair(self) -> Pair:
@@ -88,6 +90,14 @@ def type_compatibility(a: str, b: str) -> float:
     return 0.5 if a in VAGUE_TYPES or b in VAGUE_TYPES else 0.0
 
 
+class ColumnEncoder(Protocol):
+    """What compares column descriptions: made from documents by column key, it gives similarities from 0 to 1."""
+
+    def __init__(self, documents: dict[str, str]) -> None: ...
+
+    def cosine(self, a: str, b: str) -> float: ...
+
+
 class TfIdf:
     """Character 3- to 5-grams within words, sublinear counts, inverse document frequencies, unit length."""
 
@@ -123,7 +133,7 @@ def column_document(c: ColumnProfile) -> str:
     return " ".join([*name_tokens(c.name), *name_tokens(c.name), c.semantic.lower(), *list(c.top)[:10]])
 
 
-def semantic_similarity(a: ColumnProfile, b: ColumnProfile, index: TfIdf | None) -> float:
+def semantic_similarity(a: ColumnProfile, b: ColumnProfile, index: ColumnEncoder | None) -> float:
     x, y = concepts(name_tokens(a.name)), concepts(name_tokens(b.name))
     shared = len(x & y) / len(x | y) if x | y else 0.0
     return 0.4 * shared + 0.3 * type_compatibility(a.semantic, b.semantic) + 0.3 * (index.cosine(a.key, b.key) if index else 0.0)
@@ -249,7 +259,7 @@ def pattern_similarity(a: ColumnProfile, b: ColumnProfile) -> float:
     return dot / (math.sqrt(sum(v * v for v in x.values())) * math.sqrt(sum(v * v for v in y.values())))
 
 
-def score_pair(a: ColumnProfile, sa: Sketch, b: ColumnProfile, sb: Sketch, index: TfIdf | None, weights: dict[str, float], signals: tuple[str, ...] = Strategy.signals,
+def score_pair(a: ColumnProfile, sa: Sketch, b: ColumnProfile, sb: Sketch, index: ColumnEncoder | None, weights: dict[str, float], signals: tuple[str, ...] = Strategy.signals,
                extra: dict[str, Callable] | None = None) -> Match:
     value, norm, containment = value_similarity(a, sa, b, sb, extra)
     evidence = {"name": name_similarity(a.name, b.name), "datatype": datatype_similarity(a.logical, b.logical), "semantic": semantic_similarity(a, b, index), "value_overlap": value,
@@ -258,7 +268,20 @@ def score_pair(a: ColumnProfile, sa: Sketch, b: ColumnProfile, sb: Sketch, index
     score = sum(weights[k] * evidence[k] for k in signals) / total
     if type_compatibility(a.semantic, b.semantic) == 0 and min(a.confidence, b.confidence) >= 0.6:
         score *= 0.6
-    return Match(a.key, b.key, score, evidence, norm, containment)
+    return Match(a.key, b.key, score, evidence, norm, containment, shape=pair_shape(a, b))
+
+
+def pair_shape(a: ColumnProfile, b: ColumnProfile) -> tuple[float, ...]:
+    """How alike two profiles are beside the weighed signals: keys, gaps, lengths, ranges and how sure their types are."""
+    def close(x: float, y: float) -> float:
+        return min(x, y) / max(x, y) if max(x, y) > 0 else 1.0
+    filled = [c.non_null / c.rows if c.rows else 0.0 for c in (a, b)]
+    inside = 0.0
+    if None not in (a.minimum, a.maximum, b.minimum, b.maximum):
+        spread = max(a.maximum, b.maximum) - min(a.minimum, b.minimum)
+        inside = max(0.0, min(a.maximum, b.maximum) - max(a.minimum, b.minimum)) / spread if spread > 0 else 1.0
+    return (max(a.uniqueness, b.uniqueness), min(a.uniqueness, b.uniqueness), float(a.semantic == b.semantic), type_compatibility(a.semantic, b.semantic), min(a.confidence, b.confidence),
+            close(a.avg_length, b.avg_length), 1 - abs(filled[0] - filled[1]), inside, close(float(a.rows), float(b.rows)))
 
 
 def candidate_pairs(profiles: list[DatasetProfile], sketches: dict[str, Sketch], limit: int = 5000) -> list[Pair]:
@@ -352,12 +375,13 @@ def align(matches: list[Match], uniqueness: dict[str, float], dataset_of: dict[s
 
 
 def match_schemas(profiles: list[DatasetProfile], sketches: dict[str, Sketch], settings: dict | None = None, strategy: Strategy = Strategy(), least: float | None = None,
-                  crosswalks: dict[Pair, dict[str, str]] | None = None, scorer: Callable[[Match], float] | None = None) -> list[Match]:
-    """Scored, flooded and aligned column matches of all dataset pairs."""
+                  crosswalks: dict[Pair, dict[str, str]] | None = None, scorer: Callable[[Match], float] | None = None,
+                  encoder: type[ColumnEncoder] = TfIdf) -> list[Match]:
+    """Scored, flooded and aligned column matches of all dataset pairs; a learned ``scorer`` has the last word on scores."""
     cfg = (settings or config.settings())["matching"]
     columns = {c.key: c for p in profiles for c in p.columns.values()}
     dataset_of = {k: c.dataset for k, c in columns.items()}
-    index = TfIdf({k: column_document(c) for k, c in columns.items()})
+    index = encoder({k: column_document(c) for k, c in columns.items()})
     empty = Sketch({})
     matches = {}
     for a, b in candidate_pairs(profiles, sketches, cfg["lsh_pair_threshold"]):
@@ -387,25 +411,53 @@ FEATURES = ("name", "datatype", "semantic", "value_overlap", "distribution", "pa
 
 
 def pair_features(m: Match) -> list[float]:
+    """Twenty numbers: the seven signals, both containments, two products of signals and the profiles' shape."""
     e = [m.evidence[k] for k in FEATURES]
-    return [*e, max(m.containment), min(m.containment), e[0] * e[3], e[2] * e[3]]
+    return [*e, max(m.containment), min(m.containment), e[0] * e[3], e[2] * e[3], *(m.shape or (0.0,) * 9)]
 
 
-def train_scorer(spark, examples: list[tuple[list[float], int, float]]):
-    """A boosted-tree scorer of (features, label, weight): the probability that a pair of columns matches."""
+def isotonic_line(points: list[tuple[float, float, float]]) -> Callable[[float], float]:
+    """The non-decreasing step function nearest to (x, y, weight), by pooling adjacent violators, joined by lines."""
+    pools: list[list[float]] = []  # sums of weight, of y and of x, and the last x
+    for x, y, w in sorted(points):
+        pools.append([w, w * y, w * x])
+        while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    xs, ys = [p[2] / p[0] for p in pools], [p[1] / p[0] for p in pools]
+    return lambda x: float(np.interp(x, xs, ys)) if xs else x
+
+
+def train_scorer(spark, examples: list[tuple[list[float], int, float]], groups: list | None = None, folds: int = 5):
+    """A boosted-tree scorer of (features, label, weight): the calibrated probability that a pair of columns matches.
+
+    With ``groups`` (such as the pair of datasets of each example) the trees' probabilities are calibrated by an isotonic
+    line over predictions for groups that the trees have not seen, in at most ``folds`` parts.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.linalg import Vectors
 
     width = len(examples[0][0])
-    frame = spark.createDataFrame([(*map(float, f), float(y), float(w)) for f, y, w in examples], [*(f"f{i}" for i in range(width)), "label", "weight"])
-    assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(width)], outputCol="features")
-    model = GBTClassifier(maxIter=20, maxDepth=3, seed=7, weightCol="weight").fit(assembler.transform(frame))
-
-    def score(m: Match) -> float:
-        from pyspark.ml.linalg import Vectors
 
-        return float(model.predictProbability(Vectors.dense(pair_features(m)))[1])
-    return score
+    def fitted(some: list[tuple[list[float], int, float]]):
+        frame = spark.createDataFrame([(*map(float, f), float(y), float(w)) for f, y, w in some], [*(f"f{i}" for i in range(width)), "label", "weight"])
+        assembler = VectorAssembler(inputCols=[f"f{i}" for i in range(width)], outputCol="features")
+        model = GBTClassifier(maxIter=20, maxDepth=3, seed=7, weightCol="weight").fit(assembler.transform(frame))
+        return lambda f: float(model.predictProbability(Vectors.dense(f))[1])
+    line: Callable[[float], float] = lambda x: x
+    if groups is not None and len(set(groups)) > 1:
+        order = {g: i % folds for i, g in enumerate(sorted(set(groups)))}
+        points = []
+        for k in sorted(set(order.values())):
+            seen = [e for e, g in zip(examples, groups) if order[g] != k]
+            if len({y for _, y, _ in seen}) == 2:
+                guess = fitted(seen)
+                points += [(guess(f), float(y), w) for (f, y, w), g in zip(examples, groups) if order[g] == k]
+        if points:
+            line = isotonic_line(points)
+    whole = fitted(examples)
+    return lambda m: line(whole(pair_features(m)))
 
 
 # -- crosswalks ---------------------------------------------------------------------------------------------------------------

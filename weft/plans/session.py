@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft import config
+from weft.functions.values import mapped, register_normalizer
 from weft.operators import fusion, uncertainty, validation
 from weft.operators.joins import ROW, agreement, match_statistics
 from weft.operators.clustering import concurrently, stored
@@ -20,7 +21,7 @@ from weft.operators.profile import DatasetProfile, bottom_k, cell_counts, issues
 from weft.operators.resolution import MatchField, Resolution, random_review, resolve, review_queue
 from weft.plans import graph as g
 from weft.plans import lineage
-from weft.plans.matching import Match, Sketch, Strategy, crosswalk_candidates, match_schemas, verify_crosswalk
+from weft.plans.matching import ColumnEncoder, Match, Sketch, Strategy, TfIdf, crosswalk_candidates, match_schemas, verify_crosswalk
 from weft.plans.entity_groups import EntityGroup, GroupField, group_statistics
 from weft.plans.planner import Attachment, MergePlan, Transform, build_plan, effective_thresholds, executed, relationship_flags
 from weft.plans.relationships import LOOKUP, Relationship, infer
@@ -53,6 +54,8 @@ class Session:
 
     def __init__(self, spark: SparkSession, root: str | None = None, proposer=None, **overrides):
         self.spark = spark
+        if root is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a session on a cluster needs a root folder that all executors share")
         self.workspace = Workspace(root or tempfile.mkdtemp(prefix="weft-session-"))
         self.settings = config.settings(**overrides)
         self.proposer = proposer
@@ -66,6 +69,9 @@ class Session:
         self.relations: list[Relationship] = []
         self.labels: list[tuple[str, str, bool]] = []
         self.drawn: set[tuple[str, str]] = set()  # pairs that chance chose for review: only their labels calibrate
+        self.crosswalks: dict[tuple[str, str], dict[str, str]] = {}  # verified value maps by pair of columns
+        self.refused: set[tuple[str, str]] = set()
+        self.scorer = None
         self.merges: list[Merge] = []
         self.archive: list[Merge] = []
         self.stale = True
@@ -130,14 +136,18 @@ class Session:
         return {n: self.profile(n).duplicates for n in self.datasets}
 
     def issues(self) -> list[str]:
-        return issues([self.profile(n) for n in self.datasets])
+        """What to look at before integrating, references without a match among it once relationships are known."""
+        found = issues([self.profile(n) for n in self.datasets])
+        orphans = [r for r in self.relations if r.kind == LOOKUP and r.keys and r.coverage < 1]
+        return found + [f"{r.left}.{r.keys[0][0]}: {1 - r.coverage:.1%} of references are not in {r.right}" for r in orphans]
 
     # -- discovery --------------------------------------------------------------------------------------------------------
 
-    def discover(self, strategy: Strategy = Strategy()) -> list[Relationship]:
+    def discover(self, strategy: Strategy = Strategy(), encoder: type[ColumnEncoder] = TfIdf) -> list[Relationship]:
+        """Profiles, matches and relates all datasets; a retrained matcher, where there is one, scores the matches."""
         profiles = concurrently(*[lambda n=n: self.profile(n) for n in self.datasets])
         least = max(effective_thresholds(self.preferences.mode)["min_edge"], self.preferences.thresholds.get("min_edge", 0.0))
-        self.matches = match_schemas(profiles, self.sketches, self.settings, strategy, least)
+        self.matches = match_schemas(profiles, self.sketches, self.settings, strategy, least, self.crosswalks or None, self.scorer, encoder)
         if self.proposer is not None:
             self._crosswalks(profiles, least, strategy)
         for m in self.matches:
@@ -156,13 +166,20 @@ class Session:
     def _crosswalks(self, profiles: list[DatasetProfile], least: float, strategy: Strategy) -> None:
         found = {}
         cfg = self.settings["matching"]["crosswalk"]
-        for a, b in crosswalk_candidates(profiles, self.sketches, self.matches)[:6]:
+        for a, b in crosswalk_candidates(profiles, self.sketches, self.matches):
+            if (a, b) in self.crosswalks or (a, b) in self.refused:
+                continue  # proposals are asked for once
             proposal = self.proposer({"left": sorted(self.sketches[a].values), "right": sorted(self.sketches[b].values)})
             table, _ = verify_crosswalk(set(self.sketches[a].values), set(self.sketches[b].values), proposal, cfg["min_coverage"], cfg["min_injectivity"], cfg["max_hallucinated"])
             if table:
                 found[(a, b)] = table
+            else:
+                self.refused.add((a, b))
         if found:
-            self.matches = match_schemas(profiles, self.sketches, self.settings, strategy, least, found)
+            self.crosswalks |= found
+            for (a, b), table in found.items():
+                register_normalizer(f"crosswalk:{a}~{b}", mapped(table))
+            self.matches = match_schemas(profiles, self.sketches, self.settings, strategy, least, self.crosswalks, self.scorer)
 
     def _verify_rows(self) -> None:
         """Attribute matches between key-joined datasets must agree on the joined rows."""
@@ -221,7 +238,10 @@ class Session:
     def graph_view(self) -> dict:
         self._fresh()
         names, edges = self.graph.datasets()
-        return {"layout": g.layered_layout(names, [(r.left, r.right) for r in self.relations]), "edges": edges, **self.graph.stats()}
+        keys = {n: [c.name for c in self.profile(n).columns.values() if c.semantic == "ID" and c.uniqueness >= 0.98] for n in names}
+        references = [(f"{r.left}.{a}", f"{r.right}.{b}") for r in self.relations if r.kind == LOOKUP for a, b in r.keys]
+        links = [(r.left, r.right, r.kind) for r in self.relations if r.kind != LOOKUP]
+        return {"layout": g.layered_layout(names, [(r.left, r.right) for r in self.relations]), "edges": edges, "keys": keys, "references": references, "links": links, **self.graph.stats()}
 
     # -- entities -----------------------------------------------------------------------------------------------------------
 
@@ -354,7 +374,10 @@ class Session:
         examples = [(pair_features(m), int(self.decisions.get(m.pair, m.accepted)), weight if m.pair in self.decisions else 1.0) for m in self.matches]
         if min(sum(y for _, y, _ in examples), sum(1 - y for _, y, _ in examples)) < 2:
             return None
-        return train_scorer(self.spark, examples)
+        groups = ["~".join(sorted(x.split(".", 1)[0] for x in m.pair)) for m in self.matches]
+        self.scorer = train_scorer(self.spark, examples, groups)
+        self._invalidate()
+        return self.scorer
 
     def entity_history(self, history: DataFrame | None = None, entity: str | None = None, attribute: str | None = None, as_of=None, as_known_at=None) -> DataFrame | None:
         """What held at ``as_of``, as the last merge at or before ``as_known_at`` (default: the last of all) recorded it."""

@@ -21,6 +21,7 @@ from weft.operators.resolution import MatchField
 from weft.plans import lineage
 from weft.plans.entity_groups import group_fields
 from weft.plans.session import Session
+from weft.sources.sinks import json_ready
 
 MODES = ("strict", "balanced", "permissive")
 _TEXT, _DATASET = {"type": "string"}, {"type": "string", "description": "a loaded dataset"}
@@ -67,7 +68,7 @@ _PREFERENCES = {"mode": _one_of(*MODES), "conflict_strategy": _one_of(*STRATEGIE
 
 
 def _rows(df: DataFrame, limit: int) -> list[dict]:
-    return [r.asDict(recursive=True) for r in df.limit(limit).collect()]
+    return [r.asDict() for r in json_ready(df.limit(limit)).collect()]
 
 
 @tool("The loaded datasets with size and format.")

@@ -308,6 +308,22 @@ def dense_row_numbers(spark, d):
     return out.select("l_orderkey", "l_linenumber", "l_quantity", F.col(ROW).alias("rn"))
 
 
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS o_totalprice FROM orders")
+def json_cells(spark, d):
+    from weft.sources.sinks import json_ready
+
+    k = F.col("o_orderkey")
+    return json_ready(table(spark, d, "orders").select(k, "o_orderdate", F.when(k % 5 != 0, F.col("o_totalprice")).otherwise(F.lit(float("nan"))).alias("o_totalprice")))
+
+
+@query("SELECT node, 1::BIGINT AS rounds FROM (SELECT DISTINCT user_id AS node FROM events) UNION ALL SELECT user_id, 2 FROM (SELECT DISTINCT user_id FROM events)")
+def united_histories(spark, d):
+    """Histories that two merges recorded, in one."""
+    h = table(spark, d, "events").select(F.col("user_id").alias("node")).distinct()
+    both = fusion.united_histories([("2024-01-01 00:00:00", h), ("2024-02-01 00:00:00", h)])
+    return both.select("node", F.month("recorded_at").cast("long").alias("rounds"))
+
+
 # -- values -----------------------------------------------------------------------------------------------------------------
 
 _RAW = "CASE c_custkey % 5 WHEN 0 THEN '  ' || c_name || '  X ' WHEN 1 THEN 'CUST-00' || c_custkey WHEN 2 THEN c_custkey || '.0' WHEN 3 THEN '+91 (' || lpad(c_custkey::VARCHAR, 5, '0') || ') 43-210' ELSE '' END"

@@ -20,6 +20,23 @@ def write_unified(df: DataFrame, folder: str, csv: bool = False) -> DataFrame:
     return back
 
 
+def json_ready(df: DataFrame) -> DataFrame:
+    """Cells that JSON can hold: dates and moments as ISO text, numbers that are none as null, nested values as JSON text."""
+    out = []
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("float", "double"):
+            c = F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+        elif kind.startswith("timestamp"):
+            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        elif kind == "date":
+            c = c.cast("string")
+        elif kind.startswith(("array", "map", "struct")):
+            c = F.to_json(c)
+        out.append(c.alias(name))
+    return df.select(*out)
+
+
 def write_entities(df: DataFrame, folder: str, group: str) -> None:
     df.write.mode("overwrite").parquet(os.path.join(folder, f"entities_{group}.parquet"))
 
