@@ -13,7 +13,8 @@ def column(spark, values, fn):
 
 
 def test_normalisers(spark):
-    assert column(spark, ["  Ärzte   Straße ", "12.0", "-3.00", "", None, "NaN", "A\tB"], V.basic) == ["arzte straße", "12", "-3", None, None, None, "a b"]
+    assert column(spark, ["  Ärzte   Straße ", "12.0", "-3.00", "", None, "NaN", "A\tB"], V.basic) == ["arzte straße", "12", "-3", None, None, "nan", "a b"]
+    assert [r[0] for r in spark.createDataFrame([(float("nan"),), (2.0,)], "v double").select(V.basic(F.col("v"))).collect()] == [None, "2"]  # no number, and a name
     assert column(spark, ["CUST-00123", "123", "c 0", "ab12cd", "x_9", None], V.identifier) == ["123", "123", "0", "ab12cd", "9", None]
     assert column(spark, ["+91-98765-43210", "12345", "9876543210"], V.digits) == ["9876543210", None, "9876543210"]
     assert column(spark, ["Bangalore", "Bombay", "Delhi"], V.domain("indian_cities")) == ["bengaluru", "mumbai", "delhi"]
@@ -37,6 +38,15 @@ def test_dates(spark):
     assert df.agg(V.is_dayfirst(F.col("v"))).first()[0] and not df.limit(1).agg(V.is_dayfirst(F.col("v"))).first()[0]
 
 
+def test_every_layout_is_read_where_its_shape_says_so(spark):
+    moment = datetime.datetime(2024, 3, 5, 7, 8, 9)
+    every = sorted({*V.layouts(True), *V.layouts(False)})
+    df = spark.createDataFrame([(moment,)], "m timestamp_ntz").select(*[F.date_format("m", p).alias(f"c{i}") for i, p in enumerate(every)])
+    direct = df.select(*[F.coalesce(*[F.try_to_timestamp(F.col(f"c{i}"), F.lit(p)) for p in V.layouts(True)]).cast("timestamp_ntz").alias(f"c{i}") for i in range(len(every))]).first()
+    routed = df.select(*[V.parse_timestamp(F.col(f"c{i}"), True).alias(f"c{i}") for i in range(len(every))]).first()
+    assert direct == routed and all(x is not None for x in routed)
+
+
 def test_currency(spark):
     df = spark.createDataFrame([("₹1,200.50",), ("USD 45.00",), ("45.00 EUR",), ("Rs. 5",), ("7",), ("free",)], "v string")
     got = df.select(V.currency_amount(F.col("v")), V.currency_code(F.col("v"))).collect()

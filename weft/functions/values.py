@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import reduce
@@ -131,10 +132,27 @@ def layouts(dayfirst: bool) -> tuple[str, ...]:
     return (*ISO_LAYOUTS, *first, *second, *NAMED_MONTH)
 
 
+_SYMBOLS = (("MMMM|MMM", r"\p{L}+\.?"), ("yyyy", r"\d{4}"), ("S+", r"\d{1,9}"), ("HH|mm|ss|MM|dd", r"\d{2}"), ("M|d", r"\d{1,2}"), ("'T'", "T"))
+
+
+def layout_shape(layout: str) -> str:
+    """A pattern that every text of a layout has: a text is parsed only where it may succeed, for failing costs most."""
+    out, at = "", 0
+    symbols = re.compile("|".join(f"({p})" for p, _ in _SYMBOLS))
+    for m in symbols.finditer(layout):
+        out += re.escape(layout[at:m.start()]) + _SYMBOLS[m.lastindex - 1][1]
+        at = m.end()
+    return f"^{out}{re.escape(layout[at:])}$"
+
+
+def _read(t: Column, some: tuple[str, ...]) -> Column:
+    return F.coalesce(*[F.when(t.rlike(layout_shape(p)), F.try_to_timestamp(t, F.lit(p))) for p in some])
+
+
 def parse_timestamp(c: Column, dayfirst: bool = False) -> Column:
     """The first layout that reads the trimmed text; time zones after the seconds are dropped; else null."""
     t = F.regexp_replace(F.trim(c.cast("string")), r"(?<=:\d\d)(\.\d+)?(Z|[+-]\d\d:?\d\d)$", "$1")
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in layouts(dayfirst)]).cast("timestamp_ntz")
+    return _read(t, layouts(dayfirst)).cast("timestamp_ntz")
 
 
 def parse_date(c: Column, dayfirst: bool = False) -> Column:
@@ -144,7 +162,7 @@ def parse_date(c: Column, dayfirst: bool = False) -> Column:
 def is_dayfirst(c: Column) -> Column:
     """Aggregate: whether some value reads day-first and none of the month-first layouts reads it."""
     t = F.trim(c.cast("string"))
-    reads = [F.coalesce(*[F.try_to_timestamp(t, F.lit(p)) for p in group]).isNotNull() for group in (DAY_FIRST, MONTH_FIRST)]
+    reads = [_read(t, group).isNotNull() for group in (DAY_FIRST, MONTH_FIRST)]
     return F.coalesce(F.bool_or(reads[0] & ~reads[1]), F.lit(False))
 
 
