@@ -29,7 +29,7 @@ from weft.llm.common import mixed, row_hash, seeded, text_views, without_rows, w
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: A block of verification holds about so many texts and shingles of a side (a single longer text is on its own).
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 2_000_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 500_000
 #: 20 bands of 5 components: a pair at similarity 0.8 shares a band with probability 0.9996.
 BANDS, ROWS = 20, 5
 
@@ -148,7 +148,7 @@ def multisets(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return t[at], h[at], np.diff(np.append(at, len(t)))
 
 
-def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int, block: int = 1 << 20) -> np.ndarray:
+def signatures(text: np.ndarray, element: np.ndarray, weight: np.ndarray, n: int, m: int, block: int = 1 << 18) -> np.ndarray:
     """BagMinHash signatures: for each of ``n`` texts, the ids of the earliest points in ``m`` components.
 
     Elements are followed ``block`` at a time, so that a very long text takes no more memory than many short ones.

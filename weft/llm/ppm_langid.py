@@ -49,7 +49,7 @@ def _padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, offsets[:-1] + ORDER * np.arange(1, n + 1)
 
 
-def gram_counts(raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> dict[int, int]:
+def gram_counts(raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 18) -> dict[int, int]:
     """Counts of the grams of four bytes that end in each byte of the texts, in blocks whatever a text's length."""
     total: dict[int, int] = {}
     for first in range(len(offsets) - 1):
@@ -119,7 +119,7 @@ def train_counts(counts: dict[str, dict[int, int]]) -> PpmModel:
     return model
 
 
-def code_lengths(model: PpmModel, raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def code_lengths(model: PpmModel, raw: np.ndarray, offsets: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """Bits that each language's frozen model needs for each whole text."""
     padded, starts = _padded(raw, offsets)
     out = np.zeros((len(starts), max(1, len(model.languages))))
@@ -228,7 +228,7 @@ def identify_rows(packed: DataFrame, model: PpmModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for first, last, raw, offsets in text_views(batch.column(1)):
+            for first, last, raw, offsets in text_views(batch.column(1), 1 << 20):
                 n = last - first
                 letter = batch.column(2).slice(first, n).to_numpy(zero_copy_only=False).astype(bool)
                 names, score = np.full(n, UNDETERMINED, dtype=object), np.zeros(n)
