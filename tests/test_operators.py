@@ -191,7 +191,7 @@ def test_uncertainty(spark):
 
 def test_graph_queries_take_whole_tables(spark, sf_dir):
     from weft import queries
-    from weft.operators.clustering import _logit, greedy_contraction
+    from weft.operators.clustering import _logit, correlation_clusters, greedy_contraction
 
     read = lambda t, *cols: [tuple(r) for r in queries.table(spark, sf_dir, t).select(*cols).collect()]
     customers, orders = [f"c{k}" for k, in read("customer", "c_custkey")], read("orders", "o_orderkey", "o_custkey")
@@ -206,7 +206,9 @@ def test_graph_queries_take_whole_tables(spark, sf_dir):
         parent[y] = x
     got = {r.node: r.label for r in queries.connected_components_whole(spark, sf_dir).collect()}
     assert got == {n: root(n) for n in parent}
-    clusters = {r.node: r.cluster for r in queries.correlation_clustering(spark, sf_dir).collect()}
+    p = queries.table(spark, sf_dir, "orders").selectExpr("concat('c', o_custkey) AS a", "concat('o', o_orderkey) AS b", "(o_orderkey % 100) / 100.0D AS p")
+    nodes = p.selectExpr("explode(array(a, b)) AS node").distinct()
+    clusters = {r.node: r.cluster for r in correlation_clusters(nodes, p, 0.9).collect()}
     links = {(f"c{c}", f"o{k}"): max(-12.0, _logit(k % 100 / 100)) - _logit(0.9) for k, c in orders}
     assert clusters == greedy_contraction(sorted({n for ab in links for n in ab}), links)
 

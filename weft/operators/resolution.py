@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.similarity import name_levels, string_levels
 from weft.functions.values import basic, digits, identifier, normalizer, parse_date, person_name
-from weft.operators.clustering import stored
+from weft.operators.clustering import concurrently, stored
 
 LEVELS = ("exact", "high", "medium", "different")
 
@@ -468,15 +468,17 @@ def resolve(records: DataFrame, fields: list[MatchField], dedupe: tuple[str, ...
     """
     from weft.operators.clustering import components, correlation_clusters, entity_table
 
-    blocks = all_blocks(records, fields, refine_block)
-    found = candidates(records, fields, dedupe, max_block, refine_block, window, blocks=blocks)
+    # What does not wait for one another runs side by side: blocks and neighbours, then levels and chance agreements.
+    sort_by = _name_fields(fields)
+    blocks, near = concurrently(lambda: all_blocks(records, fields, refine_block), lambda: sorted_neighbourhood(records, sort_by[0], window, dedupe) if sort_by else None)
+    found = _pairs(blocks, dedupe, max_block)
+    found = (found if near is None else found.unionByName(near)).distinct()
     if labels is not None:
         found = found.unionByName(labels.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
-    levels = stored(compared(records, found, fields))
+    levels, u = concurrently(lambda: stored(compared(records, found, fields)), lambda: estimate_u(records, fields, dedupe))
     names = [f.name for f in fields]
     patterns = [(r.asDict(), r["n"]) for r in pattern_counts(levels, names).collect()]
     stats = blocking_statistics(records, levels, dedupe, blocks, max_block).first().asDict()
-    u = estimate_u(records, fields, dedupe)
     model = fit_by_rules(patterns, u, fields)
     model.prior = prior_over_all_pairs(patterns, model, stats["admissible_pairs"])
     if calibration is not None:
