@@ -360,6 +360,9 @@ ODD = {
     '<body><article><p>%s</p><div class="notice">We set cookies so that this page works as well as it can for all of you.</div></article></body>': STORY,
     '<body><article><p>%s</p></article><section id="comments"><p>I disagree with all of this, says a reader at some length and more than once.</p></section></body>': STORY,
     '<body><header><p>The site</p></header><nav><ul><li>Home</ul></nav><article><h1>T</h1><ul><li>one<li>two</ul><p>%s</p></article><footer>c</footer></body>': "T\n\none\n\ntwo\n\n" + STORY,
+    '<body><main><article><h1>T</h1><p>%s</p></article><ol class="comment-list"><li class="comment"><article class="comment-body"><p>I disagree with all of this, says a reader at some length.</p></article></li></ol></main></body>': "T\n\n" + STORY,
+    '<body><article><h1>T</h1><p>%s</p></article><section class="related"><article class="card"><p>Another river rose in another night, says another story.</p></article></section></body>': "T\n\n" + STORY,
+    '<body><article class="social"><p>%s</p></article></body>': STORY,
     '<body><div class="sidebar"><div class="widget"><p>%s</p></div></div><article><p>Short.</p></article></body>': "Short.",
 }
 

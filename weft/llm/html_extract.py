@@ -40,7 +40,8 @@ PRIOR |= {"mark:" + x: -3.0 for x in (
     "menu nav navbar navigation newsletter notice popup promo promoted recommended related reply replies sharing sidebar signup "
     "social sponsor sponsored subscribe toolbar widget").split()}
 PRIOR |= {"mark:share": -1.5, "mark:header": -1.5}
-#: holds: an article or main element; heading: a first-level heading; prose: the share of its words that stand outside
+#: holds: the page's largest article (or main element, or the first tag of either that is never closed), for which alone
+#: the weight of article and main counts, or around it; heading: a first-level heading; prose: the share of its words that stand outside
 #: links in runs of PROSE_WORDS or more; whole: nine tenths of the page's words, with no article or heading elsewhere,
 #: in an element whose name says nothing; form:most: a form with over half of the page's words.
 PRIOR |= {"holds": 4.0, "heading": 2.5, "prose": 1.5, "whole": 4.0, "form:most": 4.0}
@@ -222,7 +223,7 @@ def elements(items: list[Tag | str]) -> list[tuple[int, int]]:
 
 def element_features(items: list[Tag | str], spans: list[tuple[int, int]]) -> list[dict[str, float]]:
     """Features of each element: its name and marks, and what it holds."""
-    words, prose, holds, heads, links = [0], [0], [0], [0], 0
+    words, prose, heads, links = [0], [0], [0], 0
     for x in items:
         tag = isinstance(x, Tag)
         if tag and x.name == "a" and not x.lone:
@@ -230,16 +231,19 @@ def element_features(items: list[Tag | str], spans: list[tuple[int, int]]) -> li
         n = 0 if tag else len(x.split())
         words.append(words[-1] + n)
         prose.append(prose[-1] + (n if n >= PROSE_WORDS and not links else 0))
-        holds.append(holds[-1] + (tag and not x.closing and x.name in ("article", "main")))
         heads.append(heads[-1] + (tag and not x.closing and x.name == "h1"))
+    # The article that the page is about: not a comment or a card that is marked up as one too.
+    told = [(items[a].name == "article", min([PRIOR.get("mark:" + w, 0.0) for w in items[a].marks] or [0.0]) >= 0, words[b] - words[a], -a) for a, b in spans if items[a].name in ("article", "main")]
+    opened = [i for i, x in enumerate(items) if isinstance(x, Tag) and not x.closing and x.name in ("article", "main")]
+    about = -max(told)[3] if told else opened[0] if opened else None
     out = []
     for a, b in spans:
-        n, inner = words[b] - words[a], holds[b] - holds[a + 1]
-        f = {"name:" + items[a].name: 1.0} | {"mark:" + w: 1.0 for w in items[a].marks}
+        n, inside = words[b] - words[a], about is not None and a <= about < b
+        f = {"name:" + items[a].name: float(inside or items[a].name not in ("article", "main"))} | {"mark:" + w: 1.0 for w in items[a].marks}
         f["prose"] = (prose[b] - prose[a]) / n if n else 0.0
-        f["holds"] = float(inner > 0)
+        f["holds"] = float(inside and a != about)
         f["heading"] = float(heads[b] > heads[a])
-        elsewhere = holds[-1] - (holds[b] - holds[a]) + heads[-1] - (heads[b] - heads[a])
+        elsewhere = about is not None and not inside or heads[-1] > heads[b] - heads[a]
         f["whole"] = float(10 * n >= 9 * words[-1] > 0 and not elsewhere and "name:" + items[a].name not in PRIOR)
         f["form:most"] = float(items[a].name == "form" and 2 * n > words[-1])
         out.append(f)
