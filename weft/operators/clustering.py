@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import math
 import tempfile
 import uuid
@@ -27,9 +28,23 @@ def stored(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again: lineage is cut and lost executors cost nothing."""
     path = f"{shared_folder(df.sparkSession)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_STORED: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_stored() -> None:
+    for spark, path in _STORED:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may be gone already; the folder is scratch space
+            return
+
+
 def concurrently(*jobs):
     """The results of ``jobs`` (functions without arguments), which Spark runs side by side; the first error is raised."""
     with ThreadPoolExecutor(max_workers=max(1, min(8, len(jobs)))) as pool:
