@@ -89,8 +89,9 @@ def token_blocks(records: DataFrame, field_: MatchField, refine_by: list[MatchFi
     A record with a null refining value falls into the block's null part. The split is a longer key, so no block is
     collected anywhere.
     """
-    # The normalised name is a column of its own, so that it is computed once for the key and the first name.
-    named = records.withColumn("__n", person_name(F.col(field_.name)))
+    # The normalised name is written, so that it is computed once for the key and the first name.
+    extra = [c for c in dict.fromkeys([field_.name, *[f.name for f in refine_by]])]
+    named = stored(records.select("rid", "dataset", *extra, person_name(F.col(field_.name)).alias("__n")))
     key = F.concat(F.substring_index("__n", " ", -1), F.lit("|"), F.substring("__n", 1, 1)) if field_.semantic == "NAME" else basic(F.col(field_.name))
     base = named.select("rid", "dataset", key.alias("block"), *[normalizer(f.norm)(F.col(f.name)).alias(f"__r{i}") for i, f in enumerate(refine_by)],
                         F.substring_index("__n", " ", 1).alias("__first")).where("block IS NOT NULL")
@@ -110,9 +111,10 @@ def sorted_neighbourhood(records: DataFrame, field_: MatchField, window: int = 5
     from weft.operators.joins import ROW, with_row_numbers
 
     n = person_name(F.col(field_.name)) if field_.semantic == "NAME" else basic(F.col(field_.name))
-    words = F.split(n, " ")
+    named = stored(records.select("rid", "dataset", n.alias("__n")).where("__n IS NOT NULL"))  # written: the key names it often
+    words = F.split("__n", " ")
     key = F.concat_ws(" ", F.element_at(words, -1), F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))))
-    keyed = records.select("rid", "dataset", F.when(n.isNotNull(), key).alias("__key")).where("__key IS NOT NULL")
+    keyed = named.select("rid", "dataset", key.alias("__key"))
     placed = stored(with_row_numbers(keyed, ["__key", "rid"]))
     ahead = placed.select("rid", "dataset", F.explode(F.sequence(F.col(ROW) + 1, F.col(ROW) + window - 1)).alias("place"))
     x, y = ahead.alias("x"), placed.alias("y")
