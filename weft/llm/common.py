@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,11 +102,29 @@ def without_rows(docs: DataFrame, id_: Column, hash_: Column, dropped: DataFrame
     return kept.drop("__weft_id", "__weft_hash")
 
 
+#: Arrays above so many bytes are mapped by themselves in Python workers, and so leave them when freed.
+MAPPED_BYTES = 4 << 20
+
+
+@functools.cache
+def frugal_worker() -> None:
+    """Once in a Python worker: what is freed goes back to the system. Idle workers stay beside those of later stages, and
+    allocators that keep the peak of each would fill an executor. Elsewhere, and without glibc, nothing is changed."""
+    if TaskContext.get() is None:
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        trim_threshold, mmap_threshold = -1, -3  # fixed values: glibc's names for these two
+        libc.mallopt(mmap_threshold, MAPPED_BYTES)
+        libc.mallopt(trim_threshold, MAPPED_BYTES)
+
+
 def text_views(column: pa.Array, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a string column as (first row, last row, UTF-8 bytes, row offsets), about ``max_bytes`` each.
 
     Null counts as empty. A single longer text is a slice of its own, so no text is ever cut.
     """
+    frugal_worker()
     if column.null_count:
         column = column.fill_null("")
     column = column.cast(pa.large_string()) if not pa.types.is_large_string(column.type) else column
