@@ -181,3 +181,17 @@ def test_star_with_meaningless_names(spark):
 def test_key_types(spark):
     c = ColumnProfile("d", "x", "integer", 10, 10, 10)
     assert c.key == "d.x" and c.uniqueness == 1.0 and c.cardinality == "unique"
+
+
+def test_session_on_a_cluster_without_root(spark, sf_dir):
+    """Discovery and plans of tables need no folder for files; keeping files asks for one."""
+    from types import SimpleNamespace
+
+    from weft import queries
+
+    remote = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"), read=spark.read)
+    s = queries.session(remote, sf_dir, "region", "nation")
+    assert [(r.left, r.right, r.kind, r.keys) for r in s.discover()] == [("nation", "region", "LOOKUP", [("n_regionkey", "r_regionkey")])]
+    assert s.make_plan().root == "nation"
+    with pytest.raises(ValueError, match="root folder"):
+        s.save()

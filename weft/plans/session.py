@@ -54,9 +54,9 @@ class Session:
 
     def __init__(self, spark: SparkSession, root: str | None = None, proposer=None, **overrides):
         self.spark = spark
-        if root is None and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("a session on a cluster needs a root folder that all executors share")
-        self.workspace = Workspace(root or tempfile.mkdtemp(prefix="weft-session-"))
+        # Discovery, plans and merges of frames keep no files; on a cluster what does keep some asks for a root then.
+        own = tempfile.mkdtemp(prefix="weft-session-") if root is None and spark.sparkContext.master.startswith("local") else None
+        self.workspace = Workspace(root or own)
         self.settings = config.settings(**overrides)
         self.proposer = proposer
         self.preferences = Preferences()
@@ -408,7 +408,7 @@ class Session:
     def save(self) -> str:
         """Decisions, labels, preferences, merges and datasets as JSON, replaced in one step; frames without a file of their
         own are written as Parquet."""
-        path = os.path.join(self.workspace.root, "session.json")
+        path = os.path.join(self.workspace.base(), "session.json")
         for d in self.datasets.values():
             if not d.path:
                 d.path = self.workspace.folder("frames", f"{d.id}_{uuid.uuid4().hex[:6]}")

@@ -313,12 +313,17 @@ def sha256_file(path: str, chunk: int = 1 << 20) -> str:
 
 @dataclass
 class Workspace:
-    """Folders raw, processed, merges and exports under one root."""
+    """Folders raw, processed, merges and exports under one root; without a root nothing can be kept."""
 
-    root: str
+    root: str | None
+
+    def base(self) -> str:
+        if self.root is None:
+            raise ValueError("a session on a cluster needs a root folder that all executors share to keep files in")
+        return self.root
 
     def folder(self, kind: str, *parts: str) -> str:
-        path = os.path.join(self.root, kind, *parts)
+        path = os.path.join(self.base(), kind, *parts)
         os.makedirs(os.path.dirname(path) if parts else path, exist_ok=True)
         return path
 
@@ -330,7 +335,8 @@ class Workspace:
         return copy, sha256_file(copy)
 
     def remove(self) -> None:
-        shutil.rmtree(self.root, ignore_errors=True)
+        if self.root is not None:
+            shutil.rmtree(self.root, ignore_errors=True)
 
 
 def read_any(spark: SparkSession, path: str, kind: str | None = None, **options: str) -> DataFrame:
