@@ -195,3 +195,14 @@ def test_session_on_a_cluster_without_root(spark, sf_dir):
     assert s.make_plan().root == "nation"
     with pytest.raises(ValueError, match="root folder"):
         s.save()
+
+
+def test_planned_merge_on_a_cluster(spark, sf_dir):
+    """The query runs on a master that is not local, and keeps every order."""
+    from types import SimpleNamespace
+
+    from weft import queries
+
+    remote = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://host:7077"), read=spark.read)
+    out = queries.planned_merge(remote, sf_dir)
+    assert out.count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count() and out.where("_match_region").count() > 0
