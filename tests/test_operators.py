@@ -272,3 +272,36 @@ def test_resolve_makes_pairs_anew(spark, monkeypatch):
     n = resolution.candidates(records, fields, refine_block=1000).count()
     assert got.statistics["candidate_pairs"] == n >= 120 * 120
     assert max(df.count() for df in written if "a" in df.columns) < n // 4
+
+
+def test_profiles_of_large_columns_hold_no_column_in_one_task(spark):
+    """Narrowed percentiles and hash-cut sketches are those of one aggregate over all values, on odd numbers too."""
+    from pyspark.sql import functions as F
+
+    from weft.operators import profile
+
+    df = spark.range(5000).select(F.col("id").alias("key"), F.when(F.col("id") % 7 > 0, F.pow(F.lit(1.3), F.col("id") % 900 - 450)).alias("wide"), (F.col("id") % 3 - 1).cast("double").alias("few"),
+                                  F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(float("nan"))).alias("zero"), F.when(F.col("id") == 9, F.lit(float("inf"))).otherwise(F.col("id") / 3).alias("endless"),
+                                  F.concat(F.when(F.col("id") % 2 == 0, "A").otherwise("a"), (F.col("id") / 40).cast("int").cast("string")).alias("case"))
+    counts = profile.stored(profile.cell_counts(df))
+    old = profile.unpivoted(df).groupBy("column", "text").agg(F.first("number").alias("number"), F.count("*").alias("count"))
+    assert not counts.exceptAll(old).count() and not old.exceptAll(counts).count()
+    one, narrowed = ({r["column"]: r.asDict() for r in profile.statistics_of(counts, most).collect()} for most in (10**9, 2))
+    assert one.keys() == narrowed.keys() and len(one) == 6
+    for c in one:
+        assert repr(one[c]["quantiles"]) == repr(narrowed[c]["quantiles"]), c
+    ranges = {r["column"]: (r["lo"], r["hi"], r["n"]) for r in counts.where("`column` in ('key', 'wide')").groupBy("column").agg(F.min("number").alias("lo"), F.max("number").alias("hi"), F.sum(F.when(F.col("number").isNotNull(), F.col("count"))).alias("n")).collect()}
+    assert profile.narrowed_percentiles(counts, ranges) == {"key": one["key"]["quantiles"]}  # the other is left to the aggregate
+    assert profile.narrowed_percentiles(counts, ranges, rounds=60) == {c: one[c]["quantiles"] for c in ranges}
+    cut, whole = (sorted(map(tuple, profile.bottom_k(df, k=20, hash_of=h, counts=counts).collect())) for h in (profile.sketch_hash, lambda c: F.xxhash64(c)))
+    assert cut == whole and {c: sum(x[0] == c for x in cut) for c in ("key", "few", "case")} == {"key": 20, "few": 3, "case": 20}
+
+
+def test_duplicate_rows_are_grouped_only_without_a_key(spark, monkeypatch):
+    from weft.operators import profile
+
+    keyed = spark.createDataFrame([(1, 0.5), (2, 0.5)], "id long, x double")
+    repeated = spark.createDataFrame([(1, 0.5), (1, 0.5), (None, 0.5)], "id long, x double")
+    assert (profile.profile(repeated, "r").rows, profile.profile(repeated, "r").duplicates) == (3, 1)
+    monkeypatch.setattr(profile, "duplicate_rows", None)
+    assert (profile.profile(keyed, "k").rows, profile.profile(keyed, "k").duplicates) == (2, 0)
