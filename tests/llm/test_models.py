@@ -386,3 +386,18 @@ def test_few_labelled_pages_among_many_all_train(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "train", lambda pages: seen.extend(pages) or html_extract.RegionModel())
     html_extract.fit(spark.createDataFrame(rows, "page_id long, html string"))
     assert len(seen) == 10
+
+
+def test_tokenizer_memory_is_bounded_over_many_words():
+    """An idle worker keeps few words of the many that it met, and still gives the ids of the named file."""
+    from tokenizers import Tokenizer
+
+    from weft.llm import packing
+    from weft.llm.queries import tokenizer_path
+
+    coder, whole = packing.PieceTokenizer(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    for k in range(0, 700_000, 50_000):
+        text = " ".join(f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}é{chr(0x4E00 + i // 100)}" for i in range(k, k + 50_000))
+        got = coder.encode_many([text])[0]
+    assert got.tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert sum(x.nbytes for x in (coder.keys, coder.place, coder.begin, coder.count, coder.ids)) < 20e6

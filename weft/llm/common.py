@@ -171,7 +171,7 @@ def segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return out
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000, max_bytes: int = 16 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, max_bytes: int = 4 << 20) -> None:
     """Bound the Arrow batches that Python workers get, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(max_bytes))

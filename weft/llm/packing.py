@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from weft.llm.common import mixed, seeded, text_views, written
 
 CAPACITY = 2048
+#: Workers stay, with what they know, beside those of later stages: words that a tokenizer keeps, and bytes of text that it
+#: takes at once (a longer text whole).
+KNOWN_WORDS, SLICE_BYTES = 300_000, 1 << 18
 #: Remainders are rounded up to multiples of this for the program; their true lengths are kept.
 CLASS_WIDTH = 4
 END_ID = 1
@@ -55,7 +58,7 @@ class PieceTokenizer:
     vocabulary, which the tests check.
     """
 
-    def __init__(self, path: str, cache: int = 1_500_000):
+    def __init__(self, path: str, cache: int = KNOWN_WORDS):
         import tiktoken
         from public_tokenizers import PATTERN
 
@@ -152,7 +155,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS
     if len(_POWERS[0]) <= n:
         base = int(seeded(1, 5)[0]) | 1
-        size = max(n + 1, 1 << 20)
+        size = max(n + 1, SLICE_BYTES)
         with np.errstate(over="ignore"):
             _POWERS = tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(size, np.uint64(b), np.uint64)]), dtype=np.uint64)
                             for b in (base, pow(base, -1, 1 << 64)))
@@ -312,7 +315,7 @@ def _pieces(path: str, capacity: int, width: int):
         tokenizer, part = tokenizer_at(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         for batch in batches:
-            for first, last, _, _ in text_views(batch.column(1), 1 << 20):
+            for first, last, _, _ in text_views(batch.column(1), SLICE_BYTES):
                 ids = batch.column(0).slice(first, last - first).to_pylist()
                 rows = []
                 for doc, tokens in zip(ids, tokenizer.encode_many(batch.column(1).slice(first, last - first).to_pylist())):
