@@ -271,6 +271,39 @@ def test_grams_by_text():
         assert len(firsts) == len(offsets) and len(g) == len(word) == int((FOLD[raw] > 0).sum())
 
 
+def test_word_heads_and_tails_hold_every_gram():
+    import pyarrow as pa
+
+    odd = ["", None, "ab c", "ab", " x", "abcdefgh abcdefghi abcdefghij", "\t\n ", "é" * 30 + " " + "ß", "a" * 5000, "no end", "begins at once ", "1-2,3 (a)", "漢字かな交じり文" * 40, None]
+    for size in (1, 30, 1 << 20):
+        for _, _, raw, offsets in text_views(pa.array(odd * 3), size):
+            g, word, firsts = kn_toxicity.grams(raw, offsets)
+            words = kn_toxicity.words_of(raw, offsets)
+            assert firsts.tolist() == words.firsts.tolist() and len(words.heads) == firsts[-1]
+            h, of = kn_toxicity.head_grams(words.heads)
+            assert sorted(zip(word.tolist(), g.tolist())) == sorted([*zip(of.tolist(), h.tolist()), *zip(words.tail_word.tolist(), words.tail.tolist())])
+
+
+def test_toxicity_looks_up_a_repeated_word_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [b"stone river lightning stone vilescum " * 4000, b"", b"river incomprehensible river"]
+    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    g, word, firsts = kn_toxicity.grams(raw, offsets)
+    known = np.unique(g)[::2]
+    seen = kn_toxicity.HashTable(known, rng.normal(size=len(known)).astype(np.float32))
+    contexts = np.unique(g // SYMBOLS)
+    unseen = kn_toxicity.HashTable(contexts, rng.normal(size=len(contexts)).astype(np.float32))
+    value, found = seen.get(g)
+    value[~found] = unseen.get(g[~found] // SYMBOLS)[0]
+    plain = kn_toxicity.weighed(np.bincount(word, value, firsts[-1]), 0.01)
+    asked = []
+    get = kn_toxicity.HashTable.get
+    monkeypatch.setattr(kn_toxicity.HashTable, "get", lambda self, keys: asked.append(len(keys)) or get(self, keys))
+    got = kn_toxicity.differences(kn_toxicity.ToxicityModel(seen, unseen, (0.01,), 0.0, 0.0), raw, offsets)[:, 0]
+    assert np.allclose(got, [plain[:firsts[1]].mean(), 0, plain[firsts[2]:].mean()], rtol=1e-12)
+    assert sum(asked) < len(g) // 10
+
+
 def plain_rule(url):
     from urllib.parse import urlsplit  # noqa: F401 - the contract is simpler than a URL parser
     if not url or "://" not in url:

@@ -80,7 +80,8 @@ class ToxicityModel:
 def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Eight-grams of all word symbols of the texts, their word's index, and the first word of each text.
 
-    White space is symbol 0; contexts before a word's beginning are 0 too.
+    White space is symbol 0; contexts before a word's beginning are 0 too. ``Words`` has the same grams in fewer rows and is
+    held against this.
     """
     n = len(raw)
     symbols = FOLD[raw].astype(np.int64)
@@ -101,13 +102,65 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return g, word, np.searchsorted(starts, offsets)
 
 
+ORDER = CONTEXT + 1
+_WITHIN = np.array([SYMBOLS**k - 1 for k in range(ORDER + 1)], np.int64)
+
+
+@dataclass
+class Words:
+    """The words of some texts. A word's head is its gram at its eighth symbol, or at its last if it is shorter: it tells all
+    grams up to there, so that these are counted and looked up once for each distinct head. Later grams are the tail."""
+    heads: np.ndarray  # by word
+    firsts: np.ndarray  # the first word of each text, and the number of words
+    tail: np.ndarray  # grams from the ninth symbols on, by word and place
+    tail_word: np.ndarray
+
+
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> Words:
+    n = len(raw)
+    symbols = np.zeros(n + ORDER, np.uint8)
+    symbols[ORDER:] = FOLD[raw]
+    inside = np.zeros(n + 2, dtype=bool)
+    inside[1:-1] = symbols[ORDER:] > 0
+    begins = inside[1:] & ~inside[:-1]
+    edges = offsets[:-1]
+    begins[edges] = inside[edges + 1]
+    starts = np.flatnonzero(begins[:n])
+    ends = np.flatnonzero(inside[1:-1] & (begins[1:] | ~inside[2:]))
+    two = symbols[:-1].astype(np.uint16) << 6 | symbols[1:]
+    four = two[:-2].astype(np.uint32) << 12 | two[2:]
+    gram = lambda at: four[at + 1].astype(np.int64) << 24 | four[at + 5]
+    length = np.minimum(ends - starts + 1, ORDER)
+    heads = gram(starts + length - 1) & _WITHIN[length]
+    tails = ends - starts + 1 - length
+    long = np.flatnonzero(tails)
+    tails = tails[long]
+    tail_word = np.repeat(long, tails)
+    places = np.arange(len(tail_word)) + np.repeat(starts[long] + ORDER - (np.cumsum(tails) - tails), tails)
+    return Words(heads, np.searchsorted(starts, offsets), gram(places), tail_word)
+
+
+def head_grams(heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of heads, the shortest first, and the index of each one's head; by head."""
+    length = np.searchsorted(_WITHIN, heads)
+    of = np.repeat(np.arange(len(heads)), length)
+    later = np.repeat(np.cumsum(length), length) - 1 - np.arange(len(of))
+    return heads[of] >> (6 * later), of
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else np.zeros(0, np.int64)
+
+
 def _count():
     schema = pa.schema([("kind", pa.int32()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def flush(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept])
-        unique, inverse = np.unique(keys, return_inverse=True)
-        return unique, np.bincount(inverse, counts, len(unique)).astype(np.int64)
+        return summed(np.concatenate([k for k, _ in kept]), np.concatenate([c for _, c in kept]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -124,11 +177,13 @@ def _count():
         for batch in batches:
             for first, last, raw, offsets in text_views(batch.column(0), 2 << 20):
                 kind = batch.column(1).slice(first, last - first).to_numpy(zero_copy_only=False).astype(np.int64)
-                g, word, firsts = grams(raw, offsets)
-                text = np.searchsorted(firsts[1:], word, side="right")
-                keys, counts = np.unique(g | (kind[text] << 48), return_counts=True)
-                kept.append((keys, counts))
-                size += len(keys)
+                words = words_of(raw, offsets)
+                kinds = np.repeat(kind << 48, np.diff(words.firsts))
+                heads, times = np.unique(words.heads | kinds, return_counts=True)
+                g, of = head_grams(heads & _WITHIN[ORDER])
+                tail, tail_times = np.unique(words.tail | kinds[words.tail_word], return_counts=True)
+                kept.append(summed(np.concatenate([g | (heads[of] & ~_WITHIN[ORDER]), tail]), np.concatenate([times[of], tail_times])))
+                size += len(kept[-1][0])
                 if size > 1_200_000:
                     kept[:] = [flush(kept)]
                     size = len(kept[0][0])
@@ -270,12 +325,19 @@ def _weighed(words: Column, share: float) -> Column:
 def differences(model: ToxicityModel, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """By text and share: the length-normalised difference, the mean over the words (0 without words)."""
     out = np.zeros((len(offsets) - 1, len(model.shares)))
-    g, word, firsts = grams(raw, offsets)
-    if not len(g):
+    words = words_of(raw, offsets)
+    firsts = words.firsts
+    if not firsts[-1]:
         return out
-    value, found = model.seen.get(g)
-    value[~found] = model.unseen.get(g[~found] // SYMBOLS)[0]
-    words = np.bincount(word, value, firsts[-1])
+
+    def value_of(g: np.ndarray) -> np.ndarray:
+        value, found = model.seen.get(g)
+        value[~found] = model.unseen.get(g[~found] // SYMBOLS)[0]
+        return value
+
+    heads, head = np.unique(words.heads, return_inverse=True)
+    g, of = head_grams(heads)
+    words = np.bincount(of, value_of(g), len(heads))[head] + np.bincount(words.tail_word, value_of(words.tail), firsts[-1])
     for j, share in enumerate(model.shares):
         out[:, j] = segment_sums(weighed(words, share), firsts[:-1], firsts[1:]) / np.maximum(np.diff(firsts), 1)
     return out
@@ -305,23 +367,34 @@ def _open_words(shared):
         for batch in batches:
             for first, last, raw, offsets in text_views(batch.column(2), 2 << 20):
                 rows, n = batch.column(1).slice(first, last - first), last - first
-                g, word, firsts = grams(raw, offsets)
-                value, found = model.seen.get(g) if len(g) else (np.zeros(0), np.zeros(0, bool))
-                words = np.bincount(word, value, firsts[-1])
-                at = np.flatnonzero(~found)
+                of_texts = words_of(raw, offsets)
+                firsts, tail_word = of_texts.firsts, of_texts.tail_word
+                heads, head = np.unique(of_texts.heads, return_inverse=True)
+                g, of = head_grams(heads)
+                value, found = model.seen.get(g)
+                tail_value, tail_found = model.seen.get(of_texts.tail)
+                words = np.bincount(of, value, len(heads))[head] + np.bincount(tail_word, tail_value, firsts[-1])
+                # The open grams of each word: those of its head, then those of its tail.
+                g, many = g[~found], np.bincount(of[~found], minlength=len(heads))
+                by_word = many[head]
+                word = np.repeat(np.arange(firsts[-1]), by_word)
+                g = g[np.arange(len(word)) + np.repeat((np.cumsum(many) - many)[head] - (np.cumsum(by_word) - by_word), by_word)]
+                word, g = np.concatenate([word, tail_word[~tail_found]]), np.concatenate([g, of_texts.tail[~tail_found]])
+                at = np.argsort(word, kind="stable")
+                word, g = word[at], g[at]
                 is_open = np.zeros(firsts[-1], bool)
-                is_open[word[at]] = True
+                is_open[word] = True
                 text = np.repeat(np.arange(n), np.diff(firsts))
                 sums = np.stack([np.bincount(text, np.where(is_open, 0.0, weighed(words, share)), n) for share in model.shares], axis=1)
                 nulls = lambda kind, m: pa.nulls(m, kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), rows, nulls(pa.int64(), n), nulls(pa.int64(), n), nulls(pa.float64(), n),
                                                   pa.array(np.diff(firsts).astype(np.int64)), _doubles(sums)], names=OPEN)
-                number, ids, kind = rows.to_numpy(), word[at] - firsts[text[word[at]]], batch.column(0).type
-                part = np.where(np.diff(word[at], prepend=-1) != 0, words[word[at]], 0.0)
-                for lo in range(0, len(at), 100_000):
+                number, ids, kind = rows.to_numpy(), word - firsts[text[word]], batch.column(0).type
+                part = np.where(np.diff(word, prepend=-1) != 0, words[word], 0.0)
+                for lo in range(0, len(word), 100_000):
                     cut = slice(lo, lo + 100_000)
-                    m = len(at[cut])
-                    yield pa.RecordBatch.from_arrays([nulls(kind, m), pa.array(number[text[word[at[cut]]]]), pa.array(g[at[cut]]), pa.array(ids[cut].astype(np.int64)), pa.array(part[cut]),
+                    m = len(word[cut])
+                    yield pa.RecordBatch.from_arrays([nulls(kind, m), pa.array(number[text[word[cut]]]), pa.array(g[cut]), pa.array(ids[cut].astype(np.int64)), pa.array(part[cut]),
                                                       nulls(pa.int64(), m), nulls(pa.list_(pa.float64()), m)], names=OPEN)
     return run
 
